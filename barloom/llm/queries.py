@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_secret_scan": "secret_scan",
+    "op3_source_mix": "source_mix",
     "op6_minhash_near_dedup": "near_dedup",
+    "op8_benchmark_decontamination": "decontamination",
     "op10_quality_classifier": "quality_classifier",
 }
 

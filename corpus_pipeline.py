@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import near_dedup, quality_classifier
+from barloom.llm import decontamination, near_dedup, quality_classifier, secret_scan, source_mix
 from barloom.llm.shared import shared_dir, table
 
 
@@ -20,7 +20,28 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("quality_classifier", quality), ("near_dedup", deduplicated)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no item of ``benchmark`` contaminates."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret; n_chars follows the text."""
+    return secret_scan.redact(docs, secret_scan.infer(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return source_mix.mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("secret_scan", without_secrets),
+    ("source_mix", mixed),
+]
 ORACLE_SQL = None
 
 
