@@ -7,7 +7,9 @@ from importlib import import_module
 _MODULES = {
     "op2_secret_scan": "secret_scan",
     "op3_source_mix": "source_mix",
+    "op4_token_counts": "token_counts",
     "op6_minhash_near_dedup": "near_dedup",
+    "op7_quality_rules": "quality_rules",
     "op8_benchmark_decontamination": "decontamination",
     "op10_quality_classifier": "quality_classifier",
 }
