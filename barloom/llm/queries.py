@@ -5,9 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_html_extraction": "html_extraction",
     "op2_secret_scan": "secret_scan",
     "op3_source_mix": "source_mix",
     "op4_token_counts": "token_counts",
+    "op5_language_id": "language_id",
     "op6_minhash_near_dedup": "near_dedup",
     "op7_quality_rules": "quality_rules",
     "op8_benchmark_decontamination": "decontamination",
