@@ -11,9 +11,11 @@ in a component with a probability equal to their weighted Jaccard similarity. Po
 to be filled are never made; a text with an empty component is done again with twice that time.
 
 Search. Equal texts are first folded to one node (a 128-bit digest). In each bucket of equal bands every member is compared with one
-leader only, so a bucket of k members makes k-1 pairs. Links give components. Where a bucket still holds several components, a second
-leader is tried, and at last all pairs of members of different components are compared, so no link between components that share a
-bucket is lost. With 24 bands of 6 a pair of similarity 0.8 shares a bucket with probability 0.9993.
+leader only, so a bucket of k members makes k-1 pairs: first in buckets of three neighbouring bands, then of two, then of one, each time only
+across the components found so far. Where a bucket then still holds several components, all its pairs across components are compared if it has
+``SMALL`` members at most. The members of larger ones are matched by prefixes: ordered from rare to common, texts of similarity 0.8 share a run
+among the first fifth of each, so only pairs that do are compared, and no link between components that share a bucket is lost. With 24 bands of
+6 a pair of similarity 0.8 shares a bucket with probability 0.9993.
 
 Cases: a text that is null or has no word is a class of its own row, whatever else is empty. A null doc_id is kept as null; it never gives
 a class its name unless the class has no other. Repeated rows are equal texts. Other columns of the input are ignored.
@@ -27,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components
 from .shared import materialize, table
 
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
+WORDS, SIMILARITY, BANDS, ROWS, SMALL = 5, 0.8, 24, 6, 32
 _U = np.uint64
 _COMPONENT, _LEVEL = _U(0x632BE59BD9B4E019), _U(0xA0761D6478BD642F)
 
@@ -184,36 +186,87 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(of, "a binary, b binary")
 
 
-def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _leaders(members: DataFrame, of: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of each member and the leader of its bucket, where their components differ."""
+    if of is None:
+        members = members.withColumn("component", F.col("node"))
+    else:
+        members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = members.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    pairs = members.join(split, "bucket").where("component != lead.component")
+    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component, token) of the rarest runs of each text, so many that texts similar enough share one of them.
+
+    A run that occurs w times makes w tokens, so that the similarity of multisets is that of sets.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, data, at in ta.chunks(b.column("text"), most=ta.CHUNK_BYTES // 4):
+                doc, element, weight = _bags(data, at, words)
+                again = np.repeat(np.arange(len(doc)), weight)
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight)
+                token = ta.mix(element[again] * ta._STEP + nth.astype(_U)).view(np.int64)
+                size = np.bincount(doc, weight, minlength=len(at) - 1).astype(np.int64)
+                rows = doc[again]
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(base + rows)), pa.array(token), pa.array(size[rows])], ["node", "token", "size"])
+
+    tokens = materialize(texts.join(apart.select("node"), "node").select("node", "text").mapInArrow(of, "node binary, token long, size long"), "dedup-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
+    prefix = tokens.join(often, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+    return prefix.join(apart, "node").select("node", "component", "token")
+
+
+def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a bucket and may be similar enough.
+
+    Small buckets give their pairs as they are; the members of larger ones are matched by the rarest runs, which misses no similar pair.
+    """
+    members = buckets.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    members = materialize(members.join(split.select("bucket", "n"), "bucket"), "dedup-apart")
+    few = members.where(F.col("n") <= small)
+    x, y = (few.select("bucket", F.col("node").alias(n), F.col("component").alias("c" + n)) for n in "ab")
+    pairs = x.join(y, "bucket").where("ca != cb and a < b").select("a", "b")
+    apart = materialize(members.where(F.col("n") > small).select("node", "component").distinct(), "dedup-large")
+    if apart.isEmpty():
+        return pairs.distinct()
+    prefix = materialize(_prefixes(apart, texts, words, similarity), "dedup-prefixes")
+    # the component most rows of a token belong to needs no pairs of its own
+    main = prefix.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
+    marked = prefix.join(main.where("kinds > 1").select("token", F.col("main.component").alias("main")), "token")
+    x = marked.where("component != main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"))
+    y = marked.select("token", F.col("node").alias("y"), F.col("component").alias("cy"))
+    more = x.join(y, "token").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(more).distinct()
+
+
+def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """(doc_id, class_id, node, is_kept) for each row; class_id is the least doc_id of the class, is_kept marks that document's rows."""
     signed = materialize(sign(docs, words, bands, rows), "dedup-signatures")
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     members = nodes.select("node", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    buckets = materialize(members.join(shared.select("bucket", "leader"), "bucket"), "dedup-buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    buckets = materialize(members.join(shared, "bucket"), "dedup-buckets")
     candidates = buckets.select("node").distinct()
+    keyed = materialize(nodes.select("node", "keys").join(candidates, "node", "left_semi"), "dedup-candidates")
     texts = materialize(digests_of(docs).join(candidates, "node", "left_semi").dropDuplicates(["node"]), "dedup-texts")
 
-    tried = materialize(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "dedup-pairs")
-    links = materialize(verified(tried, texts, words, similarity), "dedup-links")
-    of = components(links)
-    for attempt in ("leader", "rest"):
-        # buckets whose members are not yet of one component
-        label = F.coalesce("component", "node").alias("component")
-        labelled = buckets.select("bucket", "node").join(of, "node", "left").select("bucket", "node", label)
-        split = labelled.groupBy("bucket").agg(F.max(F.struct("component", "node")).alias("top"), F.min("component").alias("low")).where("top.component != low")
-        if attempt == "leader":
-            pairs = labelled.join(split, "bucket").where("component != top.component").select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
-        else:
-            apart = materialize(labelled.join(split.select("bucket"), "bucket", "left_semi"), "dedup-apart")
-            x, y = (apart.select("bucket", F.col("node").alias(n), F.col("component").alias("c" + n)) for n in "ab")
-            pairs = x.join(y, "bucket").where("ca != cb and a < b").select("a", "b")
-        fresh = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-        if fresh.isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(materialize(verified(fresh, texts, words, similarity), "dedup-links"))
+    of = tried = links = None
+    for joined in (3, 2, 1):
+        # a bucket of several neighbouring bands holds texts that are more alike
+        key = F.transform("keys", lambda _, i: F.xxhash64(*(F.element_at("keys", (i + k) % bands + 1) for k in range(joined))))  # noqa: B023
+        pairs = _leaders(keyed.select("node", F.explode(key).alias("bucket")), of)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
+        found = materialize(verified(pairs, texts, words, similarity), "dedup-links")
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
         of = components(links)
+    pairs = materialize(_rest(buckets, of, texts, words, similarity, small).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
+    of = components(links.unionByName(materialize(verified(pairs, texts, words, similarity), "dedup-links")))
     named = nodes.select("node", "least").join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("class_id"))
     named = named.join(names, "component").select("node", "class_id")
