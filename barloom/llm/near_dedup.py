@@ -193,12 +193,12 @@ def _leaders(members: DataFrame, of: DataFrame | None) -> DataFrame:
     else:
         members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = members.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    pairs = members.join(split, "bucket").where("component != lead.component")
+    pairs = members.join(split.select("bucket", "lead"), "bucket").where("component != lead.component")
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
 def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, component, token) of the rarest runs of each text, so many that texts similar enough share one of them.
+    """(node, component, token, size, rank) of the rarest runs of each text, so many that texts similar enough share one of them.
 
     A run that occurs w times makes w tokens, so that the similarity of multisets is that of sets.
     """
@@ -218,7 +218,7 @@ def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float)
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
     prefix = tokens.join(often, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-    return prefix.join(apart, "node").select("node", "component", "token")
+    return prefix.join(apart, "node").select("node", "component", "token", "size", "rank")
 
 
 def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
@@ -239,9 +239,11 @@ def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, simil
     # the component most rows of a token belong to needs no pairs of its own
     main = prefix.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
     marked = prefix.join(main.where("kinds > 1").select("token", F.col("main.component").alias("main")), "token")
-    x = marked.where("component != main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = marked.select("token", F.col("node").alias("y"), F.col("component").alias("cy"))
-    more = x.join(y, "token").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    x = marked.where("component != main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("rank").alias("rx"))
+    y = marked.select("token", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"), F.col("rank").alias("ry"))
+    # what both have from here on must suffice for the overlap that their sizes ask for
+    enough = 1 + F.least(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry")) >= F.ceil((F.col("sx") + F.col("sy")) * (similarity / (1 + similarity)) - 1e-9)
+    more = x.join(y, "token").where("cx != cy").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.unionByName(more).distinct()
 
 
