@@ -13,6 +13,7 @@ _MODULES = {
     "op6_minhash_near_dedup": "near_dedup",
     "op7_quality_rules": "quality_rules",
     "op8_benchmark_decontamination": "decontamination",
+    "op9_personal_data": "personal_data",
     "op10_quality_classifier": "quality_classifier",
 }
 
