@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, table
 
 EXAMPLES, LEAST, ALPHA, DEPTH = 1000, 20, 0.01, 6
 KINDS = ("assign", "access", "hex")
@@ -164,7 +164,7 @@ def credentials(docs: DataFrame) -> DataFrame:
 
 def infer(docs: DataFrame, examples: int = EXAMPLES) -> dict[str, Automaton]:
     """An automaton of each kind that has examples enough; at most ``examples`` of a kind reach the driver."""
-    values = credentials(docs)
+    values = materialize(credentials(docs), "secret-credentials")
     taken = None
     for kind in KINDS:
         some = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples)
