@@ -55,7 +55,7 @@ def resume(landing: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def since(raw: DataFrame, seconds: int) -> DataFrame:
     """Chunks whose id (nanoseconds) is not before ``seconds``."""
-    return raw.where(F.col("chunk_id") >= F.lit(seconds) * 1_000_000_000)
+    return raw.where(F.col("chunk_id") >= F.lit(seconds * 1_000_000_000).cast("long"))
 
 
 def write(df: DataFrame, path: str, by: tuple[str, ...] = ("market",)) -> None:
