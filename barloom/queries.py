@@ -100,7 +100,7 @@ def s2_resume_after_last_chunk(spark, sf):
     return trades.resume(raw, raw.where(F.col("chunk_id") <= F.length("market") % 3))
 
 
-@register(f"WITH {TICKS} SELECT market, seq, ts_us, price, volume FROM ticks WHERE ts_us * 1000 >= 1705000000 * 1000000000")
+@register(f"WITH {TICKS} SELECT market, seq, ts_us, price, volume FROM ticks WHERE ts_us * 1000 >= 1705000000000000000")
 def s3_chunks_since(spark, sf):
     raw = ticks(spark, sf).withColumn("chunk_id", F.col("ts_us") * 1000)
     return trades.since(raw, 1_705_000_000).select("market", "seq", "ts_us", "price", "volume")
