@@ -14,7 +14,7 @@ Search. Equal texts are first folded to one node (a 128-bit digest). In each buc
 leader only, so a bucket of k members makes k-1 pairs: first in buckets of three neighbouring bands, then of two, then of one, each time only
 across the components found so far. Where a bucket then still holds several components, all its pairs across components are compared if it has
 ``SMALL`` members at most. The members of larger ones are matched by prefixes: ordered from rare to common, texts of similarity 0.8 share a run
-among the first fifth of each, so only pairs that do are compared, and no link between components that share a bucket is lost. With 24 bands of
+among the first fifth of each (rarity by a sketch of ``SLOTS`` counters), so only pairs that do are compared, and no link between components that share a bucket is lost. With 24 bands of
 6 a pair of similarity 0.8 shares a bucket with probability 0.9993.
 
 Cases: a text that is null or has no word is a class of its own row, whatever else is empty. A null doc_id is kept as null; it never gives
@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components
 from .shared import materialize, table
 
-WORDS, SIMILARITY, BANDS, ROWS, SMALL = 5, 0.8, 24, 6, 32
+WORDS, SIMILARITY, BANDS, ROWS, SMALL, SLOTS, POINTS = 5, 0.8, 24, 6, 32, 1 << 20, 1 << 18
 _U = np.uint64
 _COMPONENT, _LEVEL = _U(0x632BE59BD9B4E019), _U(0xA0761D6478BD642F)
 
@@ -87,25 +87,28 @@ def _fill(out: np.ndarray, doc: np.ndarray, element: np.ndarray, weight: np.ndar
 
 
 def _process(out: np.ndarray, doc: np.ndarray, seed: np.ndarray, weight: np.ndarray, low: int, high: int, limit: np.ndarray, size: int) -> None:
-    """Points of rate (high - low) for each component, up to each text's limit, as many at a time as are expected."""
-    flat, rate, step, clock = out.ravel(), float(size * (high - low)), 0, np.zeros(len(doc))
+    """Points of rate (high - low) for each component, up to each text's limit, as many at a time as are expected, POINTS in all."""
+    flat, rate = out.ravel(), float(size * (high - low))
     expected = rate * limit[doc]
-    todo = [(k, np.flatnonzero(np.floor(np.log2(np.maximum(expected, 1))) == k)) for k in range(int(np.log2(max(expected.max(), 1))) + 1)]
-    for k, rows in todo:
-        step, many = 0, 1 if k == 0 else int(1.3 * 2 ** (k + 1))
-        now = clock[rows]
-        while len(rows):
-            x = seed[rows, None] + ta._G * (np.arange(step, step + many, dtype=np.uint64) + _U(1))[None, :]
-            t = now[:, None] + np.cumsum(-np.log(_uniform(x)), axis=1) / rate
-            r, c = np.nonzero(t < limit[doc[rows]][:, None])
-            point, when, row = x[r, c], t[r, c], rows[r]
-            if high - low > 1:
-                keep = low + _uniform(point ^ _LEVEL) * (high - low) < weight[row]
-                point, when, row = point[keep], when[keep], row[keep]
-            component = ((ta.mix(point ^ _COMPONENT) >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
-            np.minimum.at(flat, doc[row] * size + component, when)
-            go = t[:, -1] < limit[doc[rows]]
-            rows, now, step = rows[go], t[go, -1], step + many
+    size_class = np.floor(np.log2(np.maximum(expected, 1))).astype(np.int64)
+    for k in np.unique(size_class):
+        many = 1 if k == 0 else int(1.3 * 2 ** (k + 1))
+        own = np.flatnonzero(size_class == k)
+        at_once = max(1, POINTS // many)
+        for first in range(0, len(own), at_once):
+            rows, now, step = own[first : first + at_once], np.zeros(min(at_once, len(own) - first)), 0
+            while len(rows):
+                x = seed[rows, None] + ta._G * (np.arange(step, step + many, dtype=np.uint64) + _U(1))[None, :]
+                t = now[:, None] + np.cumsum(-np.log(_uniform(x)), axis=1) / rate
+                r, c = np.nonzero(t < limit[doc[rows]][:, None])
+                point, when, row = x[r, c], t[r, c], rows[r]
+                if high - low > 1:
+                    keep = low + _uniform(point ^ _LEVEL) * (high - low) < weight[row]
+                    point, when, row = point[keep], when[keep], row[keep]
+                component = ((ta.mix(point ^ _COMPONENT) >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
+                np.minimum.at(flat, doc[row] * size + component, when)
+                go = t[:, -1] < limit[doc[rows]]
+                rows, now, step = rows[go], t[go, -1], step + many
 
 
 def _band_hashes(times: np.ndarray, rows: int) -> np.ndarray:
@@ -126,7 +129,7 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, parts, some = b.column("text"), [], []
-            for _, data, at in ta.chunks(texts):
+            for _, data, at in ta.chunks(texts, most=ta.CHUNK_BYTES // 2):
                 bag = _bags(data, at, words)
                 times = signatures(*bag, len(at) - 1, bands * rows)
                 some.append(~np.isinf(times[:, 0]))
@@ -197,28 +200,58 @@ def _leaders(members: DataFrame, of: DataFrame | None) -> DataFrame:
     return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
+def _tokens(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the first text, index of the text, token, size of each text); a run that occurs w times makes w tokens, so sets stand for multisets."""
+    for base, data, at in ta.chunks(texts):
+        doc, element, weight = _bags(data, at, words)
+        again = np.repeat(np.arange(len(doc)), weight)
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight)
+        yield base, doc[again], ta.mix(element[again] * ta._STEP + nth.astype(_U)), np.bincount(doc, weight, minlength=len(at) - 1).astype(np.int64)
+
+
+def _sketch(texts: DataFrame, words: int) -> np.ndarray:
+    """How often tokens occur, by SLOTS slots of their hashes: never less than the truth. A fixed size, so it may reach the driver and every task."""
+    part = 1 << 14
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for _, _, token, _ in _tokens(b.column("text"), words):
+                total += np.bincount((token % _U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        for k in range(0, SLOTS, part):
+            if total[k : k + part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + part]])], ["slot", "counts"])
+
+    def add(pdf):
+        return pdf.iloc[:1].assign(counts=[np.sum(np.stack(pdf["counts"].to_list()), axis=0)])
+
+    schema = "slot long, counts array<long>"
+    out = np.zeros(SLOTS, np.int64)
+    for r in texts.mapInArrow(of, schema).groupBy("slot").applyInPandas(add, schema).collect():
+        out[r.slot : r.slot + part] = r.counts
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
 def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, component, token, size, rank) of the rarest runs of each text, so many that texts similar enough share one of them.
+    """(node, component, token, size, rank) of the rarest tokens of each text, so many that texts similar enough share one of them.
 
-    A run that occurs w times makes w tokens, so that the similarity of multisets is that of sets.
+    Any one order of all tokens will do; theirs is by the sketch. A token that the sketch counts once has no partner and is left out.
     """
+    rows = texts.join(apart, "node").select("node", "component", "text")
+    often = _sketch(rows, words)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for base, data, at in ta.chunks(b.column("text"), most=ta.CHUNK_BYTES // 4):
-                doc, element, weight = _bags(data, at, words)
-                again = np.repeat(np.arange(len(doc)), weight)
-                nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight)
-                token = ta.mix(element[again] * ta._STEP + nth.astype(_U)).view(np.int64)
-                size = np.bincount(doc, weight, minlength=len(at) - 1).astype(np.int64)
-                rows = doc[again]
-                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(base + rows)), pa.array(token), pa.array(size[rows])], ["node", "token", "size"])
-
-    tokens = materialize(texts.join(apart.select("node"), "node").select("node", "text").mapInArrow(of, "node binary, token long, size long"), "dedup-tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "token"))
-    prefix = tokens.join(often, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-    return prefix.join(apart, "node").select("node", "component", "token", "size", "rank")
+            for base, doc, token, size in _tokens(b.column("text"), words):
+                count = often[(token % _U(SLOTS)).astype(np.int64)]
+                order = np.lexsort((token, count, doc))
+                doc, token, count = doc[order], token[order], count[order]
+                rank = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+                keep = (rank <= size[doc] - np.ceil(size[doc] * similarity - 1e-9) + 1) & (count > 1)
+                at = pa.array(base + doc[keep])
+                yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("component").take(at), pa.array(token[keep].view(np.int64)), pa.array(size[doc[keep]]), pa.array(rank[keep])], ["node", "component", "token", "size", "rank"])
+
+    return rows.mapInArrow(of, "node binary, component binary, token long, size long, rank long")
 
 
 def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
