@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = ("market",)
 
@@ -54,7 +55,7 @@ def sequential_bootstrap(bars: DataFrame, labels: DataFrame, replicates: int, dr
     return spans.groupBy(*keys, "replicate").applyInPandas(of, f"{kinds}, replicate int, label_us long, draw long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal(z: pd.Series) -> pd.Series:
     """The distribution function of the standard normal, which Spark lacks."""
     return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
