@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of lower-case letter words (ASCII letters and all longer code points; the rest separates). A document is contaminated by
+Texts are sequences of lower-case words (ASCII letters and digits and all longer code points; the rest separates). A document is contaminated by
 an item of n words if some stretch of it is within floor(``rate`` * n) word edits (insertion, deletion, substitution) of the item.
 
 Windows. A stretch within k edits keeps one of any k+1 equal pieces of the item whole, so it holds a run of q = min(3, n // (k + 1)) words
@@ -38,7 +38,7 @@ _U = np.uint64
 def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(index of the first text, number of texts, hashes, index of the text) by chunk."""
     for base, data, at in ta.chunks(texts, lower=True):
-        starts, ends, doc = ta.spans(data, at, ta.NOT_LETTER)
+        starts, ends, doc = ta.spans(data, at, ta.NOT_WORD)
         yield base, len(at) - 1, ta.hashes(data, starts, ends), doc
 
 

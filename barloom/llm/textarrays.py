@@ -19,6 +19,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but letters separates letter words; bytes of longer code points count as letters.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: The same, with digits in words.
+NOT_WORD = NOT_LETTER.copy()
+NOT_WORD[48:58] = False
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
 
