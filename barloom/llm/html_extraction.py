@@ -265,7 +265,7 @@ def train(pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
         model.learn(nodes, labels_of(nodes, own=False))
     if pages is not None:
         some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("html").alias("h"), F.coalesce(F.col("url"), F.lit("")).alias("u"), "html")
-        own = [(n, y) for r in some.orderBy("h", "u").limit(sample).select(F.expr("substring(html, 1, 200000)").alias("html")).collect() for n in [parse(r.html)[0]] for y in [labels_of(n, own=True)] if y]
+        own = [(n, y) for r in some.orderBy("h", "u").limit(sample).collect() for n in [parse(r.html)[0]] for y in [labels_of(n, own=True)] if y]
         weight = sum(map(len, hand)) / max(1, sum(len(n) for n, _ in own))
         for nodes, y in own:
             model.learn(nodes, y, min(1.0, weight))

@@ -3,7 +3,8 @@
 Base kinds (leftmost non-overlapping, failing matches dropped): ``assign`` is a key word, a colon or equals sign and a value of 6 or more
 characters; ``access`` is AKIA and capitals or digits, 20 or more in all; ``hex`` is 24 or more lower-case hexadecimal digits.
 
-Method. Spark gathers the distinct base credentials of all documents; ``EXAMPLES`` of each kind, those of the least hashes, label the fit. Each
+Method. Spark gathers the distinct base credentials of all documents; ``EXAMPLES`` of each kind, of ``LONGEST`` characters
+at most and of the least hashes, label the fit. Each
 becomes a string of character classes. Per kind, a prefix tree of the strings is merged state by state where two states' frequencies agree
 within Hoeffding's bound (all the way down), which yields a probabilistic automaton. Candidates are runs of 16 or more credential characters
 with a letter and a digit. A candidate's format likelihood is its log-probability; it is reported as a span of kind ``format`` if it is no
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-EXAMPLES, LEAST, ALPHA, DEPTH = 1000, 20, 0.01, 6
+EXAMPLES, LEAST, LONGEST, ALPHA, DEPTH = 1000, 20, 1024, 0.01, 6
 KINDS = ("assign", "access", "hex")
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -167,11 +168,11 @@ def infer(docs: DataFrame, examples: int = EXAMPLES) -> dict[str, Automaton]:
     values = materialize(credentials(docs), "secret-credentials")
     taken = None
     for kind in KINDS:
-        some = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(examples)
+        some = values.where((F.col("kind") == kind) & (F.length("value") <= LONGEST)).orderBy(F.xxhash64("value"), "value").limit(examples)
         taken = some if taken is None else taken.unionByName(some)
     by = defaultdict(list)
     for r in taken.collect():
-        by[r.kind].append(shape(r.value[:4096]))  # the automaton's length, not the texts', is bounded
+        by[r.kind].append(shape(r.value))
     return {k: Automaton(sorted(v)) for k, v in by.items() if len(v) >= LEAST}
 
 
