@@ -7,7 +7,7 @@ Messages go up from the leaves and down from the root (sum-product), which gives
 is largest is kept.
 
 Both tables are counts over labelled pages: the hand-labelled layouts below, and pages of the input that label themselves by sectioning
-elements (``article`` or ``main``; ``nav``, ``footer``, ``aside``, ``form`` ...), of which ``SAMPLE`` at most are used, those of the least hashes.
+elements (``article`` or ``main``; ``nav``, ``footer``, ``aside``, ``form`` ...), of which ``SAMPLE`` different ones at most are used, those of the least hashes.
 
 Cases: null, empty or text-free html: empty text. Unclosed, crossing and stray tags are tolerated; ``script``, ``style``, ``head``, comments and the
 like hold no text. Character references are decoded; white space inside a block becomes one space; blocks are joined by one newline, in page order.
@@ -264,8 +264,10 @@ def train(pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     for nodes in hand:
         model.learn(nodes, labels_of(nodes, own=False))
     if pages is not None:
-        some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("html").alias("h"), F.coalesce(F.col("url"), F.lit("")).alias("u"), "html")
-        own = [(n, y) for r in some.orderBy("h", "u").limit(sample).collect() for n in [parse(r.html)[0]] for y in [labels_of(n, own=True)] if y]
+        some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("html"))
+        chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
+        taken = some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if chosen else []
+        own = [(n, y) for r in taken for n in [parse(r.html)[0]] for y in [labels_of(n, own=True)] if y]
         weight = sum(map(len, hand)) / max(1, sum(len(n) for n, _ in own))
         for nodes, y in own:
             model.learn(nodes, y, min(1.0, weight))
