@@ -76,14 +76,18 @@ def disclosing(found: DataFrame, docs: DataFrame, window: int = WINDOW, support:
     spans = spans.select("doc", F.concat_ws(":", "w.k", "w.v").alias("entity"), F.lower(F.concat_ws("\n", left, right)).alias("context"))
     n_e = spans.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = spans.select("entity", "context").distinct().select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), 0))).alias("term"))
-    pairs = materialize(terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(n_e, "entity"), "personal-pairs")
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(n_e, "entity")
+    n_all = docs.count()
+    ratio = n_all / F.col("n_e")
+    # the disclosure falls as n(t) grows; a term that documents with matches alone hold too often for it needs no count over all
+    within = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("n_et") * F.pow(ratio, 1 - disclosure) * (1 + 1e-9)
+    pairs = materialize(pairs.join(within, "term").where(F.col("least") <= most), "personal-pairs")
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
     n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n_all"))
-    pairs = pairs.join(n_t, "term").crossJoin(F.broadcast(total))  # one row
-    learnt = F.log(F.col("n_all") * F.least("n_et", "n_t") / (F.col("n_e") * F.col("n_t"))) / F.nullif(F.log(F.col("n_all") / F.col("n_e")), F.lit(0.0))
-    return pairs.where(learnt >= disclosure).select("term").distinct()
+    learnt = F.try_divide(F.log(ratio * F.least("n_et", "n_t") / F.col("n_t")), F.log(ratio))
+    return pairs.join(n_t, "term").where(learnt >= disclosure).select("term").distinct()
 
 
 def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
