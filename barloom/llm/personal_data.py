@@ -3,18 +3,19 @@
 Base kinds (leftmost non-overlapping, failing matches dropped, no retries): ``email``; ``ip`` with parts up to 255; ``card`` of 14 to 19 digits that
 pass Luhn's test; ``phone`` of 10 to 15 digits.
 
-Method. Every base match is a protected entity e, by kind and value. Terms are lower-case runs of 3 or more letters. Around each match, ``WINDOW``
-characters on either side make a context; copies of a context count once. n(e,t) is the number of e's contexts with t, n(e) and n(t) are the
-numbers of documents with e and with t, over all N documents. The disclosure of e by t is the pointwise mutual information as a share of what
-there is to learn of e: log(N n(e,t) / (n(e) n(t))) / log(N / n(e)); it is 1 if t is found with e alone. A term with at least
-``SUPPORT`` contexts and a disclosure of ``DISCLOSURE`` or more is removed: each of its occurrences in any document is a span of kind ``term``.
-
-Positions are code points, ends exclusive. Matches' positions come from the lengths of the pieces that the same pattern splits the text into.
+Method. Every base match is a protected entity e, by kind and normalised value: digits of cards and phone numbers, small letters of emails, parts
+of addresses without leading zeros. Terms are lower-case runs of 3 or more letters. All counts are of distinct texts, by digest: n(e,t) of those with t
+within ``WINDOW`` characters of e, n(e) and n(t) of those with e and with t at all, N of all. The disclosure of e by t is the pointwise mutual
+information as a share of what there is to learn of e, log(p(e|t) / p(e)) / log(1 / p(e)), with p(e) = n(e) / N and p(e|t) smoothed towards it:
+(n(e,t) + ``PRIOR`` p(e)) / (n(t) + ``PRIOR``). So a single text is weaker evidence, but no entity is too rare to have terms. A term
+with a disclosure of ``DISCLOSURE`` or more is removed: each of its occurrences in any document is a span of kind ``term``.
+
+Matches' positions come from the lengths of the pieces that the same pattern splits the text into.
 Possessive repeats and the guard before a run keep the patterns linear and do not change what they match: a run's first character always matches if a
 later one does.
 
-Cases: a null text counts as empty: no spans, and the digest of the empty string. Null ids stay null. Repeated rows are found each and count each in
-n(e), n(t) and N; other columns of the input are ignored.
+Cases: a null text counts as empty: no spans, and the digest of the empty string. Null ids stay null. Repeated rows are found each and count once in
+n(e,t), n(e), n(t) and N; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-WINDOW, SUPPORT, DISCLOSURE, CHUNK = 80, 3, 0.8, 256
+WINDOW, PRIOR, DISCLOSURE, CHUNK = 80, 1.0, 0.8, 256
 KINDS = ("email", "ip", "card", "phone", "term")
 # What may stand in a text at all if the kind does, the pattern, and the test of a match v.
 PATTERNS = {
@@ -38,6 +39,8 @@ PATTERNS = {
     "phone": ("contains(t, '+')", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '')) between 10 and 15"),
 }
 TERM = r"\p{L}{3,}"
+# Forms of one value, by kind k, become one entity.
+NORMAL = r"case w.k when 0 then lower(w.v) when 1 then regexp_replace(w.v, '(?<![0-9])0+(?=[0-9])', '') else regexp_replace(w.v, '[^0-9]', '') end"
 _SPAN = "struct<s: int, k: int, e: int, v: string>"
 
 
@@ -65,36 +68,39 @@ def listed(spans: str) -> F.Column:
     return F.expr(f"array_join(transform({spans}, w -> concat_ws(':', element_at(array({names}), w.k + 1), w.s, w.e)), ',')")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term) of the terms that reveal a protected entity; ``found`` is (doc, t, found) of the documents with base spans."""
-    spans = found.select("doc", "t", F.explode("found").alias("w"))
+def digest_of(text: str) -> F.Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term) of the terms that reveal a protected entity; ``found`` is (digest, t, found) of the texts with base spans, each once."""
+    spans = found.select("digest", "t", F.explode("found").alias("w"))
     left = F.expr(f"substring(t, greatest(w.s - {window}, 0) + 1, least({window}, w.s))")
     right = F.expr(f"substring(t, w.e + 1, {window})")
     # words that the window cuts are none
     left = F.when(F.col("w.s") > window, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
     right = F.when(F.length("t") > F.col("w.e") + window, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    spans = spans.select("doc", F.concat_ws(":", "w.k", "w.v").alias("entity"), F.lower(F.concat_ws("\n", left, right)).alias("context"))
-    n_e = spans.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = spans.select("entity", "context").distinct().select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), 0))).alias("term"))
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(n_e, "entity")
-    n_all = docs.count()
-    ratio = n_all / F.col("n_e")
-    # the disclosure falls as n(t) grows; a term that documents with matches alone hold too often for it needs no count over all
+    spans = spans.select("digest", F.concat_ws(":", "w.k", F.expr(NORMAL)).alias("entity"), F.lower(F.concat_ws("\n", left, right)).alias("context"))
+    n_e = spans.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    terms = spans.select("entity", "digest", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), 0))).alias("term")).distinct()
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(n_e, "entity")
+    p_e = F.col("n_e") / docs.select(digest_of("text").alias("digest")).distinct().count()
+    # the disclosure falls as n(t) grows: it is enough up to ``most`` texts; nothing is left to learn of an entity that all texts hold
+    most = (F.col("n_et") + prior * p_e) / F.pow(p_e, 1 - disclosure) * (1 + 1e-9) - prior
+    pairs = pairs.where(p_e < 1).groupBy("term").agg(F.max(most).alias("most"))
+    # a term that texts with matches alone hold too often needs no count over all
     within = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    most = F.col("n_et") * F.pow(ratio, 1 - disclosure) * (1 + 1e-9)
-    pairs = materialize(pairs.join(within, "term").where(F.col("least") <= most), "personal-pairs")
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    learnt = F.try_divide(F.log(ratio * F.least("n_et", "n_t") / F.col("n_t")), F.log(ratio))
-    return pairs.join(n_t, "term").where(learnt >= disclosure).select("term").distinct()
+    wanted = materialize(pairs.join(within, "term").where(F.col("least") <= F.col("most")).select("term", "most"), "personal-wanted")
+    words = docs.select(digest_of("text").alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
+    n_t = words.join(wanted.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    return wanted.join(n_t, "term").where(F.col("n_t") <= F.col("most")).select("term")
 
 
-def spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, digest) for each row; digest is the text's MD5."""
     marked = base(docs).withColumn("digest", F.md5(F.col("t").cast("binary")))
-    some = materialize(marked.where(F.size("found") > 0).select(F.monotonically_increasing_id().alias("doc"), "t", "found"), "personal-found")
-    terms = materialize(disclosing(some, docs, window, support, disclosure), "personal-terms")
+    some = materialize(marked.where(F.size("found") > 0).select("digest", "t", "found").dropDuplicates(["digest"]), "personal-found")
+    terms = materialize(disclosing(some, docs, window, prior, disclosure), "personal-terms")
     counts = [F.expr(f"cast(size(filter(found, w -> w.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     rows = marked.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"))
     if terms.isEmpty():
@@ -114,9 +120,9 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.join(own, "digest").dropDuplicates(["digest"]).select("digest", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, text): base matches are generalised to their kind in brackets, disclosing terms removed; null texts stay null."""
-    found = spans(docs, window, support, disclosure).select("digest", "spans").dropDuplicates(["digest"])
+    found = spans(docs, window, prior, disclosure).select("digest", "spans").dropDuplicates(["digest"])
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).join(found, "digest")
     parts = "transform(filter(split(spans, ','), x -> x <> ''), x -> split(x, ':'))"
     mark = "if(x[0] = 'term', '', concat('[', upper(x[0]), ']'))"

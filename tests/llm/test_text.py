@@ -304,6 +304,17 @@ def test_personal_spans_and_disclosing_terms(spark):
     assert clean[64] == "call " and "[EMAIL]" in clean[0] and clean[30] == told[30] and clean[65] is None
 
 
+def test_copied_and_rare_entities_disclose(spark):
+    filler = [f"plain text about the weather number {i}" for i in range(400)]
+    copied = [f"record {i} of Quandrel with quan@x.org in it" for i in range(3)] * 100
+    rare = ["ask Vimbrasto at vimb@y.org about the weather", "letter to vimbrasto", "pay 4111 1111 1111 1111 by Ostrevane", "pay 4111-1111-1111-1111 by ostrevane"]
+    texts = filler + copied + rare
+    spans = {r.doc_id: r.spans for r in personal_data.spans(docs(spark, texts)).collect()}
+    assert all("term:12:20" in spans[400 + i].split(",") for i in range(300))
+    assert all("term:%d:%d" % at in spans[i].split(",") for i, at in ((700, (4, 13)), (701, (10, 19)), (702, (27, 36)), (703, (27, 36))))
+    assert all(spans[i] == "" for i in range(400))
+
+
 # pages
 def test_main_text():
     model = html_extraction.train()
