@@ -6,9 +6,11 @@ characters; ``access`` is AKIA and capitals or digits, 20 or more in all; ``hex`
 Method. Spark gathers the distinct base credentials of all documents; ``EXAMPLES`` of each kind, of ``LONGEST`` characters
 at most and of the least hashes, label the fit. Each
 becomes a string of character classes. Per kind, a prefix tree of the strings is merged state by state where two states' frequencies agree
-within Hoeffding's bound (all the way down), which yields a probabilistic automaton. Candidates are runs of 16 or more credential characters
-with a letter and a digit. A candidate's format likelihood is its log-probability; it is reported as a span of kind ``format`` if it is no
-shorter than the kind's examples, its mean per symbol is as typical as theirs, it beats a model of ordinary words, and no base span overlaps it.
+within Hoeffding's bound all the way down, which yields a probabilistic automaton. Candidates are all runs of characters that an ``assign``
+value may have, their pieces between ``=``, ``/`` and ``.``, and what follows each of these (up to ``LONGEST`` characters). A candidate's format
+likelihood is its log-probability; it is typical if it is no shorter than the kind's examples, its mean per symbol is as typical as theirs,
+and it beats a model of ordinary words and numbers. Of a run the longest typical candidates that do not overlap are reported as spans of kind
+``format`` where no base span overlaps them.
 
 Cases: a null text counts as empty: no spans, and the digest of the empty string. Without examples of a kind (fewer than ``LEAST``) there is no
 automaton of it. Positions are code points, ends exclusive. Repeated rows are scanned each; other columns of the input are ignored.
@@ -28,15 +30,14 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-EXAMPLES, LEAST, LONGEST, ALPHA, DEPTH = 1000, 20, 1024, 0.01, 6
+EXAMPLES, LEAST, LONGEST, ALPHA = 1000, 20, 1024, 0.01
 KINDS = ("assign", "access", "hex")
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the longest run from the first AKIA: shorter ones fail
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs: shorter ones fail
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+CANDIDATE, _MARK = re.compile(r"[A-Za-z0-9+/_.=-]+"), re.compile(r"[=/.]+")
 _CLASS = {c: k for k, chars in {"d": "0123456789", "a": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in chars}
 
 Span = tuple[int, int, str]
@@ -84,15 +85,19 @@ class Automaton:
     def _differ(self, a: float, n: float, b: float, m: float) -> bool:
         return abs(a / n - b / m) > self._bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
-    def _compatible(self, p: int, q: int, depth: int = DEPTH) -> bool:
-        n, m = self.visits[p], self.visits[q]
-        if self._differ(self.ends[p], n, self.ends[q], m):
-            return False
-        for c in self.uses[p].keys() | self.uses[q].keys():
-            if self._differ(self.uses[p].get(c, 0), n, self.uses[q].get(c, 0), m):
-                return False
-            if depth and c in self.out[p] and c in self.out[q] and not self._compatible(self.out[p][c], self.out[q][c], depth - 1):
+    def _compatible(self, p: int, q: int) -> bool:
+        """Whether p and q and all that follow them agree; q is the root of a tree."""
+        todo = [(p, q)]
+        while todo:
+            p, q = todo.pop()
+            n, m = self.visits[p], self.visits[q]
+            if self._differ(self.ends[p], n, self.ends[q], m):
                 return False
+            for c in self.uses[p].keys() | self.uses[q].keys():
+                if self._differ(self.uses[p].get(c, 0), n, self.uses[q].get(c, 0), m):
+                    return False
+                if c in self.out[p] and c in self.out[q]:
+                    todo.append((self.out[p][c], self.out[q][c]))
         return True
 
     def _fold(self, p: int, q: int) -> None:
@@ -144,12 +149,14 @@ class Automaton:
 
 
 class Background:
-    """Pairs of classes in ordinary words: small letters mostly, a capital in front."""
+    """Classes in ordinary runs, the likeliest of three sorts: words of small letters with a capital in front, words of capitals, and numbers."""
 
-    LOG = {"l": math.log(0.6), "a": math.log(0.36), "d": math.log(0.01), "A": math.log(0.01), "U": math.log(0.015)}
+    WORD = {"l": math.log(0.6), "a": math.log(0.36), "d": math.log(0.01), "A": math.log(0.01), "U": math.log(0.015)}
+    CAPITALS = {"U": math.log(0.6), "A": math.log(0.36), "d": math.log(0.01), "a": math.log(0.01), "l": math.log(0.015)}
+    NUMBER = {"d": math.log(0.8)} | {c: math.log(0.04) for c in "+-./="}
 
     def score(self, s: str) -> float:
-        return sum(self.LOG.get(c, math.log(0.0005)) for c in s)
+        return max(sum(sort.get(c, math.log(0.0005)) for c in s) for sort in (self.WORD, self.CAPITALS, self.NUMBER))
 
 
 def credentials(docs: DataFrame) -> DataFrame:
@@ -176,16 +183,35 @@ def infer(docs: DataFrame, examples: int = EXAMPLES) -> dict[str, Automaton]:
     return {k: Automaton(sorted(v)) for k, v in by.items() if len(v) >= LEAST}
 
 
+def candidates(run: str, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the run, its pieces between marks and what follows each mark, the longest first."""
+    out, at = {(0, len(run))}, 0
+    for m in _MARK.finditer(run):
+        out.add((at, m.start()))
+        at = m.end()
+        if len(run) - at <= LONGEST:
+            out.add((at, len(run)))
+    out.add((at, len(run)))
+    return sorted((x for x in out if x[1] - x[0] >= least), key=lambda x: (x[0] - x[1], x))
+
+
 def all_spans(text: str, automata: dict[str, Automaton], ordinary: Background) -> tuple[list, list[Span]]:
     """Base spans, and all spans by start."""
     base = base_spans(text)
     spans = [s[:3] for s in base]
-    if automata and _DIGIT.search(text):
+    if automata:
+        least = min(a.least for a in automata.values())
         for m in CANDIDATE.finditer(text):
-            if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, e, *_ in base):
-                form = shape(m[0])
-                if any(a.accepts(form, ordinary) for a in automata.values()):
-                    spans.append((m.start(), m.end(), "format"))
+            if m.end() - m.start() < least:
+                continue
+            taken = [s[:2] for s in base if s[0] < m.end() and m.start() < s[1]]
+            for a, b in candidates(m[0], least):
+                start, end = m.start() + a, m.start() + b
+                if not any(s < end and start < e for s, e in taken):
+                    form = shape(m[0][a:b])
+                    if any(x.accepts(form, ordinary) for x in automata.values()):
+                        spans.append((start, end, "format"))
+                        taken.append((start, end))
     return base, sorted(spans, key=lambda s: (s[0], (*KINDS, "format").index(s[2])))
 
 

@@ -185,6 +185,15 @@ def test_automata_know_their_format():
     assert not a.accepts(secret_scan.shape("sk_abcdefghijklmnopqrst"), words) and not a.accepts(secret_scan.shape("sk_12"), words)
 
 
+def test_short_and_glued_keys_are_scored():
+    rng = random.Random(13)
+    key = lambda: "".join(rng.choice("0123456789") + rng.choice("GHIJKLMNOP") for _ in range(6))
+    automata, words = {"assign": secret_scan.Automaton([secret_scan.shape(key()) for _ in range(200)])}, secret_scan.Background()
+    for text, at in (("see %s here", 4), ("AUTH_KEY=%s", 9), ("/v1/hook/%s", 9), ("a.%s.b", 2)):
+        assert (at, at + 12, "format") in secret_scan.all_spans(text % key(), automata, words)[1]
+    assert secret_scan.all_spans("HYPHENATED 202411281530 on 2024-11-28 ordinary-looking words", automata, words)[1] == []
+
+
 # mixing
 def test_mix_meets_targets(spark):
     rng = random.Random(7)
