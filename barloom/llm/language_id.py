@@ -2,7 +2,7 @@
 
 Words are lower-case letter words. Learning counts, over all documents that may be learnt from, the byte 4-grams and the scripts of the
 words of each language. A word's score under a language is the sum over its grams of the logarithm of the conditional probability of the last byte
-given the three before, smoothed towards 1/256; a gram is kept if its share of its language is at least 1 / ``GRAMS``, which bounds the model.
+given the three before, smoothed towards 1/256; all counted grams are kept.
 A language is a candidate for a word if at least ``SHARE`` of its learnt words are of the word's script (the code point ranges of its first
 letter); if there is no such language, all are candidates. The best path pays ``PENALTY`` for each change of language. The text's language is the
 one whose spans hold most letters (the first by name on a tie), and the score is its share of them.
@@ -24,7 +24,7 @@ from . import textarrays as ta
 from .bytegrams import count_grams, distinct_words, grams_of
 from .shared import materialize, table
 
-ORDER, GRAMS, SHARE, PENALTY, CELLS, SMOOTH = 4, 1 << 17, 0.001, 12.0, 1 << 23, 2.0
+ORDER, SHARE, PENALTY, CELLS, SMOOTH = 4, 0.001, 12.0, 1 << 23, 2.0
 _U = np.uint64
 # The first code points of blocks, and the script from there on (0: none of these).
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "kana", "han")
@@ -71,19 +71,17 @@ class Model:
         return np.where(able, out, out.min(axis=1, keepdims=True) - 1e4).astype(np.float32)
 
 
-def train(docs: DataFrame, most: int = GRAMS) -> Model | None:
-    """Counts of all rows with a language that are not held out; at most ``most`` grams of a language reach the driver."""
+def train(docs: DataFrame) -> Model | None:
+    """Counts of all rows with a language that are not held out; all their grams reach the driver."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     grams = materialize(count_grams(rows, True, ta.NOT_LETTER, ORDER), "lang-grams")
-    totals = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
+    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(totals)
     code = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
-    least = F.create_map(*[F.lit(x) for k in langs for x in (k, totals[k] / most)])
     context = F.shiftright("gram", 8)
     sums = grams.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
-    kept = grams.where(F.col("n") >= F.element_at(least, F.col("lang"))).withColumn("context", context).join(sums, ["lang", "context"])
+    kept = grams.withColumn("context", context).join(sums, ["lang", "context"])
     p = F.log((F.col("n") + SMOOTH / 256) / (F.col("total") + SMOOTH))
     found = kept.select(F.element_at(code, F.col("lang")).alias("lang"), "gram", p.alias("p")).toPandas()
     floor = np.full(len(langs), np.log(SMOOTH / 256 / (50 + SMOOTH)))

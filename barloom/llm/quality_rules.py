@@ -4,8 +4,7 @@ Base counts follow ``[^\\x20\\x09-\\x0D]+`` words and \\n-split lines. A text fa
 of its words lie in 8-word windows that occur twice or more in it.
 
 Model. Spark counts the 5-grams of bytes of all words (spaces before and after) of all documents by language, and from them the continuation
-counts of the lower orders, the counts of counts and each context's totals. Grams whose count is under 1 / ``GRAMS`` of their language's
-total are dropped, so an order keeps at most ``GRAMS`` of a language; their mass goes through the lower order. Log-probabilities and back-off weights lie in
+counts of the lower orders, the counts of counts and each context's totals. All counted grams are kept. Log-probabilities and back-off weights lie in
 arrays sorted by the hash of (language, gram), which every task gets and searches. Discounts are Chen and Goodman's three for each order.
 
 Verdict. A text's value is the logarithm of its perplexity per byte. Quartiles of the values of all documents that pass the base give each
@@ -29,7 +28,7 @@ from . import textarrays as ta
 from .bytegrams import ORDER, count_grams, distinct_words, grams_of
 from .shared import materialize, table
 
-GRAMS, FENCE, SHORT = 1 << 18, 3.0, 10.0
+FENCE, SHORT = 3.0, 10.0
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 _U = np.uint64
@@ -66,8 +65,8 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, most: int = GRAMS) -> Model:
-    """Count, discount and collect the model: at most ``most`` grams and contexts of each order and language reach the driver."""
+def train(docs: DataFrame) -> Model:
+    """Count, discount and collect the model: all grams and contexts reach the driver."""
     grams = materialize(count_grams(docs, lower=False, separators=ta.SPACE), "grams-5")
     langs: list[str | None] = sorted((r.lang for r in grams.select("lang").distinct().collect()), key=lambda x: (x is not None, x))
     code = {x: i for i, x in enumerate(langs)}
@@ -79,19 +78,16 @@ def train(docs: DataFrame, most: int = GRAMS) -> Model:
             # what follows the start of a word has no other left neighbour than the start
             grams = grams.groupBy("lang", short.alias("gram")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
             grams = materialize(grams.select("lang", "gram", F.when(edge, F.col("all")).otherwise(F.col("kinds")).alias("n")), f"grams-{n}")
-        stats = grams.groupBy("lang").agg(*(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)), F.sum("n").alias("total")).collect()
-        discount, total = np.zeros((len(langs), 4)), np.ones(len(langs))
+        stats = grams.groupBy("lang").agg(*(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
+        discount = np.zeros((len(langs), 4))
         for r in stats:
             n1, n2, n3, n4 = (max(x, 1) for x in (r.n1, r.n2, r.n3, r.n4))
             y = n1 / (n1 + 2 * n2)
             discount[code[r.lang], 1:] = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.1, 0.2, 0.3], [0.9, 1.8, 2.7])
-            total[code[r.lang]] = r.total
-        least = F.create_map(*[x for l in langs for x in (F.lit(l or ""), F.lit(float(total[code[l]]) / most))])
-        kept = grams.where(F.col("n") >= F.element_at(least, F.coalesce("lang", F.lit(""))))
         context = F.shiftright("gram", 8).alias("context")
         kinds = [F.sum((F.col("n") == k).cast("long")).alias(f"k{k}") for k in (1, 2)] + [F.sum((F.col("n") > 2).cast("long")).alias("k3")]
         contexts = grams.groupBy("lang", context).agg(F.sum("n").alias("sum"), *kinds)
-        rows = kept.withColumn("context", F.shiftright("gram", 8)).alias("g").join(contexts.alias("c"), F.expr("g.lang <=> c.lang AND g.context = c.context"))
+        rows = grams.withColumn("context", F.shiftright("gram", 8)).alias("g").join(contexts.alias("c"), F.expr("g.lang <=> c.lang AND g.context = c.context"))
         parts[n] = (rows.select(F.col("g.lang").alias("lang"), "gram", "n", "sum", "k1", "k2", "k3").toPandas(), discount)
     prob, back = [None] * (ORDER + 1), [None] * (ORDER + 1)
     known = Model(langs, [(np.zeros(0, _U), np.zeros(0))] * (ORDER + 1), [(np.zeros(0, _U), np.zeros(0))] * (ORDER + 1))

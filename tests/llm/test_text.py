@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -272,6 +273,15 @@ def test_quality_rules_base_and_bands(spark):
     assert all(got[i].kept for i in range(300)) and not got[junk].kept and not got[junk + 1].kept
 
 
+def test_models_keep_rare_grams_of_large_inputs(spark):
+    rows = docs(spark, ["stone river " * 5000] * 12 + ["xylograph"], ids=list(range(13)))
+    rules = quality_rules.train(rows)
+    found, _ = rules._find(rules.prob[5], quality_rules._key(np.zeros(1, np.int64), np.array([int.from_bytes(b"graph", "big")], np.uint64)))
+    assert found.all()
+    languages = language_id.train(docs(spark, ["stone river " * 5000] * 12 + ["xylograph"] * 4, ids=list(range(12)) + [100, 101, 102, 103]))
+    assert int.from_bytes(b"raph", "big") in languages.keys
+
+
 def test_quality_classifier_learns_held_out(spark):
     rng = random.Random(11)
     good = [prose(rng, rng.randrange(30, 200)) for _ in range(300)]
