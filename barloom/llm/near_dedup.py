@@ -99,7 +99,10 @@ def _process(out: np.ndarray, doc: np.ndarray, seed: np.ndarray, weight: np.ndar
             rows, now, step = own[first : first + at_once], np.zeros(min(at_once, len(own) - first)), 0
             while len(rows):
                 x = seed[rows, None] + ta._G * (np.arange(step, step + many, dtype=np.uint64) + _U(1))[None, :]
-                t = now[:, None] + np.cumsum(-np.log(_uniform(x)), axis=1) / rate
+                gaps = -np.log(_uniform(x))
+                gaps[:, 0] += now
+                gone = np.cumsum(gaps, axis=1)  # added one by one, so that a point's time has the same bits whatever ``many`` is
+                t = gone / rate
                 r, c = np.nonzero(t < limit[doc[rows]][:, None])
                 point, when, row = x[r, c], t[r, c], rows[r]
                 if high - low > 1:
@@ -108,7 +111,7 @@ def _process(out: np.ndarray, doc: np.ndarray, seed: np.ndarray, weight: np.ndar
                 component = ((ta.mix(point ^ _COMPONENT) >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
                 np.minimum.at(flat, doc[row] * size + component, when)
                 go = t[:, -1] < limit[doc[rows]]
-                rows, now, step = rows[go], t[go, -1], step + many
+                rows, now, step = rows[go], gone[go, -1], step + many
 
 
 def _band_hashes(times: np.ndarray, rows: int) -> np.ndarray:

@@ -104,6 +104,18 @@ def test_signatures_estimate_weighted_similarity():
     assert (s[0] == s[1]).mean() == pytest.approx(near_dedup.overlaps(texts[:1], texts[1:], 1)[0], abs=0.03)
 
 
+def test_signatures_do_not_depend_on_the_size_class():
+    from barloom.llm import textarrays as ta
+
+    words = ["w%d" % i for i in range(1300)]
+    texts = pa.array([" ".join(words[:n]) for n in (300, 560, 590, 1300)])
+    _, data, at = next(ta.chunks(texts))
+    s = near_dedup.signatures(*near_dedup._bags(data, at, 1), 4, 144)  # 560 and 590 runs lie on both sides of two expected points
+    for a in s:
+        for b in s:
+            assert (np.isclose(a, b, rtol=1e-12, atol=0) == (a == b)).all()
+
+
 def test_components(spark):
     links = spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "c"), ("x", "y")], "a string, b string")
     assert {r.node: r.component for r in components.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
