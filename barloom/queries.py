@@ -580,22 +580,27 @@ def d5_unit_root_p_values(spark, sf):
 
 @register()
 def d6_d_values(spark, sf):
-    return rounded(stationarity.d_values(_walks(spark, sf), (0.3, 0.6, 0.9)))
+    return rounded(stationarity.d_values(_derived(spark, sf)))
 
 
-def _walks(spark, sf):
-    """Running sums of log-returns, which are far from stationary, beside a column that is not."""
-    b = features.differences(features.log_columns(clean.segments(hours(spark, sf), DAY)), (1,))
-    w = Window.partitionBy("market").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)
-    return stationarity.long_form(b.withColumn("walk", F.sum("logvalue").over(w)), ["walk", "hl"], ["market", "segment", "ts_us"])
+def _derived(spark, sf):
+    """All columns that mass_features makes, in long form, by market and gap segment."""
+    from .plans.jobs import materialize
+
+    made = features.mass_features(clean.segments(hours(spark, sf), 7 * DAY), ("market", "segment"))
+    return materialize(stationarity.long_form(made, _names(made), ["market", "segment", "ts_us"]))
+
+
+def _names(made):
+    return [c for c in made.columns if c not in ("market", "segment", "ts_us")]
 
 
 @register()
 def d7_make_stationary(spark, sf):
     from .plans.jobs import materialize
 
-    rows = materialize(_walks(spark, sf))
-    return rounded(stationarity.make_stationary(rows, materialize(stationarity.d_values(rows, (0.3, 0.6, 0.9))), (0.3, 0.6, 0.9, 1.0)))
+    rows = _derived(spark, sf)
+    return rounded(stationarity.make_stationary(rows, materialize(stationarity.d_values(rows))))
 
 
 # --- folds and importance
@@ -776,4 +781,4 @@ def job_b_labels(spark, sf):
 @register()
 def job_c_features(spark, sf):
     b = clean.segments(hours(spark, sf), 7 * DAY)
-    return rounded(features_job(b, ["logclose", "sma20", "logvolume"], (0.5, 1.0))[1])
+    return rounded(features_job(b, _names(features.mass_features(b, ("market", "segment"))))[1])
