@@ -10,12 +10,16 @@ weight, so that a range the weight covers only in part is thinned. A component's
 in a component with a probability equal to their weighted Jaccard similarity. Points beyond the time by which all components are expected
 to be filled are never made; a text with an empty component is done again with twice that time.
 
-Search. Equal texts are first folded to one node (a 128-bit digest). In each bucket of equal bands every member is compared with one
-leader only, so a bucket of k members makes k-1 pairs: first in buckets of three neighbouring bands, then of two, then of one, each time only
-across the components found so far. Where a bucket then still holds several components, all its pairs across components are compared if it has
-``SMALL`` members at most. The members of larger ones are matched by prefixes: ordered from rare to common, texts of similarity 0.8 share a run
-among the first fifth of each (rarity by a sketch of ``SLOTS`` counters), so only pairs that do are compared, and no link between components that share a bucket is lost. With 24 bands of
-6 a pair of similarity 0.8 shares a bucket with probability 0.9993.
+Search. Equal texts are first folded to one node (the MD5 of the text). In each bucket of equal bands, and of two and three neighbouring bands, every
+member is compared with the bucket's least node, so a bucket of k members makes k-1 pairs; then, where a bucket holds several components, with one node
+that a hash of its own picks for each bucket. Where a bucket still holds several components, all its pairs across components are
+compared if it has ``SMALL`` members at most. The members of larger ones are matched by prefixes: ordered from rare to common, texts of
+similarity 0.8 share a run among the first fifth of each (rarity by a sketch of ``SLOTS`` counters), so only pairs that do are compared, and no link
+between components that share a bucket is lost. With 24 bands of 6 a pair of similarity 0.8 shares a bucket with probability 0.9993. The components are contracted
+before what was found last is added to them.
+
+Hot groups. Copies of one text meet in aggregations with partial results only; nodes with more than one in ``HOT`` of all rows, of which there are
+fewer than ``HOT``, are joined to their rows by a broadcast of that proven size. Tables are broadcast behind a count of their rows, else joined by shuffles.
 
 Cases: a text that is null or has no word is a class of its own row, whatever else is empty. A null doc_id is kept as null; it never gives
 a class its name unless the class has no other. Repeated rows are equal texts. Other columns of the input are ignored.
@@ -28,15 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .components import components
-from .shared import materialize, table
+from .components import components, merged
+from .shared import counted, discard, materialize, small, table
 
-WORDS, SIMILARITY, BANDS, ROWS, SMALL, SLOTS, POINTS = 5, 0.8, 24, 6, 32, 1 << 20, 1 << 18
+WORDS, SIMILARITY, BANDS, ROWS, SMALL, HOT, SLOTS, POINTS = 5, 0.8, 24, 6, 32, 1000, 1 << 20, 1 << 18
 _U = np.uint64
 _COMPONENT, _LEVEL = _U(0x632BE59BD9B4E019), _U(0xA0761D6478BD642F)
 
@@ -122,8 +125,8 @@ def _band_hashes(times: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _digests(texts: pa.Array) -> pa.Array:
-    return pa.array([xxhash.xxh3_128_digest(x or "") for x in texts.to_pylist()], pa.binary())
+def _node(text: str = "text") -> F.Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,19 +145,9 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             keys, has = np.concatenate(parts), np.concatenate(some)
             ends = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()), mask=pa.array(~has))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.if_else(pa.array(has), _digests(texts), pa.scalar(None, pa.binary())), lists], ["doc_id", "node", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, node binary, keys array<long>")
-
-
-def digests_of(docs: DataFrame) -> DataFrame:
-    """(node, text) for each row that has text."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([_digests(b.column("text")), b.column("text")], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.if_else(pa.array(has), b.column("node"), pa.scalar(None, pa.binary())), lists], ["doc_id", "node", "keys"])
 
-    return docs.select("text").where(F.col("text").isNotNull()).mapInArrow(of, "node binary, text string")
+    return docs.select(F.col("doc_id").cast("long"), "text", _node().alias("node")).mapInArrow(of, "doc_id long, node binary, keys array<long>")
 
 
 def overlaps(one: pa.Array, other: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -192,17 +185,6 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(of, "a binary, b binary")
 
 
-def _leaders(members: DataFrame, of: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of each member and the leader of its bucket, where their components differ."""
-    if of is None:
-        members = members.withColumn("component", F.col("node"))
-    else:
-        members = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    pairs = members.join(split.select("bucket", "lead"), "bucket").where("component != lead.component")
-    return pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-
-
 def _tokens(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(index of the first text, index of the text, token, size of each text); a run that occurs w times makes w tokens, so sets stand for multisets."""
     for base, data, at in ta.chunks(texts):
@@ -235,12 +217,11 @@ def _sketch(texts: DataFrame, words: int) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, component, token, size, rank) of the rarest tokens of each text, so many that texts similar enough share one of them.
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, component, token, size, rank) of the rarest tokens of each text of ``rows`` (node, component, text), so many that texts similar enough share one.
 
     Any one order of all tokens will do; theirs is by the sketch. A token that the sketch counts once has no partner and is left out.
     """
-    rows = texts.join(apart, "node").select("node", "component", "text")
     often = _sketch(rows, words)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +238,47 @@ def _prefixes(apart: DataFrame, texts: DataFrame, words: int, similarity: float)
     return rows.mapInArrow(of, "node binary, component binary, token long, size long, rank long")
 
 
-def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, similarity: float, small: int) -> DataFrame:
-    """All pairs (a, b) of different components that share a bucket and may be similar enough.
+def _leaders(buckets: DataFrame, bands: int) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket and its least node; also of buckets of two and three neighbouring bands, whose members are more alike."""
+    own = buckets.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own"))  # a node has as many as there are bands at most
+    band = lambda i, k: F.element_at("own", ((i + k) % bands).cast("int"))
+
+    def joined(m: int) -> F.Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.when(sum((band(i, k).isNull().cast("int") for k in range(m)), F.lit(0)) == 0, F.xxhash64(i, *(band(i, k) for k in range(m)))))
+
+    wide = own.select("node", F.explode(F.array_compact(F.concat(joined(2), joined(3)))).alias("bucket"))
+    wide = wide.join(wide.groupBy("bucket").agg(F.min("node").alias("lead")), "bucket")
+    return buckets.select("node", "lead").unionByName(wide.select("node", "lead")).where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
 
-    Small buckets give their pairs as they are; the members of larger ones are matched by the rarest runs, which misses no similar pair.
+def _across(buckets: DataFrame, of: DataFrame, n_of: int) -> DataFrame:
+    """The members, with their components, of buckets that hold several components."""
+    members = buckets.join(small(of, n_of), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return materialize(members.join(split.select("bucket"), "bucket"), "dedup-apart")
+
+
+def _others(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member and one node of another component in its bucket, the first by a hash that differs from bucket to bucket."""
+    lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node", "component")).alias("by"))
+    pairs = members.join(lead, "bucket").where("component != by.component")
+    return pairs.select(F.least("node", "by.node").alias("a"), F.greatest("node", "by.node").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, texts: DataFrame, words: int, similarity: float, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) of different components that share a bucket and may be similar enough; and the written tables they read.
+
+    Pairs with a bucket's least node are done before. Small buckets give their other pairs as they are; the members of larger ones are matched by
+    the rarest runs, which misses no similar pair.
     """
-    members = buckets.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    members = materialize(members.join(split.select("bucket", "n"), "bucket"), "dedup-apart")
-    few = members.where(F.col("n") <= small)
-    x, y = (few.select("bucket", F.col("node").alias(n), F.col("component").alias("c" + n)) for n in "ab")
+    tight = members.where((F.col("n") <= few) & (F.col("node") != F.col("lead")))
+    x, y = (tight.select("bucket", F.col("node").alias(k), F.col("component").alias("c" + k)) for k in "ab")
     pairs = x.join(y, "bucket").where("ca != cb and a < b").select("a", "b")
-    apart = materialize(members.where(F.col("n") > small).select("node", "component").distinct(), "dedup-large")
-    if apart.isEmpty():
-        return pairs.distinct()
-    prefix = materialize(_prefixes(apart, texts, words, similarity), "dedup-prefixes")
+    apart = members.where(F.col("n") > few).select("node", "component").distinct()
+    large, seen = counted(texts.join(apart, "node").select("node", "component", "text"), "dedup-large")
+    if not seen["n"]:
+        return pairs.distinct(), [large]
+    prefix = materialize(_prefixes(large, words, similarity), "dedup-prefixes")
     # the component most rows of a token belong to needs no pairs of its own
     main = prefix.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
     marked = prefix.join(main.where("kinds > 1").select("token", F.col("main.component").alias("main")), "token")
@@ -280,35 +287,42 @@ def _rest(buckets: DataFrame, of: DataFrame, texts: DataFrame, words: int, simil
     # what both have from here on must suffice for the overlap that their sizes ask for
     enough = 1 + F.least(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry")) >= F.ceil((F.col("sx") + F.col("sy")) * (similarity / (1 + similarity)) - 1e-9)
     more = x.join(y, "token").where("cx != cy").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.unionByName(more).distinct()
+    return pairs.unionByName(more).distinct(), [large, prefix]
 
 
-def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, few: int = SMALL) -> DataFrame:
     """(doc_id, class_id, node, is_kept) for each row; class_id is the least doc_id of the class, is_kept marks that document's rows."""
-    signed = materialize(sign(docs, words, bands, rows), "dedup-signatures")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    members = nodes.select("node", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    signed, seen = counted(sign(docs, words, bands, rows), "dedup-signatures", F.count("node").alias("with_words"))
+    per_node = signed.where(F.col("node").isNotNull()).groupBy("node")
+    members = per_node.agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
     buckets = materialize(members.join(shared, "bucket"), "dedup-buckets")
     candidates = buckets.select("node").distinct()
-    keyed = materialize(nodes.select("node", "keys").join(candidates, "node", "left_semi"), "dedup-candidates")
-    texts = materialize(digests_of(docs).join(candidates, "node", "left_semi").dropDuplicates(["node"]), "dedup-texts")
-
-    of = tried = links = None
-    for joined in (3, 2, 1):
-        # a bucket of several neighbouring bands holds texts that are more alike
-        key = F.transform("keys", lambda _, i: F.xxhash64(*(F.element_at("keys", (i + k) % bands + 1) for k in range(joined))))  # noqa: B023
-        pairs = _leaders(keyed.select("node", F.explode(key).alias("bucket")), of)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-        found = materialize(verified(pairs, texts, words, similarity), "dedup-links")
-        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
-        of = components(links)
-    pairs = materialize(_rest(buckets, of, texts, words, similarity, small).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-    of = components(links.unionByName(materialize(verified(pairs, texts, words, similarity), "dedup-links")))
-    named = nodes.select("node", "least").join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    texts = docs.select(_node().alias("node"), "text").where(F.col("text").isNotNull()).join(candidates, "node", "left_semi")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "dedup-texts")
+
+    pairs = _leaders(buckets, bands).distinct()
+    links = materialize(verified(pairs, texts, words, similarity), "dedup-links")
+    of, n_of = components(links)
+    members = _across(buckets, of, n_of)
+    found = materialize(verified(_others(members), texts, words, similarity), "dedup-links")
+    of, n_of = merged(of, n_of, found)
+    discard(links, found, members)
+    members = _across(buckets, of, n_of)
+    pairs, read = _rest(members, texts, words, similarity, few)
+    found = materialize(verified(pairs, texts, words, similarity), "dedup-links")
+    of, n_of = merged(of, n_of, found)
+    discard(texts, buckets, found, members, *read)
+
+    per_node = per_node.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    named = per_node.join(small(of, n_of), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("node", "least", "copies", "component"), "dedup-named")
     names = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(names, "component").select("node", "class_id")
-    out = signed.select("doc_id", "node").join(named, "node", "left")
+    named = named.join(names, "component").select("node", "class_id", "copies")
+    hot = F.col("copies") * HOT > seen["with_words"]
+    rows_of = signed.select("doc_id", "node")
+    hot_nodes = F.broadcast(named.where(hot).drop("copies"))
+    out = rows_of.join(hot_nodes, "node").unionByName(rows_of.join(hot_nodes, "node", "left_anti").join(named.where(~hot).drop("copies"), "node", "left"))
     own = F.col("node").isNull()
     return out.select(
         "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node",
@@ -319,16 +333,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with one row of each class."""
     marked = materialize(classes(docs), "dedup-classes")
-    schema = docs.schema
     gone = marked.where("not is_kept").select("doc_id", "node").distinct()
     again = marked.where("is_kept and node is not null").groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node")
-    key = next(f"_node{k}" for k in ("", *range(len(schema) + 1)) if f"_node{k}" not in schema.names)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, _digests(b.column("text"))], [*schema.names, key])
-
-    keyed = docs.mapInArrow(digest, _with(schema, key))
+    key = next(f"_node{k}" for k in ("", *range(len(docs.columns) + 1)) if f"_node{k}" not in docs.columns)
+    keyed = docs.withColumn(key, _node())
     same = lambda t: keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed[key] == t["node"])
     kept = keyed.join(gone, same(gone), "left_anti")
     if again.isEmpty():
@@ -338,11 +346,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return single.unionByName(double).drop(key)
 
 
-def _with(schema, key: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*schema.fields, T.StructField(key, T.BinaryType())])
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")

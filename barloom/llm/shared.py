@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of at most so many rows of a few numbers or digests may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Rows of such a table that one task takes.
+TASK_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; in local mode, where one process sees all, a temporary one if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,7 +31,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def counted(df: DataFrame, name: str, *more: F.Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and what the write itself counts: rows as ``n``, and the named aggregates in ``more``."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), name)
+    return out, seen.get
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its known number of rows allows; else it is joined through a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as a number of rows asks for, where that is fewer than it has: small tables cost few tasks."""
+    return df.coalesce(max(1, math.ceil(rows / TASK_ROWS)))
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote and nothing reads any more."""
+    for df in written:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
