@@ -9,8 +9,8 @@ is largest is kept.
 Both tables are counts over labelled pages: the hand-labelled layouts below, and pages of the input that label themselves by sectioning
 elements (``article`` or ``main``; ``nav``, ``footer``, ``aside``, ``form`` ...), of which ``SAMPLE`` different ones at most are used, those of the least hashes.
 
-Cases: null, empty or text-free html: empty text. Unclosed, crossing and stray tags are tolerated; ``script``, ``style``, ``head``, comments and the
-like hold no text. Character references are decoded; white space inside a block becomes one space; blocks are joined by one newline, in page order.
+Cases: null, empty or text-free html: empty text. Unclosed, crossing and stray tags are tolerated; ``script``, ``style``, ``title``, comments and the
+like hold no text. A page of text without tags is content. Character references are decoded; white space inside a block becomes one space; blocks are joined by one newline, in page order.
 Repeated rows are extracted each; other columns of the input are ignored.
 """
 
@@ -31,7 +31,9 @@ from .shared import table
 SAMPLE, SMOOTH, VOCABULARY = 300, 0.05, 5000
 FRAME, CONTENT, BOILER = range(3)
 # Elements of HTML by how they behave.
-RAW = "script style noscript template textarea title svg math iframe object select head canvas audio video datalist".split()
+RAW = "script style textarea title iframe noembed noframes xmp".split()
+SILENT = frozenset("noscript template svg math object select canvas audio video datalist".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {
@@ -63,6 +65,7 @@ LAYOUTS = [
     "<body><form y=b class='search login' role=search><label>{short}</label><p>{s}</p></form><div class=layout><div y=c class='main post story single'>{h}{p}{q}{t}</div><div y=b class='side rail sidebar'>{box}</div></div></body>",
     "<body><div y=b class='alert warning message announcement notice notification' role=alert><p>{s}</p></div><div y=c class=document>{h}{p}{p}<pre>{x}</pre>{p}</div><div y=b class='author-bio about-author profile'><p>{s}</p></div></body>",
     "<body><dialog y=b><p>{s}</p></dialog><div><div y=c><h2>{short}</h2><div>{x}</div><div>{x}</div></div></div><ol y=b class='commentlist replies reply'>{comment}</ol></body>",
+    "<body><div y=b hidden><p>{s}</p></div><div class=page><div y=b style='display:none' class=box><p>{x}</p></div><div y=c class=text>{p}{p}<p>{s}</p></div><div y=b aria-hidden=true><p>{s}</p>{links}</div></div></body>",
     "<body><div y=c class='blog page-content wiki'>{h}<p>{x}</p><dl><dt>{short}</dt><dd>{x}</dd></dl><h3>{short}</h3>{p}</div><div y=b class='disclaimer terms privacy'><p>{s}</p></div></body>",
 ]
 _PIECES = {
@@ -72,11 +75,13 @@ _PIECES = {
     "{x}": "Many words, which tell a story in a sentence or in two of them. They go on for a while, as prose does, and end here.", "{s}": "One sentence of a few more words.", "{short}": "Two words",
 }
 
+# A quote opens a value only behind an equals sign.
+_ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|(?=<body[\s/>])|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"""\b(class|id|role|y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACES = re.compile(r"\s+")
@@ -92,10 +97,10 @@ class Node:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
     """Nodes (parents first), and the pieces of text with their nodes; None breaks blocks."""
-    nodes, pieces, stack, links, at = [Node("html", "", -1)], [], [("html", 0)], 0, 0
+    nodes, pieces, stack, links, at, silent = [Node("html", "", -1)], [], [("html", 0)], 0, 0, 0
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not silent:
             raw = html.unescape(raw)
             pieces.append((stack[-1][1], raw))
             n = len(raw.strip())
@@ -105,39 +110,45 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
                 node.linked += n if links else 0
                 node.marks = node.marks or _SENTENCE.search(raw) is not None
 
+    def leave(k: int) -> None:
+        nonlocal links, silent
+        links -= sum(t == "a" for t, _ in stack[k:])
+        silent -= sum(t in SILENT for t, _ in stack[k:])
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[3] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() not in ("noscript", "svg", "math", "select"):
+            if m[1]:
                 pieces.append(None)
             continue
-        closing, attrs, inline = m[2] or m[5], m[4] or m[7] or "", tag in INLINE
+        closing, attrs, inline = m[2], m[4] or "", tag in INLINE or tag in ("noscript", "svg", "math", "select")
         if not inline and tag not in ("br", "wbr", "img", "input"):
             pieces.append(None)
         elif tag == "br":
             pieces.append((stack[-1][1], " "))
-        if tag in VOID or tag == "html":
+        if tag in VOID or tag in ("html", "head") or attrs.endswith("/") and (silent or tag in FOREIGN):
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    links = max(0, links - sum(t == "a" for t, _ in stack[k:]))
-                    del stack[k:]
+                    leave(k)
                     break
-                if inline and stack[k][0] not in INLINE:
+                if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if not inline:
+        if not inline and not silent:
             gone = CLOSES.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 t = stack[k][0]
                 if t == "p" or t in gone:
-                    links = max(0, links - sum(x == "a" for x, _ in stack[k:]))
-                    del stack[k:]
+                    leave(k)
                 elif t in SCOPES:
                     break
+        if tag in SILENT:
+            silent += 1
         if tag == "a":
             links += 1
         if attrs.endswith("/") and inline:
@@ -167,10 +178,11 @@ class Model:
 
     def __init__(self) -> None:
         self.seen: Counter = Counter()
-        self.pairs, self.states = [[SMOOTH] * 3 for _ in range(3)], [0.0] * 3
+        self.pairs, self.states, self.roots = [[SMOOTH] * 3 for _ in range(3)], [0.0] * 3, [SMOOTH, SMOOTH, 0.0]
         self.memory: dict = {}
 
     def learn(self, nodes: list[Node], labels: list[int], weight: float = 1.0) -> None:
+        self.roots[labels[0]] += weight
         for node, y in zip(nodes, labels, strict=True):
             self.states[y] += weight
             for t in traits(node):
@@ -193,8 +205,6 @@ class Model:
                 if t in self.known:
                     for y in range(3):
                         x[y] += math.log((self.seen[t, y] + SMOOTH) / (self.states[y] + 20 * SMOOTH))
-                elif t == "hidden":
-                    x[BOILER] += 3.0
             top = max(x)
             if len(self.memory) > VOCABULARY:
                 self.memory.clear()
@@ -205,7 +215,7 @@ class Model:
         """Each node's probabilities of the three states; the root is no boilerplate."""
         n, psi = len(nodes), self.potential
         belief = [list(self.emission(x)) for x in nodes]
-        belief[0] = [belief[0][FRAME], 0.3 * belief[0][CONTENT], 0.0]
+        belief[0] = [b * r for b, r in zip(belief[0], self.roots, strict=True)]
         up: list = [None] * n
         for i in range(n - 1, 0, -1):
             b = belief[i]
@@ -263,6 +273,8 @@ def train(pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     model, hand = Model(), [parse(p)[0] for p in layouts()]
     for nodes in hand:
         model.learn(nodes, labels_of(nodes, own=False))
+    for k in ("{x}", "{s}", "{short}"):  # pages without tags
+        model.learn(parse(_PIECES[k])[0], [CONTENT])
     if pages is not None:
         some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("html"))
         chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
