@@ -1,4 +1,4 @@
-"""Byte n-grams of words, counted over all documents by language in bounded memory."""
+"""Byte n-grams of words or of running text, counted over all documents by language in bounded memory."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 
-ORDER, FLUSH = 5, 1 << 20
+FLUSH = 1 << 20
 _EDGE = 0x20
+#: Stands before a running text; no word holds it.
+START = 0x0A
 
 
-def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the word, packed gram) for each byte of each word and the space after it; spaces stand before the word. Last byte lowest."""
     size = ends - starts
     of = np.repeat(np.arange(len(starts)), size + 1)
@@ -37,8 +39,27 @@ def distinct_words(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np
     return first, inverse, count
 
 
-def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over the words of all texts; a task hands on each of its grams once for every FLUSH grams it met at most."""
+def running_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, packed gram) for each byte of the words of each text, a single space after each; ``START`` stands before the text. Last byte lowest."""
+    size = ends - starts + 1
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    lead = np.zeros(len(doc), np.int64)
+    lead[first] = order - 1
+    out_at = np.cumsum(size + lead) - size
+    total = int(out_at[-1] + size[-1]) if len(doc) else 0
+    line = np.full(total, START, np.uint64)
+    place = np.repeat(out_at - starts, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size))
+    source = np.minimum(place - np.repeat(out_at - starts, size), len(data) - 1)
+    line[place] = data[source]
+    line[out_at + size - 1] = _EDGE
+    gram = line.copy()
+    for k in range(1, order):
+        gram[k:] |= line[:-k] << np.uint64(8 * k)
+    return np.repeat(doc, size), gram[place]
+
+
+def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int, running: bool = False) -> DataFrame:
+    """(lang, gram, n) over the words of all texts or, with ``running``, over the texts; a task hands on each of its grams once for every FLUSH grams it met at most."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str | None, int] = {}
@@ -61,12 +82,17 @@ def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int
                 starts, ends, doc = ta.spans(data, at, separators)
                 if not len(starts):
                     continue
-                group = lang[base + doc]
-                first, _, n = distinct_words(ta.hashes(data, starts, ends), group)
-                word, gram = grams_of(data, starts[first], ends[first], order)
-                key, inverse = np.unique(gram | (group[first][word].astype(np.uint64) << np.uint64(8 * order)), return_inverse=True)
+                group = lang[base + doc].astype(np.uint64) << np.uint64(8 * order)
+                if running:
+                    of_doc, gram = running_grams(data, starts, ends, doc, order)
+                    key, n = np.unique(gram | (lang[base + of_doc].astype(np.uint64) << np.uint64(8 * order)), return_counts=True)
+                else:
+                    first, _, n = distinct_words(ta.hashes(data, starts, ends), group)
+                    word, gram = grams_of(data, starts[first], ends[first], order)
+                    key, inverse = np.unique(gram | group[first][word], return_inverse=True)
+                    n = np.bincount(inverse, n[word])
                 keys.append(key)
-                counts.append(np.bincount(inverse, n[word]))
+                counts.append(n)
                 held += len(key)
                 if held > 2 * FLUSH:
                     k, c = total()

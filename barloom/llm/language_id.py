@@ -5,7 +5,8 @@ words of each language. A word's score under a language is the sum over its gram
 given the three before, smoothed towards 1/256; all counted grams are kept.
 A language is a candidate for a word if at least ``SHARE`` of its learnt words are of the word's script (the code point ranges of its first
 letter); if there is no such language, all are candidates. The best path pays ``PENALTY`` for each change of language. The text's language is the
-one whose spans hold most letters (the first by name on a tie), and the score is its share of them.
+one whose spans hold most letters (code points that are letters; the first by name on a tie), and the score is its share of them. The grams' scores under all
+languages are written as an array sorted by gram, which the workers read from the shared folder.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. Without anything to learn from all are ``und`` with score 0. Ids that are null
 are not held out. Repeated rows are predicted each; other columns of the input are ignored.
@@ -20,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hasharrays
 from . import textarrays as ta
 from .bytegrams import count_grams, distinct_words, grams_of
-from .shared import materialize, table
+from .shared import discard, materialize, table
 
 ORDER, SHARE, PENALTY, CELLS, SMOOTH = 4, 0.001, 12.0, 1 << 23, 2.0
 _U = np.uint64
@@ -45,34 +47,44 @@ def scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1]
 
 
+def letters_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many code points of each word are letters."""
+    sizes, plain = ends - starts, np.concatenate([[0], np.cumsum(data >= 0x80)])
+    wide = np.flatnonzero(plain[ends] > plain[starts])
+    out = sizes.copy()
+    for w in wide:
+        out[w] = sum(map(str.isalpha, data[starts[w] : ends[w]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 class Model:
-    """Log-probabilities of grams by language in one sorted array of keys, and which scripts each language writes."""
+    """The written array of grams (a score for each language), the score of unseen grams, and which scripts each language writes."""
+
+    def __init__(self, langs: list[str], path: str, floor: np.ndarray, writes: np.ndarray) -> None:
+        self.langs, self.path, self.writes, self.floor = langs, path, writes, floor
 
-    def __init__(self, langs: list[str], grams, floor: np.ndarray, writes: np.ndarray) -> None:
-        self.langs, self.writes, self.floor = langs, writes, floor
-        self.keys, at = np.unique(grams["gram"].to_numpy().astype(_U), return_inverse=True)
-        self.table = np.zeros((len(self.keys) + 1, len(langs)), np.float32)
-        self.table[:] = floor
-        self.table[at, grams["lang"].to_numpy()] = grams["p"].to_numpy()
+    def arrays(self) -> hasharrays.HashArray:
+        return hasharrays.load(self.path)
 
     def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A row for each word: its score under each language."""
         word, gram = grams_of(data, starts, ends, ORDER)
-        i = np.minimum(np.searchsorted(self.keys, gram), len(self.keys) - 1)
-        i = np.where(self.keys[i] == gram, i, len(self.keys))
+        arrays = self.arrays()
+        at, hit = arrays.find(gram.view(np.int64))
+        each = np.where(hit[:, None], arrays.values[at], self.floor.astype(np.float32))
         first = np.cumsum(ends - starts + 1) - (ends - starts + 1)
-        out = np.add.reduceat(self.table[i], first, axis=0)
+        out = np.add.reduceat(each, first, axis=0)
         able = self.writes[scripts(data, starts)]
         able[~able.any(axis=1)] = True
         return np.where(able, out, out.min(axis=1, keepdims=True) - 1e4).astype(np.float32)
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Counts of all rows with a language that are not held out; all their grams reach the driver."""
+    """Counts of all rows with a language that are not held out; the languages and their counts of leading bytes reach the driver."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     grams = materialize(count_grams(rows, True, ta.NOT_LETTER, ORDER), "lang-grams")
     langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
@@ -83,8 +95,11 @@ def train(docs: DataFrame) -> Model | None:
     sums = grams.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
     kept = grams.withColumn("context", context).join(sums, ["lang", "context"])
     p = F.log((F.col("n") + SMOOTH / 256) / (F.col("total") + SMOOTH))
-    found = kept.select(F.element_at(code, F.col("lang")).alias("lang"), "gram", p.alias("p")).toPandas()
     floor = np.full(len(langs), np.log(SMOOTH / 256 / (50 + SMOOTH)))
+    # a gram has one row for each language at most
+    rows = kept.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(code, F.col("lang")).alias("lang"), p.alias("p")))).alias("of"))
+    rows = rows.select("gram", F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(float(floor[0])))).cast("array<float>").alias("p"))
+    path = hasharrays.write(rows, "gram", "lang-arrays")
     # words by script: the gram of a word's first byte has spaces only before it, so leading bytes tell the script's block
     lead = grams.where(F.shiftright("gram", 8) == 0x202020).select(F.element_at(code, F.col("lang")).alias("lang"), (F.col("gram") % 256).alias("byte"), "n").collect()
     second = grams.where(F.shiftright("gram", 16) == 0x2020).where(F.shiftright("gram", 8) % 256 >= 0xC0)
@@ -102,7 +117,8 @@ def train(docs: DataFrame) -> Model | None:
     for r in blocks.groupBy("lang", "block").agg(F.sum("n").alias("n"), F.min("low").alias("low")).collect():
         share[scripts(np.array([r.block >> 8, r.block & 255, r.low, 0x80], np.uint8), np.zeros(1, np.int64))[0], r.lang] += r.n
     share /= np.maximum(share.sum(axis=0), 1)
-    return Model(langs, found, floor, share >= SHARE)
+    discard(grams)
+    return Model(langs, path, floor, share >= SHARE)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
@@ -139,26 +155,28 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
     return label
 
 
-def label(texts: pa.Array, model: Model, penalty: float = PENALTY) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the first text, number of texts, index of the text, first byte, last byte + 1, language) of the words of some texts at a time."""
+def label(texts: pa.Array, model: Model, penalty: float = PENALTY) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the first text, number of texts, index of the text, letters, language) of the words of some texts at a time."""
     held, size = [], 0
 
     def flush():
         base = held[0][0]
         n = held[-1][0] + held[-1][1] - base
         doc = np.concatenate([h[2] + h[0] - base for h in held])
-        starts, ends, scores = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+        size, scores = (np.concatenate([h[k] for h in held]) for k in (3, 4))
         count = np.bincount(doc, minlength=n)
-        return base, n, doc, starts, ends, viterbi(scores, np.cumsum(count) - count, count, penalty)
+        return base, n, doc, size, viterbi(scores, np.cumsum(count) - count, count, penalty)
 
     for base, data, at in ta.chunks(texts, lower=True):
         starts, ends, doc = ta.spans(data, at, ta.NOT_LETTER)
+        letters = np.zeros(0, np.int64)
         if len(starts):
             first, inverse, _ = distinct_words(ta.hashes(data, starts, ends), np.zeros(len(starts), np.int64))
             scores = model.scores(data, starts[first], ends[first])[inverse]
+            letters = letters_of(data, starts[first], ends[first])[inverse]
         else:
             scores = np.zeros((0, len(model.langs)), np.float32)
-        held.append((base, len(at) - 1, doc, starts - at[doc], ends - at[doc], scores))
+        held.append((base, len(at) - 1, doc, letters, scores))
         size += scores.size
         if size > CELLS:
             yield flush()
@@ -174,19 +192,17 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = PENALTY) -> D
         for b in batches:
             texts = b.column("text")
             pred, score, runs = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
-            for base, n, doc, starts, ends, lang in label(texts, model, penalty) if model else ():
+            for base, n, doc, letters, lang in label(texts, model, penalty) if model else ():
                 k = len(model.langs)
-                weight = np.bincount(doc * k + lang, ends - starts, minlength=n * k).reshape(n, k)
+                weight = np.bincount(doc * k + lang, letters, minlength=n * k).reshape(n, k)
                 total, best = weight.sum(axis=1), weight.argmax(axis=1)
                 for i in np.flatnonzero(total > 0):
                     pred[base + i], score[base + i] = model.langs[best[i]], weight[i, best[i]] / total[i]
                 edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (lang[1:] != lang[:-1])])) if len(doc) else []
                 for p, q in zip(edge, np.append(edge[1:], len(doc)), strict=True) if len(doc) else ():
                     runs[base + doc[p]].append({"lang": model.langs[lang[p]], "words": int(q - p)})
-            for i, p in enumerate(pred):
-                # longer code points count as letters above; a text of none but signs has no letter
-                if p != "und" and not any(map(str.isalpha, texts[i].as_py())):
-                    pred[i], score[i], runs[i] = "und", 0.0, []
+            for i in np.flatnonzero(score == 0):  # words of none but signs
+                runs[i] = []
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred), pa.array(score), pa.array(runs, kind)], ["doc_id", "lang_pred", "score", "spans"])
 

@@ -3,15 +3,17 @@
 Base counts follow ``[^\\x20\\x09-\\x0D]+`` words and \\n-split lines. A text fails the base if it has fewer than 20 words, or if more than 30 %
 of its words lie in 8-word windows that occur twice or more in it.
 
-Model. Spark counts the 5-grams of bytes of all words (spaces before and after) of all documents by language, and from them the continuation
-counts of the lower orders, the counts of counts and each context's totals. All counted grams are kept. Log-probabilities and back-off weights lie in
-arrays sorted by the hash of (language, gram), which every task gets and searches. Discounts are Chen and Goodman's three for each order.
+Model. Words joined by single spaces are the running text. Spark counts its ``ORDER``-grams of bytes, over the spaces into earlier words, of all
+documents by language, and from them the continuation counts of the lower orders, the counts of counts and each context's totals; no gram is
+dropped. Modified Kneser-Ney with Chen and Goodman's three discounts for each language and order: what a context's discounts free goes to the lower order, down to
+1/256, so a context's probabilities sum to 1. Log-probabilities and back-off weights are written as arrays sorted by the hash of (language, order,
+gram), which the workers read from the shared folder.
 
 Verdict. A text's value is the logarithm of its perplexity per byte. Quartiles of the values of all documents that pass the base give each
 language a lower and an upper band, ``FENCE`` times the quartiles' distance outside the quartiles; a short text's values scatter more, so the bands widen by
 ``SHORT`` / sqrt(bytes). Texts outside are rejected.
 
-Cases: a null text has no words and fails the base; its value is null. A null language is a language of its own. A language none of whose texts
+Cases: a null text has no words and fails the base; its value is null. A null language is a language of its own, and so is the empty one. A language none of whose texts
 passes the base has no bands. Repeated rows count and are judged each; other columns of the input are ignored.
 """
 
@@ -21,91 +23,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hasharrays
 from . import textarrays as ta
-from .bytegrams import ORDER, count_grams, distinct_words, grams_of
-from .shared import materialize, table
+from .bytegrams import START, count_grams, running_grams
+from .shared import counted, discard, materialize, small, table
 
-FENCE, SHORT = 3.0, 10.0
+ORDER, FENCE, SHORT = 6, 3.0, 4.0
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 _U = np.uint64
+_NULL = "null"
 
 
-def _key(lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    return ta.mix(gram.astype(_U) | (lang.astype(_U) << _U(40)))
+def _named(lang: F.Column) -> F.Column:
+    """A name that is never null, and differs for null and every language."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(_NULL))
 
 
-class Model:
-    """Sorted hash arrays of each order: ``prob`` of grams, ``back`` of contexts."""
+def _seed(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name)
+
+
+def _key(seed: np.ndarray, gram: np.ndarray, order: int, back: bool) -> np.ndarray:
+    return ta.mix(ta.mix(gram.astype(_U) + _U((2 * order + back) * int(ta._G) % 2**64)) ^ seed).view(np.int64)
 
-    def __init__(self, langs: list[str | None], prob: list, back: list) -> None:
-        self.langs, self.prob, self.back = langs, prob, back
 
-    @staticmethod
-    def _find(arrays: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = arrays
-        if not len(keys):
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return keys[i] == key, values[i]
+class Model:
+    """The written arrays of each order: ``p`` of grams and ``back`` of contexts, both as logarithms."""
+
+    def __init__(self, paths: dict[int, str]) -> None:
+        self.paths = paths
 
-    def log_prob(self, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    def log_prob(self, seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Of the last byte of each gram after the others; lower orders are read only where a gram is new."""
         out, todo = np.zeros(len(gram)), np.arange(len(gram))
-        for n in range(ORDER, 0, -1):
-            g, l = gram[todo] & _U((1 << 8 * n) - 1), lang[todo]
-            hit, value = self._find(self.prob[n], _key(l, g))
-            out[todo[hit]] += value[hit]
-            todo, g, l = todo[~hit], g[~hit], l[~hit]
-            hit, value = self._find(self.back[n], _key(l, g >> _U(8)))
-            out[todo[hit]] += value[hit]
+        for n in range(max(self.paths, default=0), 0, -1):
+            if not len(todo):
+                return out
+            arrays, g, s = hasharrays.load(self.paths[n]), gram[todo] & _U((1 << 8 * n) - 1), seed[todo]
+            at, hit = arrays.find(_key(s, g, n, False))
+            out[todo[hit]] += arrays.values[at[hit]]
+            todo, g, s = todo[~hit], g[~hit], s[~hit]
+            at, hit = arrays.find(_key(s, g >> _U(8), n, True))
+            out[todo[hit]] += arrays.values[at[hit]]
         out[todo] += np.log(1 / 256)
         return out
 
 
-def train(docs: DataFrame) -> Model:
-    """Count, discount and collect the model: all grams and contexts reach the driver."""
-    grams = materialize(count_grams(docs, lower=False, separators=ta.SPACE), "grams-5")
-    langs: list[str | None] = sorted((r.lang for r in grams.select("lang").distinct().collect()), key=lambda x: (x is not None, x))
-    code = {x: i for i, x in enumerate(langs)}
-    parts: dict[int, tuple] = {}
-    for n in range(ORDER, 0, -1):
-        if n < ORDER:
-            short = F.expr(f"gram & {(1 << 8 * n) - 1}L")
-            edge = F.shiftright("gram", 8 * (n - 1)) == 0x20
-            # what follows the start of a word has no other left neighbour than the start
-            grams = grams.groupBy("lang", short.alias("gram")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-            grams = materialize(grams.select("lang", "gram", F.when(edge, F.col("all")).otherwise(F.col("kinds")).alias("n")), f"grams-{n}")
-        stats = grams.groupBy("lang").agg(*(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
-        discount = np.zeros((len(langs), 4))
-        for r in stats:
-            n1, n2, n3, n4 = (max(x, 1) for x in (r.n1, r.n2, r.n3, r.n4))
-            y = n1 / (n1 + 2 * n2)
-            discount[code[r.lang], 1:] = np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.1, 0.2, 0.3], [0.9, 1.8, 2.7])
-        context = F.shiftright("gram", 8).alias("context")
-        kinds = [F.sum((F.col("n") == k).cast("long")).alias(f"k{k}") for k in (1, 2)] + [F.sum((F.col("n") > 2).cast("long")).alias("k3")]
-        contexts = grams.groupBy("lang", context).agg(F.sum("n").alias("sum"), *kinds)
-        rows = grams.withColumn("context", F.shiftright("gram", 8)).alias("g").join(contexts.alias("c"), F.expr("g.lang <=> c.lang AND g.context = c.context"))
-        parts[n] = (rows.select(F.col("g.lang").alias("lang"), "gram", "n", "sum", "k1", "k2", "k3").toPandas(), discount)
-    prob, back = [None] * (ORDER + 1), [None] * (ORDER + 1)
-    known = Model(langs, [(np.zeros(0, _U), np.zeros(0))] * (ORDER + 1), [(np.zeros(0, _U), np.zeros(0))] * (ORDER + 1))
-    for n in range(1, ORDER + 1):
-        t, d = parts[n]
-        lang = np.array([code[None if x is None or x != x else x] for x in t["lang"]], np.int64)
-        gram, count = t["gram"].to_numpy().astype(_U), t["n"].to_numpy()
-        total = t["sum"].to_numpy().astype(float)
-        gamma = (d[lang, 1] * t["k1"] + d[lang, 2] * t["k2"] + d[lang, 3] * t["k3"]).to_numpy() / total
-        lower = known.log_prob(lang, gram & _U((1 << 8 * (n - 1)) - 1)) if n > 1 else np.full(len(gram), np.log(1 / 256))
-        p = np.log(np.maximum(count - d[lang, np.minimum(count, 3)], 0) / total + gamma * np.exp(lower))
-        key = _key(lang, gram)
-        order = np.argsort(key)
-        prob[n] = (key[order], p[order])
-        key, first = np.unique(_key(lang, gram >> _U(8)), return_index=True)
-        back[n] = (key, np.log(gamma[first]))
-        known.prob[n], known.back[n] = prob[n], back[n]
-    return known
+def _arrays(lang: str, rows: DataFrame, order: int) -> DataFrame:
+    """(key, value) of a written order: its grams' log-probabilities and its contexts' back-off weights."""
+    first = F.row_number().over(Window.partitionBy(lang, "context").orderBy("gram")) == 1
+    rows = rows.withColumn("gamma", F.when(first, F.col("gamma")))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                names = b.column(lang).dictionary_encode()
+                seed = np.array([_seed(x) for x in names.dictionary.to_pylist()], _U)[names.indices.to_numpy()]
+                gram, p, gamma = (b.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "p", "gamma"))
+                gram, some = gram.view(_U), ~np.isnan(gamma)
+                key = np.concatenate([_key(seed, gram, order, False), _key(seed[some], gram[some] >> _U(8), order, True)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log(np.concatenate([p, gamma[some]])).astype(np.float32))], ["key", "value"])
+
+    return rows.select(lang, "gram", "p", "gamma").mapInArrow(of, "key long, value float")
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count, discount and write the model. A context has 256 grams at most, so its window is small; languages' discounts are joined by a checked broadcast."""
+    rows = docs.select(_named(F.col("lang")).alias("lang"), "text")
+    counts = {order: counted(count_grams(rows, False, ta.SPACE, order, running=True), f"grams-{order}")}
+    for n in range(order - 1, 0, -1):
+        short = F.expr(f"gram & {(1 << 8 * n) - 1}L")
+        # before the start of a text there is nothing else than the start
+        edge = F.shiftright("gram", 8 * (n - 1)) == START
+        grams = counts[n + 1][0].groupBy("lang", short.alias("gram")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        counts[n] = counted(grams.select("lang", "gram", F.when(edge, F.col("all")).otherwise(F.col("kinds")).alias("n")), f"grams-{n}")
+    paths, lower, n_lower = {}, None, 0
+    for n in range(1, order + 1):
+        grams, seen = counts[n]
+        c = F.col("n")
+        some = grams.where("n <= 4").groupBy("lang").agg(*(F.greatest(F.count_if(c == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        clip = lambda x, k: F.greatest(F.lit(0.1 * k), F.least(F.lit(0.9 * k), x)).alias(f"d{k}")
+        some = some.select(F.col("lang"), *(clip(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), k) for k in (1, 2, 3)))
+        discount = [F.coalesce(f"d{k}", F.lit(0.5 * k)) for k in (1, 2, 3)]
+        context = Window.partitionBy("lang", "context")
+        kinds = sum((d * F.count_if(c == k if k < 3 else c >= 3).over(context) for k, d in enumerate(discount, 1)), F.lit(0.0))
+        rows = grams.withColumn("context", F.shiftright("gram", 8)).join(small(some, seen["n"]), "lang", "left")
+        rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("gamma", kinds / F.col("total"))
+        own = (c - F.when(c == 1, discount[0]).when(c == 2, discount[1]).otherwise(discount[2])) / F.col("total")
+        if lower is None:
+            rows = rows.withColumn("p", own + F.col("gamma") / 256)
+        else:
+            rest = small(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("q")), n_lower)
+            rows = rows.withColumn("own", own).withColumn("rest", F.expr(f"gram & {(1 << 8 * (n - 1)) - 1}L")).join(rest, ["lang", "rest"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
+        before = lower
+        lower, n_lower = materialize(rows.select("lang", "context", "gram", "p", "gamma"), f"kneser-ney-{n}"), seen["n"]
+        paths[n] = hasharrays.write(_arrays("lang", lower, n), "key", f"kneser-ney-arrays-{n}")
+        discard(before, grams)
+    discard(lower)
+    return Model(paths)
 
 
 SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double"
@@ -113,11 +134,10 @@ SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
     """The base counts and the logarithm of the perplexity per byte for each row."""
-    code = {x: i for i, x in enumerate(model.langs)}
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang = np.array([code.get(x, 0) for x in b.column("lang").to_pylist()], np.int64)
+            names = b.column("name").dictionary_encode()
+            seed = np.array([_seed(x) for x in names.dictionary.to_pylist()], _U)[names.indices.to_numpy()] if b.num_rows else np.zeros(0, _U)
             found = []
             for base, data, at in ta.chunks(b.column("text")):
                 n = len(at) - 1
@@ -135,12 +155,9 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
                 np.add.at(cover, place[twice], 1)
                 np.add.at(cover, place[twice] + 8, -1)
                 covered = np.cumsum(cover)[:-1] > 0
-                group = lang[base + doc]
-                first, inverse, _ = distinct_words(words, group)
-                word, gram = grams_of(data, starts[first], ends[first])
-                each = np.bincount(word, model.log_prob(group[first][word], gram), minlength=len(first))
-                n_bytes = np.bincount(doc, ends - starts + 1, minlength=n)
-                log_p = np.bincount(doc, each[inverse], minlength=n)
+                of_doc, gram = running_grams(data, starts, ends, doc, ORDER)
+                n_bytes = np.bincount(of_doc, minlength=n)
+                log_p = np.bincount(of_doc, model.log_prob(seed[base + of_doc], gram), minlength=n)
                 found.append([
                     np.bincount(doc, minlength=n), ta.per_text(visible & _HEAD[data], at), ta.per_text(_SYMBOLS[data], at),
                     np.bincount(l_doc[again], minlength=n), np.bincount(doc[covered], minlength=n), n_bytes,
@@ -151,7 +168,7 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*(pa.array(c.astype(np.int64)) for c in counts), pa.array(value, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(of, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), _named(F.col("lang")).alias("name"), "text").mapInArrow(of, SCHEMA)
 
 
 def judge(docs: DataFrame, fence: float = FENCE, short: float = SHORT) -> DataFrame:
