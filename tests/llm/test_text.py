@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import (
-    components, decontamination, html_extraction, language_id, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, source_mix, token_counts,
+    components, decontamination, hasharrays, html_extraction, language_id, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, source_mix, token_counts,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, node string"
@@ -82,7 +82,7 @@ def test_near_duplicate_classes_are_those_of_brute_force(spark):
                 if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
                     a, b = sorted((root(i), root(j)))
                     parent[b] = a
-    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), small=4).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), few=4).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
     kept = near_dedup.keep_one(docs(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in range(len(texts))}) and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
@@ -118,7 +118,7 @@ def test_signatures_do_not_depend_on_the_size_class():
 
 def test_components(spark):
     links = spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "c"), ("x", "y")], "a string, b string")
-    assert {r.node: r.component for r in components.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+    assert {r.node: r.component for r in components.components(links)[0].collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
 
 
 # decontamination
@@ -186,41 +186,81 @@ def test_secret_spans(spark):
         assert got[i].base_sha256 == hashlib.sha256(brute_secrets(t).encode()).hexdigest()
         assert set(filter(None, brute_secrets(t).split(","))) <= set(got[i].spans.split(","))
     assert got[len(texts) - 1].spans == ""
-    clean = secret_scan.redact(rows, {}).collect()
-    assert all(not brute_secrets(r.text) or "[SECRET]" in r.text for r in clean) and all(r.n_chars == len(r.text) for r in clean)
-
-
-def test_automata_know_their_format():
-    rng = random.Random(6)
-    keys = ["sk_" + "".join(rng.choice("0123456789") for _ in range(20)) for _ in range(200)]
-    a, words = secret_scan.Automaton([secret_scan.shape(k) for k in keys]), secret_scan.Background()
-    assert a.accepts(secret_scan.shape("sk_01234567890123456789"), words)
-    assert not a.accepts(secret_scan.shape("sk_abcdefghijklmnopqrst"), words) and not a.accepts(secret_scan.shape("sk_12"), words)
+    clean = secret_scan.redact(rows, secret_scan.infer(rows)).collect()
+    assert all(not brute_secrets(r.text.replace("[SECRET]", "\0")) or "[SECRET]" in r.text for r in clean) and all(r.n_chars == len(r.text) for r in clean)
+
+
+def ordinary_text():
+    text = "The quiet river ran past seven stone gardens. HEADLINES on 2024-11-28 told of 1530 letters; a well-known window, and so on. " * 50
+    k = np.concatenate([[0], secret_scan._NUMBER[np.frombuffer(text.encode(), np.uint8)], [0]])
+    n = len(secret_scan.SYMBOLS)
+    return secret_scan.Background(np.bincount(k[:-1] * n + k[1:], minlength=n * n).astype(float))
+
+
+def test_automata_learn_lengths_prefixes_and_order():
+    rng, shape, words = random.Random(6), secret_scan.shape, ordinary_text()
+    digits, hexes = (lambda n, of=of: "".join(rng.choice(of) for _ in range(n)) for of in ("0123456789", "0123456789abcdef"))
+    a = secret_scan.learn([shape(hexes(40)) for _ in range(131)])
+    assert len({t for o in a.out for t in o.values()}) >= 40
+    share = lambda x, make, n=200: sum(x.accepts(shape(make()), words) for _ in range(n)) / n
+    assert share(a, lambda: hexes(40)) >= 0.9 and share(a, lambda: hexes(64)) == 0 and share(a, lambda: hexes(39)) == 0
+    both = secret_scan.learn([shape("sk_" + digits(20) if i % 2 else hexes(40)) for i in range(300)])
+    assert share(both, lambda: "sk_" + digits(20)) >= 0.9 and share(both, lambda: hexes(40)) >= 0.9 and share(both, lambda: "sk_" + hexes(20)) <= 0.05
+    loose = secret_scan.learn([shape("".join(rng.choice("0123456789ghijklmnopGHIJKLMNOP") for _ in range(rng.randrange(10, 30)))) for _ in range(300)])
+    assert share(loose, lambda: "".join(rng.choice("0123456789ghijklmnopGHIJKLMNOP") for _ in range(rng.randrange(12, 28)))) >= 0.9
+    for a in (a, both, loose):
+        assert not any(a.accepts(shape(w), words) for w in "The quiet river gardens 2024-11-28 HEADLINES well-known extraordinarily-longwords".split())
+
+
+def test_scan_scores_are_those_of_each_candidate_alone():
+    rng, words = random.Random(14), ordinary_text()
+    a = secret_scan.learn([secret_scan.shape("".join(rng.choice("0123456789abcdef") for _ in range(8))) for _ in range(50)])
+    for _ in range(200):
+        form = secret_scan.shape("".join(rng.choice("01234abcde=/.") for _ in range(30)))
+        for start, end, score, _ in a.scan(form, words):
+            part = form[start:end]
+            assert score == pytest.approx((a.likelihood(part) - words.between(form, words.sums(form), start, end)) / (len(part) + 1))
 
 
 def test_short_and_glued_keys_are_scored():
     rng = random.Random(13)
     key = lambda: "".join(rng.choice("0123456789") + rng.choice("GHIJKLMNOP") for _ in range(6))
-    automata, words = {"assign": secret_scan.Automaton([secret_scan.shape(key()) for _ in range(200)])}, secret_scan.Background()
+    formats = secret_scan.Formats({"assign": secret_scan.learn([secret_scan.shape(key()) for _ in range(200)])}, ordinary_text())
     for text, at in (("see %s here", 4), ("AUTH_KEY=%s", 9), ("/v1/hook/%s", 9), ("a.%s.b", 2)):
-        assert (at, at + 12, "format") in secret_scan.all_spans(text % key(), automata, words)[1]
-    assert secret_scan.all_spans("HYPHENATED 202411281530 on 2024-11-28 ordinary-looking words", automata, words)[1] == []
+        assert (at, at + 12, "format") in secret_scan.all_spans(text % key(), formats)[1]
+    assert secret_scan.all_spans("HYPHENATED 202411281530 on 2024-11-28 ordinary-looking words", formats)[1] == []
+
+
+def test_credentials_without_key_words_are_found(spark):
+    rng = random.Random(15)
+    key = lambda n=40: "".join(rng.choice("0123456789GHIJKL") for _ in range(n))
+    texts = [f'{prose(rng, 30)} token = "{key()}" {prose(rng, 10)}' for _ in range(130)]
+    texts += [f"{prose(rng, 20)} {key()} {prose(rng, 10)}" for _ in range(60)] + [f"{prose(rng, 20)} {key(64)} {prose(rng, 10)}" for _ in range(60)]
+    rows = docs(spark, texts)
+    got = {r.doc_id: r for r in secret_scan.scan(rows, secret_scan.infer(rows)).collect()}
+    assert sum("format:" in got[i].spans for i in range(130, 190)) >= 54 and not any("format:" in got[i].spans for i in range(190, 250))
+    assert all(got[i].score is not None and got[i].score > 0 for i in range(130))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(rows, secret_scan.infer(rows)).collect()}
+    assert all("[SECRET]" in clean[i] for i in range(130)) and all(clean[i] == texts[i] for i in range(190, 250))
 
 
 # mixing
-def test_mix_meets_targets(spark):
+def test_mix_meets_targets_through_its_schedule(spark):
     rng = random.Random(7)
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(300)] + [None, ""]
     sources = [rng.choice(["a", "b", "c", "d", None]) for _ in range(290)] + ["tiny"] * 12
-    rows = source_mix.mix(docs(spark, texts, sources=sources)).collect()
-    by = {}
-    for r in rows:
-        assert 0 <= r.taken <= 2 * r.size
-        s = sources[r.doc_id]
-        by.setdefault(s, [0, r.target, r.source_size])[0] += r.taken
-    total = sum(r.size for r in rows)
-    assert all(t[0] == int(t[1]) and t[1] <= 2 * t[2] for t in by.values())
-    assert sum(t[1] for t in by.values()) == pytest.approx(1.5 * total)
+    rows = docs(spark, texts, sources=sources)
+    taken = []
+    for slots, within in ((source_mix.SLOTS, 6), (60, 4 * 1.5 * 9000 / 60)):
+        by, got = {}, sorted(source_mix.mix(rows, slots).collect())
+        for r in got:
+            assert 0 <= r.taken <= 2 * r.size
+            by.setdefault(sources[r.doc_id], [0, r.target, r.source_size])[0] += r.taken
+        assert all(abs(t[0] - t[1]) <= within and t[1] <= 2 * t[2] for t in by.values())
+        assert sum(t[1] for t in by.values()) == pytest.approx(1.5 * sum(r.size for r in got))
+        assert got == sorted(source_mix.mix(rows, slots).collect())
+        taken.append([r.taken for r in got])
+    assert taken[0] != taken[1]
 
 
 # tokens
@@ -255,6 +295,54 @@ def test_languages_and_spans(spark):
     assert [(got[i].lang_pred, got[i].score) for i in (301, 302)] == [("und", 0.0)] * 2
 
 
+def test_best_paths_are_those_of_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(18)
+    for _ in range(60):
+        sizes = rng.integers(0, 7, 5)
+        scores, first = rng.normal(size=(sizes.sum(), 3)).astype(np.float32) * 4, np.cumsum(sizes) - sizes
+        got = language_id.viterbi(scores, first, sizes, 2.5)
+        for at, n in zip(first, sizes, strict=True):
+            value = lambda path: sum(float(scores[at + k, y]) for k, y in enumerate(path)) - 2.5 * sum(a != b for a, b in zip(path, path[1:], strict=False))  # noqa: E731, B023
+            if n:
+                assert value(got[at : at + n]) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=int(n))), abs=1e-3)
+
+
+def test_word_scores_and_letters_are_brute_force(spark):
+    rng, make = random.Random(19), {"aa": "kalo mita renu sopa tiko", "bb": "zwerg knopf schrank pfiff", "ru": "река камень окно сад"}
+    texts, langs = zip(*[(" ".join(rng.choice(v.split()) for _ in range(20)), k) for k, v in make.items() for _ in range(12)], strict=True)
+    rows = docs(spark, list(texts) + ["река камень kalo mita — sopa"], [*langs, None])
+    model, counts = language_id.train(rows), {}
+    import zlib
+
+    for i, (t, k) in enumerate(zip(texts, langs, strict=True)):
+        if zlib.crc32(str(i).encode()) % 5:
+            for w in t.split():
+                line = b"   " + w.encode() + b" "
+                for j in range(3, len(line)):
+                    counts.setdefault(k, Counter())[line[j - 3 : j + 1]] += 1
+    words = ["kalo", "knopf", "окно", "kamen"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in words])
+    starts = ends - [len(w.encode()) for w in words]
+    got = model.scores(data, starts, ends)
+    for i, w in enumerate(words):
+        for j, k in enumerate(model.langs):
+            line = b"   " + w.encode() + b" "
+            want = 0.0
+            for x in range(3, len(line)):
+                total = sum(n for g, n in counts[k].items() if g[:3] == line[x - 3 : x])
+                n = counts[k][line[x - 3 : x + 1]]
+                want += np.log((n + 2 / 256) / (total + 2)) if n else float(model.floor[j])
+            if (k == "ru") == (i == 2):
+                assert got[i, j] == pytest.approx(want, rel=1e-4)
+            else:
+                assert got[i, j] < -5000
+    r = language_id.predict(rows, model).collect()[-1]
+    assert (r.lang_pred, [s.words for s in r.spans]) == ("aa", [2, 4]) and r.score == pytest.approx(12 / 22)
+
+
 # quality
 def brute_rules(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -285,13 +373,92 @@ def test_quality_rules_base_and_bands(spark):
     assert all(got[i].kept for i in range(300)) and not got[junk].kept and not got[junk + 1].kept
 
 
+def brute_kneser_ney(texts, order):
+    """p(byte | context) by the textbook's recursion over dictionaries."""
+    counts = {order: Counter()}
+    for t in texts:
+        line = b"\n" * (order - 1) + b"".join(w.encode() + b" " for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+        for i in range(order - 1, len(line)):
+            counts[order][line[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter()
+        for g, k in counts[n + 1].items():
+            counts[n][g[1:]] += k if g[1:2] == b"\n" else 1
+
+    def discounts(n):
+        n1, n2, n3, n4 = (max(1, sum(k == j for k in counts[n].values())) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        return [min(0.9 * k, max(0.1 * k, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    d = {n: discounts(n) for n in counts}
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / 256
+        after = [k for g, k in counts[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        k = counts[n][gram]
+        return (max(0, k - d[n][min(k, 3) - 1]) if k else 0) / sum(after) + sum(d[n][min(x, 3) - 1] for x in after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_is_brute_force_and_sums_to_one(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 12) for _ in range(15)] + ["stone stone", "", "é…"]
+    model = quality_rules.train(docs(spark, texts, ["en", None, ""] * 6))
+    of = {k: [t for i, t in enumerate(texts) if i % 3 == j] for j, k in enumerate(["=en", "null", "="])}
+    order = quality_rules.ORDER
+    for name, own in of.items():
+        p, seed = brute_kneser_ney(own, order), np.full(256, quality_rules._seed(name), np.uint64)
+        for context in (b"", b"stone", b"e sto", b"zzzzz", b"xyzst"):
+            line = b"\n" * order + context
+            grams = np.array([int.from_bytes(line[-order + 1 :] + bytes([k]), "big") for k in range(256)], np.uint64)
+            got = np.exp(model.log_prob(seed, grams))
+            assert got.sum() == pytest.approx(1, abs=1e-5)
+            assert got == pytest.approx([p(line[-order + 1 :] + bytes([k])) for k in range(256)], rel=1e-4)
+    rows = docs(spark, texts, ["en", None, ""] * 6)
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.measure(rows, model).collect()}
+    for i, t in enumerate(texts):
+        line = b"".join(w.encode() + b" " for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+        p, padded = brute_kneser_ney(of[["=en", "null", "="][i % 3]], order), b"\n" * (order - 1) + line
+        want = [np.log(p(padded[k : k + order])) for k in range(len(line))]
+        assert got[i] is None if not t else got[i] == pytest.approx(-sum(want) / len(want), rel=1e-4)
+
+
+def test_shuffled_documents_fall_outside_the_bands(spark):
+    rng, follows = random.Random(17), {}
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    for w in words:  # each word has three words that may follow
+        follows[w] = rng.sample(words, 3)
+
+    def text(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    texts = [text(rng.randrange(150, 300)) for _ in range(300)]
+    bad = []
+    for t in texts[:10]:
+        t = list(t)
+        rng.shuffle(t)
+        bad.append(t)
+    got = {r.doc_id: r for r in quality_rules.judge(docs(spark, [" ".join(t) for t in texts + bad])).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 297 and not any(got[i].kept for i in range(300, 310))
+    assert all(got[i].log_perplexity > got[i].upper_band for i in range(300, 310))
+
+
 def test_models_keep_rare_grams_of_large_inputs(spark):
     rows = docs(spark, ["stone river " * 5000] * 12 + ["xylograph"], ids=list(range(13)))
-    rules = quality_rules.train(rows)
-    found, _ = rules._find(rules.prob[5], quality_rules._key(np.zeros(1, np.int64), np.array([int.from_bytes(b"graph", "big")], np.uint64)))
-    assert found.all()
+    rules, order = quality_rules.train(rows), quality_rules.ORDER
+    gram = np.array([int.from_bytes(b"ograph"[-order:], "big")], np.uint64)
+    arrays = hasharrays.load(rules.paths[order])
+    assert arrays.find(quality_rules._key(np.array([quality_rules._seed("=en")], np.uint64), gram, order, False))[1].all()
     languages = language_id.train(docs(spark, ["stone river " * 5000] * 12 + ["xylograph"] * 4, ids=list(range(12)) + [100, 101, 102, 103]))
-    assert int.from_bytes(b"raph", "big") in languages.keys
+    assert int.from_bytes(b"raph", "big") in languages.arrays().keys
 
 
 def test_quality_classifier_learns_held_out(spark):
@@ -358,13 +525,45 @@ def test_main_text():
     assert [html_extraction.extract(x, model) for x in (None, "", "<p", "<div></div>", "<!-- open")][:2] == ["", ""]
 
 
+FIRST, SECOND = "The first paragraph of the article, which goes on for quite a while.", "Its second paragraph has words, too, and it ends here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><h1>Title</h1><svg-icon></svg-icon><p>{a}</p><select-box><p>{b}</p></select-box></article></body>",
+        "<body><article><h1>Title</h1><svg viewBox='0 0 1 1'/><p>{a}</p><p>{b}</p></article></body>",
+        "<body><article><h1>Title</h1><svg><path d='M1'/><text>no</text></svg><p>{a}</p><p>{b}</p></article></body>",
+        "<head><title>no</title><meta charset=utf-8><article><h1>Title</h1><p>{a}</p><p>{b}</p></article>",
+        "<html><head><title>no</title></head><article><h1>Title</h1><p title=it's>{a}</p><p title='a > b'>{b}</p></article>",
+        "<body><article><h1>Title</h1><p>{a}</p><select><option>no<option>no</select><noscript><p>no</p></noscript><p>{b}</p></article></body>",
+        "<body><article><h1>Title</h1><p>{a}</p><video><p>no</video><p>{b}</p></article><div hidden><p>Not to be seen by any reader.</p></div></body>",
+        '<BODY><ARTICLE><H1>Title</H1><SCRIPT>if (a < b) document.write("<p>no</p>")</SCRIPT ><P>{a}</P><TEXTAREA><p>no</p></TEXTAREA><P>{b}</P></ARTICLE></BODY>',
+    ],
+)
+def test_common_forms_of_html(page):
+    assert html_extraction.extract(page.format(a=FIRST, b=SECOND), html_extraction.train()) == f"Title\n{FIRST}\n{SECOND}"
+
+
+def test_pages_without_tags_and_awkward_rows(spark):
+    model = html_extraction.train()
+    assert html_extraction.extract(f"{FIRST} &amp;\n{SECOND}", model) == f"{FIRST} & {SECOND}"
+    page = f"<body><article><p>{FIRST}</p><p>{SECOND}</p></article><footer>no</footer></body>"
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", page, "x"), (3, "u", page, "x"), (3, "u", page, "x"), (4, "u", "<p>" + "long words " * 50_000, "x"), (5, "u", "<" * 1000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extraction.main_text(pages, html_extraction.train(pages)).collect()
+    assert [r.n_chars == len(r.text) for r in got] == [True] * 7 and [r.text for r in got[:2]] == ["", ""]
+    assert [r.text for r in got[2:5]] == [f"{FIRST}\n{SECOND}"] * 3 and got[5].n_chars == 11 * 50_000 - 1
+    assert html_extraction.main_text(pages.limit(0), html_extraction.train(pages.limit(0))).count() == 0
+
+
 def test_marginals_are_those_of_enumeration():
     import itertools
 
     model = html_extraction.train()
     nodes, _ = html_extraction.parse("<body><div class=menu><p>Two words</p></div><div><p>Many words, which tell a story in a sentence. They go on for a while, as prose does, and end here.</p></div></body>")
     emissions = [list(model.emission(n)) for n in nodes]
-    emissions[0] = [emissions[0][0], 0.3 * emissions[0][1], 0.0]
+    emissions[0] = [e * r for e, r in zip(emissions[0], model.roots, strict=True)]
     total, sums = 0.0, [[0.0] * 3 for _ in nodes]
     for states in itertools.product(range(3), repeat=len(nodes)):
         p = 1.0
