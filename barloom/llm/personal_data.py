@@ -4,11 +4,15 @@ Base kinds (leftmost non-overlapping, failing matches dropped, no retries): ``em
 pass Luhn's test; ``phone`` of 10 to 15 digits.
 
 Method. Every base match is a protected entity e, by kind and normalised value: digits of cards and phone numbers, small letters of emails, parts
-of addresses without leading zeros. Terms are lower-case runs of 3 or more letters. All counts are of distinct texts, by digest: n(e,t) of those with t
-within ``WINDOW`` characters of e, n(e) and n(t) of those with e and with t at all, N of all. The disclosure of e by t is the pointwise mutual
-information as a share of what there is to learn of e, log(p(e|t) / p(e)) / log(1 / p(e)), with p(e) = n(e) / N and p(e|t) smoothed towards it:
-(n(e,t) + ``PRIOR`` p(e)) / (n(t) + ``PRIOR``). So a single text is weaker evidence, but no entity is too rare to have terms. A term
-with a disclosure of ``DISCLOSURE`` or more is removed: each of its occurrences in any document is a span of kind ``term``.
+of addresses without leading zeros. Terms are lower-case runs of 3 or more letters. All counts are of distinct texts: n(e,t) of those with t
+within ``WINDOW`` characters of e, n(e) and n(t) of those with e and with t at all, N of all. What t reveals of e is their pointwise mutual
+information in bits, log2(p(e|t) / p(e)), out of the log2(1 / p(e)) bits that there are to learn, with p(e) = n(e) / N and p(e|t) smoothed towards it:
+(n(e,t) + ``PRIOR`` p(e)) / (n(t) + ``PRIOR``). So a single text is weaker evidence, but no entity is too rare to have terms. A term that leaves
+``LEFT`` bits or fewer of an entity to learn (at 1.6, whoever reads the term guesses the entity with a chance of a third) is removed: each of its occurrences in any
+document is a span of kind ``term``. The bits left, unlike their share of all, do not depend on how large the corpus is.
+
+Each different text is written once, with its number of copies, and all counting is over these. Terms are counted before they are joined. Texts that
+make up more than one in ``HOT`` of the rows, of which there are fewer than ``HOT``, are joined to their rows by a broadcast of that proven size.
 
 Matches' positions come from the lengths of the pieces that the same pattern splits the text into.
 Possessive repeats and the guard before a run keep the patterns linear and do not change what they match: a run's first character always matches if a
@@ -23,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import counted, discard, materialize, table
 
-WINDOW, PRIOR, DISCLOSURE, CHUNK = 80, 1.0, 0.8, 256
+WINDOW, PRIOR, LEFT, HOT, CHUNK = 80, 1.0, 1.6, 1000, 256
 KINDS = ("email", "ip", "card", "phone", "term")
 # What may stand in a text at all if the kind does, the pattern, and the test of a match v.
 PATTERNS = {
@@ -55,9 +59,9 @@ def placed(text: str, pattern: str, kind: int) -> str:
     return f"flatten(transform({chunks}, cs -> {outer})[0].out)"
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, found) for each row: the text, and its base spans by start, then kind as listed."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+def base(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, t, found) and the columns ``more`` for each row: the text, and its base spans by start, then kind as listed."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("t"), *more)
     none = f"cast(array() as array<{_SPAN}>)"
     kinds = [f"if({guard}, filter({placed('t', pattern, k)}, w -> transform(array(w.v), v -> {test})[0]), {none})" for k, (guard, pattern, test) in enumerate(PATTERNS.values())]
     return docs.withColumn("found", F.expr(f"if(contains(t, '@') or t rlike '[0-9]', array_sort(concat({', '.join(kinds)})), {none})"))
@@ -72,57 +76,68 @@ def digest_of(text: str) -> F.Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term) of the terms that reveal a protected entity; ``found`` is (digest, t, found) of the texts with base spans, each once."""
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """((digest, t, copies) of the different texts, null as empty; their number), written."""
+    texts = docs.select(digest_of("text").alias("digest"), F.coalesce("text", F.lit("")).alias("t"))
+    texts, seen = counted(texts.groupBy("digest").agg(F.first("t").alias("t"), F.count("*").alias("copies")), "personal-texts")
+    return texts, seen["n"]
+
+
+def _terms_of(text: str) -> F.Column:
+    return F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))).alias("term")
+
+
+def disclosing(found: DataFrame, texts: DataFrame, n_texts: int, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
+    """(term) of the terms that reveal a protected entity; ``found`` is (digest, t, found) of the different texts with base spans."""
     spans = found.select("digest", "t", F.explode("found").alias("w"))
-    left = F.expr(f"substring(t, greatest(w.s - {window}, 0) + 1, least({window}, w.s))")
-    right = F.expr(f"substring(t, w.e + 1, {window})")
+    behind = F.expr(f"substring(t, greatest(w.s - {window}, 0) + 1, least({window}, w.s))")
+    ahead = F.expr(f"substring(t, w.e + 1, {window})")
     # words that the window cuts are none
-    left = F.when(F.col("w.s") > window, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length("t") > F.col("w.e") + window, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    spans = spans.select("digest", F.concat_ws(":", "w.k", F.expr(NORMAL)).alias("entity"), F.lower(F.concat_ws("\n", left, right)).alias("context"))
+    behind = F.when(F.col("w.s") > window, F.regexp_replace(behind, r"^\p{L}+", "")).otherwise(behind)
+    ahead = F.when(F.length("t") > F.col("w.e") + window, F.regexp_replace(ahead, r"\p{L}+$", "")).otherwise(ahead)
+    spans = spans.select("digest", F.concat_ws(":", "w.k", F.expr(NORMAL)).alias("entity"), F.concat_ws("\n", behind, ahead).alias("context"))
     n_e = spans.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = spans.select("entity", "digest", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), 0))).alias("term")).distinct()
+    terms = spans.select("entity", "digest", _terms_of("context")).distinct()
     pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).join(n_e, "entity")
-    p_e = F.col("n_e") / docs.select(digest_of("text").alias("digest")).distinct().count()
-    # the disclosure falls as n(t) grows: it is enough up to ``most`` texts; nothing is left to learn of an entity that all texts hold
-    most = (F.col("n_et") + prior * p_e) / F.pow(p_e, 1 - disclosure) * (1 + 1e-9) - prior
-    pairs = pairs.where(p_e < 1).groupBy("term").agg(F.max(most).alias("most"))
-    # a term that texts with matches alone hold too often needs no count over all
-    within = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    wanted = materialize(pairs.join(within, "term").where(F.col("least") <= F.col("most")).select("term", "most"), "personal-wanted")
-    words = docs.select(digest_of("text").alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    n_t = words.join(wanted.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return wanted.join(n_t, "term").where(F.col("n_t") <= F.col("most")).select("term")
-
-
-def spans(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
+    p_e = F.col("n_e") / n_texts
+    # the bits left grow with n(t): they are few enough up to ``most`` texts; nothing is left to learn of an entity that all texts hold
+    most = (F.col("n_et") + prior * p_e) * 2.0**left * (1 + 1e-9) - prior
+    pairs = materialize(pairs.where(p_e < 1).groupBy("term").agg(F.max(most).alias("most")), "personal-pairs")
+    n_t = texts.select(_terms_of("t")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = materialize(pairs.join(n_t, "term").where("n_t <= most").select("term"), "personal-terms")
+    discard(pairs)
+    return terms
+
+
+def spans(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, digest) for each row; digest is the text's MD5."""
-    marked = base(docs).withColumn("digest", F.md5(F.col("t").cast("binary")))
-    some = materialize(marked.where(F.size("found") > 0).select("digest", "t", "found").dropDuplicates(["digest"]), "personal-found")
-    terms = materialize(disclosing(some, docs, window, prior, disclosure), "personal-terms")
+    texts, n_texts = distinct_texts(docs)
+    some = materialize(base(texts.select(F.lit(0).alias("doc_id"), F.col("t").alias("text"), "digest"), "digest").where(F.size("found") > 0), "personal-found")
+    terms = disclosing(some, texts, n_texts, window, prior, left)
+    own = materialize(term_spans(texts, terms), "personal-spans")
+    discard(texts, some, terms)
     counts = [F.expr(f"cast(size(filter(found, w -> w.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    rows = marked.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"))
-    if terms.isEmpty():
-        rows = rows.withColumn("all", F.col("found"))
-    else:
-        rows = rows.join(term_spans(docs, terms), "digest", "left")
-        rows = rows.withColumn("all", F.array_sort(F.concat("found", F.coalesce("terms", F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")))))
+    rows = base(docs).withColumn("digest", F.md5(F.col("t").cast("binary")))
+    rows = rows.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"))
+    n_rows = docs.count()
+    hot = F.broadcast(own.where(F.col("copies") * HOT > n_rows))
+    rows = rows.join(hot.select("digest", F.col("terms").alias("hot")), "digest", "left").join(own.where(F.col("copies") * HOT <= n_rows).select("digest", "terms"), "digest", "left")
+    none = F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")
+    rows = rows.withColumn("all", F.array_sort(F.concat("found", F.coalesce("hot", "terms", none))))
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(listed("found"), 256).alias("base_sha256"), listed("all").alias("spans"), "digest")
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(digest, terms) of the texts that hold terms, with the terms' spans; a row for each different text."""
-    texts = docs.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("digest"), F.col("text").alias("t"))
-    words = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))).alias("term"))
-    own = materialize(words.join(terms, "term").groupBy("digest").agg(F.collect_set("term").alias("own")), "personal-own")  # no more than the text's words
+def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(digest, copies, terms) of the different texts that hold terms, with the terms' spans."""
+    words = texts.select("digest", _terms_of("t"))
+    own = words.join(terms, "term").groupBy("digest").agg(F.collect_set("term").alias("own"))  # no more than the text's words
     found = F.expr(f"filter({placed('t', TERM, 4)}, w -> array_contains(own, lower(w.v)))")
-    return texts.join(own, "digest").dropDuplicates(["digest"]).select("digest", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
+    return texts.join(own, "digest").select("digest", "copies", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
     """(doc_id, text): base matches are generalised to their kind in brackets, disclosing terms removed; null texts stay null."""
-    found = spans(docs, window, prior, disclosure).select("digest", "spans").dropDuplicates(["digest"])
+    found = spans(docs, window, prior, left).select("digest", "spans").dropDuplicates(["digest"])
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")).join(found, "digest")
     parts = "transform(filter(split(spans, ','), x -> x <> ''), x -> split(x, ':'))"
     mark = "if(x[0] = 'term', '', concat('[', upper(x[0]), ']'))"
