@@ -513,6 +513,48 @@ def test_copied_and_rare_entities_disclose(spark):
     assert all(spans[i] == "" for i in range(400))
 
 
+def test_disclosing_terms_are_those_of_brute_force(spark):
+    rng = random.Random(20)
+    names = ["zorblax", "quandrel", "vimbrasto", "ostrevane", "thelonwick"]
+    texts = []
+    for i in range(300):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(5, 60))]
+        if i % 7 == 0:
+            k = rng.randrange(5)
+            words.insert(rng.randrange(len(words)), rng.choice([names[k], names[k].title(), rng.choice(names)]) + rng.choice(["", " the "]) + f" mail{k}@x.org")
+        if i % 31 == 0:
+            words.append(rng.choice(names) + " " + rng.choice(["+1 (555) 123-4567", "+1 555 1234567", "10.0.0.1"]))
+        texts.append(" ".join(words))
+    texts += texts[:40] * 3 + ["", None, names[0], names[1] + " again"]
+    unique, N = sorted({t or "" for t in texts}), len({t or "" for t in texts})
+    near, holds, entities = {}, Counter(), Counter()
+    for t in unique:
+        holds.update(set(re.findall(r"[^\W\d_]{3,}", t.lower())))
+        found = {}
+        for k, (name, p, ok) in enumerate(PERSONAL):
+            for m in re.finditer(p, t):
+                if ok(m[0]):
+                    value = m[0].lower() if name == "email" else ".".join(str(int(x)) for x in m[0].split(".")) if name == "ip" else re.sub("[^0-9]", "", m[0])
+                    for w in re.finditer(r"[^\W\d_]{3,}", t.lower()):
+                        if m.start() - personal_data.WINDOW <= w.start() and w.end() <= m.end() + personal_data.WINDOW and not (m.start() <= w.start() < m.end()):
+                            found.setdefault((k, value), set()).add(w[0])
+                    found.setdefault((k, value), set())
+        for e, own in found.items():
+            entities[e] += 1
+            for w in own:
+                near[e, w] = near.get((e, w), 0) + 1
+    want = {w for (e, w), n in near.items() if np.log2((holds[w] + 1) / (n + entities[e] / N)) <= personal_data.LEFT}
+    rows = docs(spark, texts)
+    kept, n = personal_data.distinct_texts(rows)
+    some = personal_data.base(kept.selectExpr("0L doc_id", "t text", "digest"), "digest").where("size(found) > 0")
+    got = {r.term for r in personal_data.disclosing(some, kept, n).collect()}
+    assert n == N and got == want and {"zorblax"} <= want and not want & {"the", "of"}
+    for r in personal_data.spans(rows).collect():
+        t = texts[r.doc_id] or ""
+        own = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want}
+        assert {x for x in r.spans.split(",") if x.startswith("term")} == own
+
+
 # pages
 def test_main_text():
     model = html_extraction.train()
