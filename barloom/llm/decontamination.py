@@ -12,7 +12,8 @@ symbol) moves it on. Words are the symbols, so sequences at a small edit distanc
 places; ``WALKS`` walks of ``TABLES`` tables each are looked up among the items of the same size. What is found is verified by the exact
 edit distance of the item to the best stretch around the window.
 
-Items are dealt into blocks of a bounded size, and each block passes over all documents without a shuffle, so the driver and the tasks
+Items are dealt by hash into blocks of about ``BLOCK``. Spark builds each block's index in a task of its own and writes it to the shared folder. All documents
+pass once, without a shuffle; a task looks each batch up in one block after the other, read from the folder, so the driver never holds an index, and the tasks
 never hold more than one block's index. Cases: a null text counts as empty; documents and items without words match nothing; an item
 whose id is null counts but is not listed; repeated rows and items count each; no items: nothing is contaminated. Other columns are ignored.
 """
@@ -20,16 +21,19 @@ whose id is null counts but is not listed; repeated rows and items count each; n
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import table
+from .shared import materialize, table
 
 RATE, WALKS, TABLES, SYMBOLS, BLOCK = 0.2, 24, 4, 4, 20_000
 _U = np.uint64
@@ -165,51 +169,72 @@ class Index:
         return found
 
 
-def indexes(items: DataFrame, rate: float = RATE, block: int = BLOCK) -> Iterator[Index]:
-    """The items' indexes, a block of about ``block`` items at a time."""
+class Blocks:
+    """The written indexes. A worker holds the one it used last; with a single block it reads it once."""
+
+    _last: tuple | None = None
+
+    def __init__(self, files: list[str]) -> None:
+        self.files = files
+
+    def __iter__(self) -> Iterator[Index]:
+        if len(self.files) == 1 and Blocks._last and Blocks._last[0] == self.files[0]:
+            yield from Blocks._last[1]
+            return
+        for path in self.files:
+            files, local = fs.FileSystem.from_uri(path)
+            with files.open_input_file(local) as f:
+                parts = pq.ParquetFile(f)
+                for b in parts.iter_batches(batch_size=1):
+                    found = [pickle.loads(x) for x in b.column(0).to_pylist()]
+                    if len(self.files) == 1 and parts.metadata.num_rows == 1:
+                        Blocks._last = (path, found)
+                    yield from found
+
+
+def indexes(items: DataFrame, rate: float = RATE, block: int = BLOCK) -> Blocks:
+    """The items' indexes, a block of about ``block`` items each, in the shared folder."""
     items = items.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
     n = max(1, math.ceil(items.count() / block))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
-        yield Index([r.item_id for r in rows], [r.text for r in rows], rate)
+
+    def build(rows):
+        ids = [None if x is None or x != x else int(x) for x in rows["item_id"]]
+        return rows.iloc[:1].assign(index=[pickle.dumps(Index(ids, list(rows["text"]), rate))])[["index"]]
+
+    built = items.select(F.col("item_id").cast("string").alias("item_id"), "text", F.pmod(F.xxhash64("text"), F.lit(n)).alias("block"))
+    return Blocks(sorted(materialize(built.groupBy("block").applyInPandas(build, "index binary"), "decontamination-indexes").inputFiles()))
 
 
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """(doc_id, contaminated, item_ids, least_edits) for each row; item_ids ascend, least_edits is null if there are none."""
-    out = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast("long").alias("least_edits"))
-    schema = "doc_id long, text string, item_ids array<long>, least_edits long"
-    for index in indexes(items, rate, block):
-
-        def of(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = index.search(b.column("text"))
-                ids, least = b.column("item_ids"), b.column("least_edits")
-                if found:
-                    ids, least = ids.to_pylist(), least.to_pylist()
-                    for row, items in found.items():
-                        ids[row] = (ids[row] or []) + [index.ids[x] for x in items if index.ids[x] is not None]
-                        least[row] = min([*items.values(), *([least[row]] if least[row] is not None else [])])
-                    ids, least = pa.array(ids, pa.list_(pa.int64())), pa.array(least, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), ids, least], ["doc_id", "text", "item_ids", "least_edits"])
-
-        out = out.mapInArrow(of, schema)
-    listed = F.array_sort(F.coalesce("item_ids", F.array().cast("array<long>")))
-    return out.select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), listed.alias("item_ids"), "least_edits")
+    blocks = indexes(items, rate, block)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids: list = [[] for _ in range(b.num_rows)]
+            least: list = [None] * b.num_rows
+            for index in blocks if b.num_rows else ():
+                for row, found in index.search(b.column("text")).items():
+                    ids[row] += [index.ids[x] for x in found if index.ids[x] is not None]
+                    least[row] = min([*found.values(), *([] if least[row] is None else [least[row]])])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(sorted, ids), pa.list_(pa.int64())), pa.array(least, pa.int64())], ["doc_id", "item_ids", "least_edits"])
+
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, item_ids array<long>, least_edits long")
+    return out.select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), "item_ids", "least_edits")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all their columns, that no item contaminates."""
-    schema = docs.schema
-    for index in indexes(items, rate, block):
+    blocks = indexes(items, rate, block)
 
-        def of(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for index in blocks if b.num_rows else ():
                 keep[list(index.search(b.column("text")))] = False
-                yield b.filter(pa.array(keep))
+            yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(of, schema)
-    return docs
+    return docs.mapInArrow(of, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
