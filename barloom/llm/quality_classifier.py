@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Discri
     for r in sums:
         total[r.y, r.i] = r.v
     n = total[:, 0]
-    if not (n > N).all():
+    if not n.all():
         return Discriminant([], [], [], float(n[1] / n.sum()) if n.sum() else 0.5)
     means = [t[1 : N + 1] / t[0] for t in total]
     covs = [t[N + 1 :].reshape(N, N) / t[0] - np.outer(m, m) for t, m in zip(total, means, strict=True)]
