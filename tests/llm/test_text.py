@@ -142,6 +142,24 @@ def test_decontamination_recall_and_no_clean_hits(spark):
     assert decontamination.keep_clean(docs(spark, texts), table).count() == sum(not v for v in got.values())
 
 
+def test_decontamination_recall_of_insertions_and_deletions(spark):
+    rng = random.Random(21)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(5, 100))] for _ in range(40)]
+    texts = []
+    for k in range(240):
+        item = list(items[k % 40])
+        for _ in range(int(0.2 * len(item))):  # all the edits there may be
+            at, what = rng.randrange(len(item)), k % 4
+            what = rng.randrange(3) if what == 3 else what
+            item[at : at + (what != 1)] = [] if what == 2 else [rng.choice(vocabulary)]
+        texts.append(" ".join([rng.choice(vocabulary) for _ in range(30)] + item + [rng.choice(vocabulary) for _ in range(30)]))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find(docs(spark, texts), table, block=11).collect()}
+    assert sum(k % 40 in got[k].item_ids for k in range(240)) >= 0.95 * 240
+    assert got == {r.doc_id: r for r in decontamination.find(docs(spark, texts), table).collect()}  # whatever the blocks
+
+
 def test_edit_distance():
     def slow(p, t):
         row = [0] * (len(t) + 1)
@@ -473,6 +491,47 @@ def test_quality_classifier_learns_held_out(spark):
     assert quality_classifier.keep_good(rows, labels).columns == rows.columns
 
 
+def test_discriminant_is_brute_force(spark):
+    rng = np.random.default_rng(22)
+    n, x = quality_classifier.N, {0: rng.normal(size=(9, quality_classifier.N)), 1: rng.normal(size=(40, quality_classifier.N)) + 1}  # fewer rows than statistics
+    rows = spark.createDataFrame([(v.tolist(), y) for y, m in x.items() for v in m], "f array<double>, y int")
+    model = quality_classifier.fit(rows)
+    pooled = sum(len(m) * np.cov(m.T, bias=True) for m in x.values()) / 49
+
+    def density(z, y):
+        s = 0.8 * np.cov(x[y].T, bias=True) + 0.2 * pooled
+        s = 0.98 * s + 0.02 * (np.trace(s) / n + 1e-9) * np.eye(n)
+        d = z - x[y].mean(axis=0)
+        return np.log(len(x[y]) / 49) - 0.5 * np.log(np.linalg.det(s)) - 0.5 * d @ np.linalg.inv(s) @ d
+
+    tests = rng.normal(size=(30, n)) * 2
+    assert model.score(tests) == pytest.approx([1 / (1 + np.exp(density(z, 0) - density(z, 1))) for z in tests], abs=1e-8)
+
+
+def test_statistics_are_those_of_plain_python():
+    rng = random.Random(23)
+    texts = [prose(rng, 80).replace(" river", "\nRiver") + " | é #1!! " + "same line\nsame line", "", "one", "A b\n" * 30]
+    got = quality_classifier.statistics(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if x]
+        share, grams = lambda a, b: a / max(b, 1), [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        letters = re.findall("[A-Za-z]", t)
+        want = [
+            np.log1p(len(words)), np.log1p(share(sum(len(w.encode()) for w in words), len(words))), np.log1p(share(len(words), len(lines))),
+            np.log(share(sum(c in "#*$%&<>~^=@_\\{}[]" for c in t), len(t)) + 0.01), np.log(share(t.count("|"), len(words)) + 0.01), np.log(share(sum(c in "!?" for c in t), len(words)) + 0.01),
+            np.log(share(sum(c.isupper() for c in letters), len(letters)) + 0.01), np.log(share(sum(c in "0123456789" for c in t), len(t)) + 0.01), np.log(share(sum(c in ".,;:" for c in t), len(words)) + 0.01),
+            share(len(set(words)), len(words)) * np.log1p(len(words)) ** 0.5, np.log(share(sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words)) + 0.01),
+            np.log(share(len(grams) - len(set(grams)), len(words)) + 0.01), np.log(share(len(lines) - len(set(lines)), len(lines)) + 0.01), np.log(share(sum(ord(c) > 127 for c in t), len(t)) + 0.01),
+        ]
+        assert row == pytest.approx(want)
+
+
+def test_ties_at_half_are_predicted_one(spark):
+    model = quality_classifier.fit(spark.createDataFrame([([0.0] * quality_classifier.N, y) for y in (0, 1)] * 3, "f array<double>, y int"))
+    feats = quality_classifier.features(docs(spark, ["a b", "a b", None]))
+    assert [(r.score, r.predicted) for r in quality_classifier.score(feats, model).collect()] == [(0.5, 1)] * 3
+
+
 # personal data
 def luhn(d):
     return sum(x * 2 - 9 * (x > 4) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
