@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from .shared import materialize
 
+EVEN = 64
 _loaded: dict[str, HashArray] = {}
 
 
@@ -23,17 +24,25 @@ def write(rows: DataFrame, key: str, name: str) -> str:
 
 
 class HashArray:
-    """Keys in ascending order and their values: one a key, or a list of the same length for each. Equal top bits of a key are found through an index."""
+    """Keys in ascending order and their values: one a key, or a list of the same length for each.
+
+    Hashed keys are found through an index of their top bits; others, of which too many share these, by bisection.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable") if len(keys) and (keys[1:] < keys[:-1]).any() else slice(None)
         self.keys, self.values = keys[order], values[order]
         self.shift = 64 - max(1, min(26, len(keys).bit_length()))
-        self.index = np.searchsorted(self.keys, (np.arange(1 << (64 - self.shift)) - (1 << (63 - self.shift))) << self.shift)
+        self.index = np.searchsorted(self.keys, (np.arange(1 << (64 - self.shift)) - (1 << (63 - self.shift))) << self.shift).astype(np.int32 if len(keys) < 2**31 else np.int64)
+        self.even = len(keys) < 2 or int(np.diff(self.index).max()) <= EVEN
         self.keys = np.append(self.keys, np.iinfo(np.int64).max)  # a sentinel, so that every place can be looked at
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it is the key's) for each key; places of missing keys are of no use, but inside the values if there are any."""
+        if not self.even:
+            at = np.searchsorted(self.keys, key)
+            hit = (self.keys[at] == key) & (at < len(self.values))
+            return np.minimum(at, max(0, len(self.values) - 1)), hit
         at = self.index[(key >> self.shift) + (1 << (63 - self.shift))]
         todo = np.flatnonzero(self.keys[at] < key)
         while len(todo):
