@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import DAY
-from .ordered import ordered_scan
+from .ordered import decaying_sums, ordered_scan
 
 KEYS = ("market",)
 
@@ -18,37 +18,37 @@ def _kinds(df: DataFrame, keys: tuple[str, ...]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def day_returns(bars: DataFrame, column: str = "close", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts_us, ret): the change since the last bar strictly more than a day before; rows without one are left out."""
+def day_returns(bars: DataFrame, *columns: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, ts_us, ret for one column, ret_<column> for several): the change since the last bar strictly more than a day before; rows without one are left out."""
+    columns = columns or ("close",)
     past = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -DAY - 1)
-    rows = bars.select(*keys, "ts_us", column, F.last(column).over(past).alias("before"), F.count("*").over(past).alias("n"))
-    return rows.where("n > 0").select(*keys, "ts_us", (F.try_divide(column, "before") - 1).alias("ret"))
+    rows = bars.select(*keys, "ts_us", *columns, *[F.last(c).over(past).alias(f"before_{c}") for c in columns], F.count("*").over(past).alias("n"))
+    ret = [(F.try_divide(c, f"before_{c}") - 1).alias("ret" if len(columns) == 1 else f"ret_{c}") for c in columns]
+    return rows.where("n > 0").select(*keys, "ts_us", *ret)
 
 
-def ewm_std(rows: DataFrame, column: str, span: int = 100, keys: tuple[str, ...] = KEYS, name: str = "vol") -> DataFrame:
-    """(keys, ts_us, name): exponentially weighted sample deviation, weights 1 - 2 / (span + 1), adjusted and corrected for bias; the first is missing.
+def ewm_std(rows: DataFrame, columns: dict[str, str], span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, ts_us, names): exponentially weighted sample deviations of ``columns`` (name: column), weights 1 - 2 / (span + 1), adjusted and corrected for bias; the
+    first is missing. A missing value decays the weights and repeats the last result. All columns share one pass of decaying sums."""
+    keep, inputs, decay = 1 - 2 / (span + 1), [], []
+    for c in columns.values():
+        x = F.when(~F.isnan(c), F.col(c))
+        inputs += [x.isNotNull().cast("double"), x.isNotNull().cast("double"), x, x * x]
+        decay += [keep, keep * keep, keep, keep]
+    sums = decaying_sums(rows, list(keys), inputs, decay)
 
-    A missing value decays the weights and repeats the last result.
-    """
-    keep = 1 - 2 / (span + 1)
+    def deviation(i: int) -> F.Column:
+        w, w2, s1, s2 = (F.col("sums")[4 * i + j] for j in range(4))
+        spare = w * w - w2
+        variance = (s2 / w - (s1 / w) * (s1 / w)) * w * w / spare
+        return F.when((w > 0) & (spare > 1e-12), F.sqrt(F.greatest(F.lit(0.0), variance)))
 
-    def step(state, pdf: pd.DataFrame):
-        w, w2, s1, s2 = state or (0.0, 0.0, 0.0, 0.0)
-        out = []
-        for x in pdf[column].to_numpy(float):
-            w, w2, s1, s2 = keep * w, keep * keep * w2, keep * s1, keep * s2
-            if not math.isnan(x):
-                w, w2, s1, s2 = w + 1, w2 + 1, s1 + x, s2 + x * x
-            spare = w * w - w2
-            out.append(math.sqrt(max(0.0, (s2 / w - (s1 / w) ** 2) * w * w / spare)) if w and spare > 1e-12 else None)
-        return (w, w2, s1, s2), pdf[[*keys, "ts_us"]].assign(**{name: pd.array(out, dtype="Float64")})
-
-    return ordered_scan(rows.select(*keys, "ts_us", column), list(keys), ["ts_us"], step, f"{_kinds(rows, keys)}, ts_us long, {name} double")
+    return sums.select(*keys, "ts_us", *[deviation(i).alias(name) for i, name in enumerate(columns)])
 
 
 def daily_vol(bars: DataFrame, column: str = "close", span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ts_us, vol) for each bar with a bar more than a day before."""
-    return ewm_std(day_returns(bars, column, keys), "ret", span, keys)
+    return ewm_std(day_returns(bars, column, keys=keys), {"vol": "ret"}, span, keys)
 
 
 def _cusum(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -1,19 +1,19 @@
 """Bar features: 7 raw and 279 derived columns.
 
-Rolling figures need a full window of values that are not missing (infinite ones count as missing); deviations are sample deviations. All are window
-functions over one ordering of each key, so one shuffle serves them all; the exponential ones need a scan with state.
+Rolling figures need a full window of values that are not missing (infinite ones count as missing); deviations are sample deviations. All rolling columns
+are made in one pass over chunks of rows that bring the longest window along, at a cost that does not depend on the windows' lengths; the exponential ones are decaying
+sums, carried from chunk to chunk. So a market with a third of all bars is many tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .events import _kinds, daily_vol
-from .ordered import ordered_scan
+from .events import _kinds, day_returns, ewm_std
+from .ordered import chunked, decaying_sums
 
 KEYS = ("market",)
 # The periods and pairs of the feature set.
@@ -40,9 +40,22 @@ def _diff(a: F.Column, b: F.Column) -> F.Column:
     return F.when(~F.isnan(a - b), a - b)
 
 
-def _rolling(f, c: F.Column, n: int, order) -> F.Column:
-    frame = order.rowsBetween(1 - n, 0)
-    return F.when(F.count(_finite(c)).over(frame) == n, f(_finite(c)).over(frame))
+#: name: (column, rows, "mean", "std", "max" or "min", whether all rows must be there)
+Rolled = dict[str, tuple[str, int, str, bool]]
+
+
+def rolled(rows: DataFrame, specs: Rolled, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``rows`` with the rolling columns of ``specs``."""
+    sources = sorted({c for c, *_ in specs.values()})
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {c: pdf[c].astype(float).where(np.isfinite(pdf[c].astype(float))) for c in sources}
+        made = {name: getattr(own[c].rolling(n, min_periods=n if full else 1), how)() for name, (c, n, how, full) in specs.items()}
+        return pd.concat([pdf[[*keys, "ts_us"]], pd.DataFrame(made)], axis=1)
+
+    schema = f"{_kinds(rows, keys)}, ts_us long, " + ", ".join(f"`{name}` double" for name in specs)
+    new = chunked(rows.select(*keys, "ts_us", *[F.col(f"`{c}`").cast("double") for c in sources]), list(keys), of, schema, max(n for _, n, *_ in specs.values()) - 1)
+    return rows.join(new, [*keys, "ts_us"])
 
 
 def log_columns(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -61,63 +74,74 @@ def differences(rows: DataFrame, lags: tuple[int, ...] = LAGS, keys: tuple[str,
     return rows.withColumns({f"{n}_2d{c}": _diff(F.col(f"`{name(c, n)}`"), F.lag(f"`{name(c, n)}`", n).over(w)) for c in ("close", "wavg") for n in lags})
 
 
+def average_specs(periods: tuple[int, ...] = LONG) -> Rolled:
+    of = {"sma": "close", "smah": "high", "smal": "low"}
+    return {f"{p}{s}{n}": (f"{p}{c}", n, "mean", True) for p in ("", "log") for s, c in of.items() for n in periods}
+
+
 def averages(rows: DataFrame, periods: tuple[int, ...] = LONG, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """sma, smah, smal of close, high and low, and of their logs."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    of = {"sma": "close", "smah": "high", "smal": "low"}
-    return rows.withColumns({f"{p}{s}{n}": _rolling(F.avg, F.col(f"{p}{c}"), n, w) for p in ("", "log") for s, c in of.items() for n in periods})
+    return rolled(rows, average_specs(periods), keys)
 
 
-def spreads(rows: DataFrame, periods: tuple[int, ...] = LONG, atr: tuple[int, ...] = ATR, cci: tuple[int, ...] = CCI, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """std of logret; true ranges (missing parts left out) and their averages, plain and of logs; the distance of the typical price from its mean."""
+def ranges(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """tr and logtr, true ranges (missing parts left out), and tp, the typical price."""
     w = Window.partitionBy(*keys).orderBy("ts_us")
-    rows = rows.withColumns({f"std{n}": _rolling(F.stddev_samp, F.col("logret"), n, w) for n in periods})
     for p in ("", "log"):
         high, low, before = F.col(f"{p}high"), F.col(f"{p}low"), F.lag(f"{p}close").over(w)
         rows = rows.withColumn(f"{p}tr", F.greatest(F.abs(_diff(high, low)), F.abs(_diff(high, before)), F.abs(_diff(low, before))))
-        rows = rows.withColumns({f"{p}atr{n}": _rolling(F.avg, F.col(f"{p}tr"), n, w) for n in atr})
-    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return rows.withColumns({f"cci{n}": F.try_divide(tp - _rolling(F.avg, tp, n, w), 0.015 * _rolling(F.stddev_samp, tp, n, w)) for n in cci})
+    return rows.withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+
+
+def spread_specs(periods: tuple[int, ...] = LONG, atr: tuple[int, ...] = ATR, cci: tuple[int, ...] = CCI) -> Rolled:
+    out = {f"std{n}": ("logret", n, "std", True) for n in periods} | {f"{p}atr{n}": (f"{p}tr", n, "mean", True) for p in ("", "log") for n in atr}
+    return out | {f"tp{how}{n}": ("tp", n, how, True) for how in ("mean", "std") for n in cci}
+
+
+def channels(rows: DataFrame, cci: tuple[int, ...] = CCI) -> DataFrame:
+    """cci: the distance of the typical price from its mean, in deviations."""
+    rows = rows.withColumns({f"cci{n}": F.try_divide(F.col("tp") - F.col(f"tpmean{n}"), 0.015 * F.col(f"tpstd{n}")) for n in cci})
+    return rows.drop("tp", *[f"tp{how}{n}" for how in ("mean", "std") for n in cci])
+
+
+def spreads(rows: DataFrame, periods: tuple[int, ...] = LONG, atr: tuple[int, ...] = ATR, cci: tuple[int, ...] = CCI, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """std of logret; true ranges and their averages, plain and of logs; the distance of the typical price from its mean."""
+    return channels(rolled(ranges(rows, keys), spread_specs(periods, atr, cci), keys), cci)
 
 
 def daily_volatilities(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """dvol, dvolh, dvoll and dvolwavg."""
-    for name, column in {"dvol": "close", "dvolh": "high", "dvoll": "low", "dvolwavg": "wavg"}.items():
-        rows = rows.join(daily_vol(rows, column, keys=keys).withColumnRenamed("vol", name), [*keys, "ts_us"], "left")
-    return rows
+    of = {"dvol": "ret_close", "dvolh": "ret_high", "dvoll": "ret_low", "dvolwavg": "ret_wavg"}
+    vol = ewm_std(day_returns(rows, "close", "high", "low", "wavg", keys=keys), of, keys=keys)
+    return rows.join(vol, [*keys, "ts_us"], "left")
 
 
 def rsi(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Relative strength: adjusted exponential means (weight 1/n) of the up and down moves of close; the first bar's move counts as none."""
+    moves = rows.select(*keys, "ts_us", (F.col("close") - F.lag("close").over(Window.partitionBy(*keys).orderBy("ts_us"))).alias("move"))
+    move = F.when(~F.isnan("move"), F.col("move"))
+    inputs = [F.greatest(m, F.lit(0.0)) for _ in periods for m in (move, -move)]
+    sums = decaying_sums(moves, list(keys), inputs, [1 - 1 / n for n in periods for _ in range(2)])
 
-    def step(state, pdf: pd.DataFrame):
-        before, sums = state or (None, {n: (0.0, 0.0) for n in periods})
-        out = {n: [] for n in periods}
-        for x in pdf["close"].to_numpy(float):
-            move = 0.0 if before is None or x != x or before != before else x - before
-            before = x
-            for n in periods:
-                keep = 1 - 1 / n
-                up, down = sums[n]
-                sums[n] = up, down = keep * up + max(move, 0.0), keep * down + max(-move, 0.0)
-                # the weights' sum is common to both means
-                out[n].append(100 - 100 / (1 + up / down) if down else (100.0 if up else None))
-        return (before, sums), pdf[[*keys, "ts_us"]].assign(**{f"rsi{n}": pd.array(out[n], dtype="Float64") for n in periods})
+    def of(i: int) -> F.Column:
+        up, down = F.col("sums")[2 * i], F.col("sums")[2 * i + 1]  # the weights' sum is common to both means
+        return F.when(down > 0, 100 - 100 / (1 + up / down)).when(up > 0, 100.0)
 
-    schema = f"{_kinds(rows, keys)}, ts_us long, " + ", ".join(f"rsi{n} double" for n in periods)
-    return rows.join(ordered_scan(rows.select(*keys, "ts_us", "close"), list(keys), ["ts_us"], step, schema), [*keys, "ts_us"], "left")
+    return rows.join(sums.select(*keys, "ts_us", *[of(i).alias(f"rsi{n}") for i, n in enumerate(periods)]), [*keys, "ts_us"], "left")
 
 
-def williams(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """wr: the close's distance below the highest high as a share of the range, over up to n bars."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
+def williams_specs(periods: tuple[int, ...] = RSI) -> Rolled:
+    return {f"wr{how}{n}": (c, n, how, False) for how, c in (("max", "high"), ("min", "low")) for n in periods}
 
-    def of(n: int) -> F.Column:
-        frame = w.rowsBetween(1 - n, 0)
-        high, low = F.max("high").over(frame), F.min("low").over(frame)
-        return F.try_divide(high - F.col("close"), high - low) * 100
 
-    return rows.withColumns({f"wr{n}": of(n) for n in periods})
+def williams_of(rows: DataFrame, periods: tuple[int, ...] = RSI) -> DataFrame:
+    of = lambda n: F.try_divide(F.col(f"wrmax{n}") - F.col("close"), F.col(f"wrmax{n}") - F.col(f"wrmin{n}")) * 100
+    return rows.withColumns({f"wr{n}": of(n) for n in periods}).drop(*williams_specs(periods))
+
+
+def williams(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """wr: the close's distance below the highest high as a share of the range, over up to n bars."""
+    return williams_of(rolled(rows, williams_specs(periods), keys), periods)
 
 
 def crossovers(rows: DataFrame, pairs=PAIRS) -> DataFrame:
@@ -127,14 +151,22 @@ def crossovers(rows: DataFrame, pairs=PAIRS) -> DataFrame:
     return rows.withColumns({f"{p}dma{k}{a}-{b}": _diff(side(p, s, c, a), side(p, s, c, b)) for p in ("", "log") for k, (s, c) in of.items() for a, b in pairs})
 
 
+def extreme_specs(periods: tuple[int, ...] = LONG) -> Rolled:
+    return {f"last{k}{n}": (f"log{k}", n, how, True) for k, how in (("high", "max"), ("low", "min")) for n in periods}
+
+
+def below_and_above(rows: DataFrame, periods: tuple[int, ...] = LONG) -> DataFrame:
+    return rows.withColumns({name: _diff(F.col(name), F.col("logclose")) for name in extreme_specs(periods)})
+
+
 def extremes(rows: DataFrame, periods: tuple[int, ...] = LONG, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Highest log high and lowest log low of n bars, less the log close."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    new = {f"last{k}{n}": _diff(_rolling(f, F.col(f"log{k}"), n, w), F.col("logclose")) for k, f in (("high", F.max), ("low", F.min)) for n in periods}
-    return rows.withColumns(new)
+    return below_and_above(rolled(rows, extreme_specs(periods), keys), periods)
 
 
 def mass_features(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """All columns: keys, ts_us, 7 raw and 279 derived."""
-    steps = (log_columns, differences, averages, spreads, daily_volatilities, rsi, williams, lambda rows, keys: crossovers(rows), extremes)
-    return reduce(lambda rows, f: f(rows, keys=keys), steps, bars.select(*keys, "ts_us", *RAW))
+    """All columns: keys, ts_us, 7 raw and 279 derived. One pass for all rolling columns, one of decaying sums each for volatility and strength."""
+    rows = differences(log_columns(bars.select(*keys, "ts_us", *RAW), keys), keys=keys)
+    rows = rolled(ranges(rows, keys), average_specs() | spread_specs() | williams_specs() | extreme_specs(), keys)
+    rows = below_and_above(crossovers(williams_of(channels(rows))))
+    return rsi(daily_volatilities(rows, keys), keys=keys)

@@ -1,6 +1,8 @@
-"""Scans in order with carried state, for what no window function can state.
+"""Work in order within keys: running numbers, bounded chunks, decaying sums, and scans with carried state.
 
-Rows are dealt by key and sorted within partitions, and Arrow batches stream through: a task holds one batch and the state, never a whole key.
+No task needs a whole key for the first three: rows are numbered within buckets and by the buckets' counts, and chunks of ``CHUNK`` numbers, with as many rows before
+them as a calculation looks back, are groups of a bounded size. What is truly sequential is scanned: rows are dealt by key and sorted within partitions, and
+Arrow batches stream through, so a task holds one batch and the state.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+CHUNK, SPAN = 20_000, 30 * 86_400_000_000
 Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]]
 
 
@@ -38,3 +42,71 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Step, s
                     yield out
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(of, schema)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: F.Column, name: str = "rn") -> DataFrame:
+    """``df`` with the place, from 0, of each row within its key; ``bucket`` must follow the order."""
+    t = df.withColumn("_bucket", bucket)
+    counts = t.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    t = t.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    return t.join(counts, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_bucket", "_before", "_inner")
+
+
+def by_span(span: int = SPAN) -> F.Column:
+    return F.floor(F.col("ts_us") / span)
+
+
+def chunked(df: DataFrame, keys: list[str], of: Callable[[pd.DataFrame], pd.DataFrame], schema: str, back: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``of`` applied to rows in order of ``ts_us`` by chunks; it sees up to ``back`` rows before the chunk, and what it gives for those is left out."""
+    rows = numbered(df, keys, ["ts_us"], by_span()).withColumn("_own", F.floor(F.col("rn") / chunk))
+    last = F.floor((F.col("rn") + back) / chunk)
+    rows = rows.withColumn("_chunk", F.explode(F.sequence("_own", last)))
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        mine = (pdf["_own"] == pdf["_chunk"]).to_numpy()
+        return of(pdf)[mine] if mine.any() else of(pdf).iloc[:0]
+
+    return rows.groupBy(*keys, "_chunk").applyInPandas(apply, schema)
+
+
+def _decay(x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    for i in range(len(x)):
+        out[i] = state = keep * state + x[i]
+    return out
+
+
+def decaying_sums(df: DataFrame, keys: list[str], inputs: list[F.Column], keep: list[float], name: str = "sums", chunk: int = CHUNK) -> DataFrame:
+    """(keys, ts_us, name): an array of sums over the rows up to each, in which input j is multiplied by keep[j] for every row after its own.
+
+    Chunks give their own sums first, one row each; these are carried on from chunk to chunk, and each chunk starts from what came before it.
+    """
+    decay = np.array(keep)
+    rows = df.select(*keys, "ts_us", F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in inputs]).alias("_x"))
+    rows = numbered(rows, keys, ["ts_us"], by_span()).withColumn("_chunk", F.floor(F.col("rn") / chunk))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("rn")["_x"].to_list())
+        weight = decay[None, :] ** np.arange(len(x) - 1, -1, -1)[:, None]
+        return pdf.iloc[:1][[*keys, "_chunk"]].assign(_sum=[(x * weight).sum(axis=0)], _n=len(x))
+
+    def carry(state, pdf: pd.DataFrame):
+        out = []
+        for own, n in zip(pdf["_sum"], pdf["_n"], strict=True):
+            out.append(np.zeros(len(decay)) if state is None else state)
+            state = decay**n * out[-1] + np.asarray(own)
+        return state, pdf[[*keys, "_chunk"]].assign(_start=out)
+
+    sums = rows.groupBy(*keys, "_chunk").applyInPandas(total, f"{kinds}, _chunk long, _sum array<double>, _n long")
+    starts = ordered_scan(sums, keys, ["_chunk"], carry, f"{kinds}, _chunk long, _start array<double>")
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        out = _decay(np.stack(pdf["_x"].to_list()), decay, np.asarray(pdf["_start"].iloc[0]))
+        return pdf[[*keys, "ts_us"]].assign(**{name: list(out)})
+
+    return rows.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(final, f"{kinds}, ts_us long, {name} array<double>")
