@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordered_scan
+from .ordered import numbered, ordered_scan
 
 HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
 KEYS = ("market",)
@@ -138,17 +138,19 @@ def rolling_limits(ticks: DataFrame, counted: str, window: int = 0, grain: int =
     grains = grains.where(F.col("have") >= max(1, window)).withColumn("k", F.row_number().over(w) - 1)
     if not lookahead:
         grains = grains.withColumn("mean", F.coalesce(F.lag("mean").over(w), F.col("mean")))
-    t = ticks.withColumn("row", F.lit(1))
-    marks = grains.select(*keys, "ts_us", F.lit(-1).cast("long").alias("seq"), "k").withColumn("row", F.lit(0))
-    both = t.unionByName(marks, allowMissingColumns=True)
-    # a mean counts for later ticks only: at equal times ticks come first
-    order = Window.partitionBy(*keys).orderBy("ts_us", F.col("row").desc(), "seq")
-    both = both.withColumn("asof", F.coalesce(F.last("k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).where("row = 1")
-    by_tick = Window.partitionBy(*keys).orderBy("ts_us", "seq")
-    both = both.withColumn("i", F.row_number().over(by_tick) - 1)
-    step = F.least(F.col("i") + 1, F.col("i") + F.min(F.col("asof") - F.col("i")).over(by_tick.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("k", step.cast("int")).drop("asof", "i", "row")
-    return both.join(grains.select(*keys, "k", F.col("mean").alias("limit")), [*keys, "k"], "left").drop("k")
+    # bars stand at every grain from the first on, so the last one before a tick follows from the times; a mean counts for later ticks only
+    edge = grains.groupBy(*keys).agg(F.min("ts_us").alias("first"), F.max("k").alias("last"))
+    t = numbered(ticks.join(edge, list(keys), "left"), list(keys), ["ts_us", "seq"], _floor(F.col("ts_us"), HOUR), "i")
+    asof = F.greatest(F.lit(0), F.least(F.col("last"), F.floor((F.col("ts_us") - 1 - F.col("first")) / grain)))
+    t = t.withColumn("lead", F.coalesce(asof, F.lit(0)) - F.col("i")).withColumn("bucket", _floor(F.col("ts_us"), HOUR))
+    # the least lead so far: within the hour, and of the hours before
+    hours = t.groupBy(*keys, "bucket").agg(F.min("lead").alias("least"))
+    hours = hours.select(*keys, "bucket", F.min("least").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = F.min("lead").over(Window.partitionBy(*keys, "bucket").orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("within", within).join(hours, [*keys, "bucket"])
+    step = F.least(F.col("i") + 1, F.col("i") + F.least("within", "before"))
+    t = t.withColumn("k", step.cast("int")).drop("first", "last", "lead", "bucket", "within", "before", "i")
+    return t.join(grains.select(*keys, "k", F.col("mean").alias("limit")), [*keys, "k"], "left").drop("k")
 
 
 def rolling_volume_bars(ticks: DataFrame, window: int = 0, grain: int = HOUR, edges: str = "reference", lookahead: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .folds import assembled, cross_validate, score
+from .ordered import by_span, numbered
 
 KEYS = ("market",)
 
@@ -26,11 +27,15 @@ def impurity(model, features: list[str], spark: SparkSession, clusters: DataFram
 
 
 def permuted(rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
-    """``rows`` with each of the columns dealt anew, by itself: rows numbered twice, by their place and by a seeded hash, and joined."""
-    keyed = rows.withColumn("_n", F.row_number().over(Window.partitionBy("fold").orderBy("ts_us", *[k for k in KEYS if k in rows.columns])))
+    """``rows`` with each of the columns dealt anew, by itself: rows numbered twice, by their place and by a seeded hash, and joined.
+
+    Numbers come from buckets (of time, of the hash) and the buckets' counts, so no task orders a fold.
+    """
+    order = ["ts_us", *[k for k in KEYS if k in rows.columns]]
+    keyed = numbered(rows, ["fold"], order, by_span(), "_n")
     for j, c in enumerate(columns):
-        order = Window.partitionBy("fold").orderBy(F.xxhash64("_n", F.lit(seed + j)))
-        drawn = keyed.select("fold", F.col(f"`{c}`").alias("_v"), F.row_number().over(order).alias("_n"))
+        drawn = keyed.select("fold", F.col(f"`{c}`").alias("_v"), F.xxhash64("_n", F.lit(seed + j)).alias("_h"), F.col("_n").alias("_was"))
+        drawn = numbered(drawn, ["fold"], ["_h", "_was"], F.shiftright("_h", 48), "_n").select("fold", "_v", "_n")
         keyed = keyed.drop(c).join(drawn, ["fold", "_n"]).withColumnRenamed("_v", c)
     return keyed.drop("_n")
 

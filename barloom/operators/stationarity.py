@@ -16,21 +16,26 @@ D_GRID = tuple(round(0.1 * k, 1) for k in range(1, 11))
 ENTER, ACCEPT, COARSE = 0.001, 0.0001, 1e-3
 
 
+def _binomial(d: float, size: int) -> np.ndarray:
+    """The first ``size`` coefficients of (1 - lag) ** d: each is the one before times (k - 1 - d) / k."""
+    k = np.arange(1, size)
+    return np.cumprod(np.concatenate([[1.0], (k - 1 - d) / k]))
+
+
 def weights(d: float, size: int) -> list[float]:
     """The first ``size`` weights of (1 - lag) ** d, oldest lag first."""
-    w = [1.0]
-    for k in range(1, size):
-        w.append(-w[-1] / k * (d - k + 1))
-    return w[::-1]
+    return _binomial(d, max(size, 1))[::-1].tolist()
 
 
 def weights_fixed(d: float, threshold: float) -> list[float]:
     """Weights down to the first whose size is at or below the threshold, which is included, oldest lag first."""
-    w = [1.0]
-    while abs(w[-1]) > threshold:
-        k = len(w)
-        w.append(-w[-1] / k * (d - k + 1))
-    return w[::-1]
+    size = 64
+    while True:
+        w = _binomial(d, size)
+        small = np.flatnonzero(np.abs(w) <= threshold)
+        if len(small):
+            return w[small[0] :: -1].tolist()
+        size *= 2
 
 
 def long_form(wide: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
@@ -39,33 +44,41 @@ def long_form(wide: DataFrame, features: list[str], ids: list[str]) -> DataFrame
     return wide.select(*ids, *cols).unpivot(ids, [F.col(f"`{f}`") for f in features], "feature", "x")
 
 
-def difference_fixed(rows: DataFrame, d: float, threshold: float = 1e-5, keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
-    """(keys, ts_us, y): the fixed-width difference. Missing values take the last one; rows not finite themselves, and the first width - 1, are absent.
+class _Series:
+    """The fixed-width difference of one series that comes in pieces; it keeps the last width - 1 values."""
 
-    The state is the last width - 1 values, so a long series streams through.
-    """
-    w = np.array(weights_fixed(d, threshold))
+    def __init__(self, w: np.ndarray) -> None:
+        self.w, self.past = w, np.zeros(0)
 
-    def step(state, pdf: pd.DataFrame):
-        past = np.zeros(0) if state is None else state
-        own = pdf["x"].to_numpy(float)
-        filled = pd.Series(own)
-        if len(past):
-            filled = pd.concat([pd.Series(past[-1:]), filled], ignore_index=True).ffill().iloc[1:]
-        filled = filled.ffill().to_numpy()
+    def next(self, own: np.ndarray) -> np.ndarray:
+        """A value for each of ``own``, missing where there is none: missing values take the last one, rows that are not finite themselves give none."""
+        filled = pd.Series(np.concatenate([self.past[-1:], own])).ffill().to_numpy()[len(self.past[-1:]) :]
         there = ~np.isnan(filled)
-        series = np.concatenate([past, filled[there]])
+        series, fresh = np.concatenate([self.past, filled[there]]), int(there.sum())
         out = np.full(len(own), np.nan)
-        if len(series) >= len(w):
-            y = np.convolve(series, w[::-1], "valid")
-            fresh = there.sum()
+        if len(series) >= len(self.w):
+            y = np.convolve(series, self.w[::-1], "valid")
             tail = np.full(fresh, np.nan)
             tail[max(0, fresh - len(y)) :] = y[max(0, len(y) - fresh) :]
             out[there] = tail
-        keep = np.isfinite(own) & ~np.isnan(out)
-        return series[max(0, len(series) - len(w) + 1) :], pdf.loc[keep, [*keys, "ts_us"]].assign(y=out[keep])
+        self.past = series[max(0, len(series) - len(self.w) + 1) :]
+        return np.where(np.isfinite(own), out, np.nan)
+
+
+def difference_fixed(rows: DataFrame, d: float | str, threshold: float = 1e-5, keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
+    """(keys, ts_us, y): the fixed-width difference. Missing values take the last one; rows not finite themselves, and the first width - 1, are absent.
+
+    ``d`` may name a column that is the same for all rows of a key. The state is the last width - 1 values, so a long series streams through.
+    """
+
+    def step(state, pdf: pd.DataFrame):
+        state = state or _Series(np.array(weights_fixed(float(pdf[d].iloc[0]) if isinstance(d, str) else d, threshold)))
+        out = state.next(pdf["x"].to_numpy(float))
+        keep = ~np.isnan(out)
+        return state, pdf.loc[keep, [*keys, "ts_us"]].assign(y=out[keep])
 
-    return ordered_scan(rows.select(*keys, "ts_us", "x"), list(keys), ["ts_us"], step, f"{_kinds(rows, keys)}, ts_us long, y double")
+    columns = [*keys, "ts_us", "x", *([d] if isinstance(d, str) else [])]
+    return ordered_scan(rows.select(columns), list(keys), ["ts_us"], step, f"{_kinds(rows, keys)}, ts_us long, y double")
 
 
 def difference_fixed_lags(rows: DataFrame, d: float, threshold: float, keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
@@ -129,22 +142,8 @@ def _regress(n: float, xx: np.ndarray, xy: np.ndarray, yy: float) -> tuple[float
 _NAMES = ("n", "a", "b", "c", "aa", "ab", "bb", "ac", "bc", "cc")
 
 
-def adf(rows: DataFrame, column: str = "x", lags: str = "aic", keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
-    """(keys, tau, lag, p_value): the augmented Dickey-Fuller test with a constant; ``lags`` is "aic" (0 or 1, then refitted on all rows) or "one".
-
-    Spark sums the cross-moments of the level before, the change before and the change, the level less its mean; only these reach the small solver.
-    """
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    rows = rows.select(*keys, "ts_us", F.col(column).alias("y")).where(F.abs("y") < float("inf"))
-    rows = rows.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy(*keys)))
-    rows = rows.withColumn("a", F.lag("y").over(w)).withColumn("c", F.col("y") - F.col("a"))
-    rows = rows.withColumn("b", F.lag("c").over(w))
-    parts = {"n": F.lit(1.0), "a": F.col("a"), "b": F.col("b"), "c": F.col("c"), "aa": F.col("a") * F.col("a"), "ab": F.col("a") * F.col("b"), "bb": F.col("b") * F.col("b"), "ac": F.col("a") * F.col("c"), "bc": F.col("b") * F.col("c"), "cc": F.col("c") * F.col("c")}
-    both, short = F.col("b").isNotNull(), F.col("c").isNotNull()
-    sums = rows.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(F.when(both, parts[k])), F.lit(0.0)).alias(f"s_{k}") for k in _NAMES],
-        *[F.coalesce(F.sum(F.when(short, parts[k])), F.lit(0.0)).alias(f"z_{k}") for k in ("n", "a", "c", "aa", "ac", "cc")],
-    )
+def _tested(sums: DataFrame, keys: tuple[str, ...], lags: str) -> DataFrame:
+    """(keys, tau, lag, p_value) from the cross-moments, a row for each key."""
 
     def of(batches):
         for pdf in batches:
@@ -160,19 +159,79 @@ def adf(rows: DataFrame, column: str = "x", lags: str = "aic", keys: tuple[str,
                 out.append((None, lag, None) if math.isnan(tau) else (tau, lag, _p_value(tau)))
             yield pdf[list(keys)].assign(tau=[o[0] for o in out], lag=[o[1] for o in out], p_value=[o[2] for o in out])
 
-    return sums.mapInPandas(of, f"{_kinds(rows, keys)}, tau double, lag long, p_value double")
+    return sums.mapInPandas(of, f"{_kinds(sums, keys)}, tau double, lag long, p_value double")
+
+
+_SHORT = ("n", "a", "c", "aa", "ac", "cc")
+
+
+def adf(rows: DataFrame, column: str = "x", lags: str = "aic", keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
+    """(keys, tau, lag, p_value): the augmented Dickey-Fuller test with a constant; ``lags`` is "aic" (0 or 1, then refitted on all rows) or "one".
+
+    Spark sums the cross-moments of the level before, the change before and the change, the level less its mean; only these reach the small solver.
+    The means are partial sums joined back, so a series is ordered once.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts_us")
+    rows = rows.select(*keys, "ts_us", F.col(column).alias("y")).where(F.abs("y") < float("inf"))
+    rows = rows.join(rows.groupBy(*keys).agg(F.avg("y").alias("mean")), list(keys)).withColumn("y", F.col("y") - F.col("mean"))
+    rows = rows.withColumn("a", F.lag("y").over(w)).withColumn("c", F.col("y") - F.col("a"))
+    rows = rows.withColumn("b", F.lag("c").over(w))
+    parts = {"n": F.lit(1.0)} | {k: F.col(k) for k in "abc"} | {x + y: F.col(x) * F.col(y) for x, y in ("aa", "ab", "bb", "ac", "bc", "cc")}
+    both, short = F.col("b").isNotNull(), F.col("c").isNotNull()
+    sums = rows.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when(both, parts[k])), F.lit(0.0)).alias(f"s_{k}") for k in _NAMES],
+        *[F.coalesce(F.sum(F.when(short, parts[k])), F.lit(0.0)).alias(f"z_{k}") for k in _SHORT],
+    )
+    return _tested(sums, keys, lags)
+
+
+def _moments(y: np.ndarray, shift: float, last: np.ndarray) -> tuple[list[float], np.ndarray]:
+    """The cross-moments that values add to those before, of which ``last`` are the last two; levels are less ``shift``."""
+    line = np.concatenate([last, y]) - shift
+    at = np.arange(len(last), len(line))
+    level, change = line, np.diff(line)
+    at = at[at >= 2]
+    a, b, c = level[at - 1], change[at - 2], change[at - 1]
+    pair = {"a": a, "b": b, "c": c}
+    s = [float(len(at)), *(float(pair[k].sum()) for k in "abc"), *(float(pair[k[0]] @ pair[k[1]]) for k in _NAMES[4:])]
+    return s, np.concatenate([last, y])[-2:]
 
 
 def d_values(rows: DataFrame, grid: tuple[float, ...] = D_GRID, threshold: float = COARSE, enter: float = ENTER) -> DataFrame:
-    """(market, feature, d, p_value) over the grid, of the features whose own p-value exceeds ``enter``. Differences go by segment, the test by market."""
+    """(market, feature, d, p_value) over the grid, of the features whose own p-value exceeds ``enter``. Differences go by segment, the test by market.
+
+    One scan makes all differences of a series and hands on their cross-moments only: a row for each Arrow batch and d.
+    """
     first = adf(rows.select("market", "feature", "ts_us", "x"))
     moving = rows.join(first.where(F.col("p_value") > enter).select("market", "feature"), ["market", "feature"], "left_semi")
-    out = None
-    for d in grid:
-        y = difference_fixed(moving, d, threshold, ("market", "segment", "feature"))
-        p = adf(y, "y", "one").select("market", "feature", F.lit(d).alias("d"), "p_value")
-        out = p if out is None else out.unionByName(p)
-    return out
+    w = {d: np.array(weights_fixed(d, threshold)) for d in grid}
+
+    def step(state, pdf: pd.DataFrame):
+        state = state or {"segment": None, "series": {}, "shift": dict.fromkeys(grid), "last": {d: np.zeros(0) for d in grid}}
+        segments, x, out = pdf["segment"].to_numpy(), pdf["x"].to_numpy(float), []
+        edges = [0, *(np.flatnonzero(segments[1:] != segments[:-1]) + 1), len(x)]
+        made = {d: [] for d in grid}
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if segments[i] != state["segment"]:
+                state["segment"], state["series"] = segments[i], {d: _Series(w[d]) for d in grid}
+            for d in grid:
+                y = state["series"][d].next(x[i:j])
+                made[d].append(y[np.isfinite(y)])
+        for d in grid:
+            y = np.concatenate(made[d])
+            if len(y):
+                if state["shift"][d] is None:
+                    state["shift"][d] = float(y[0])
+                sums, state["last"][d] = _moments(y, state["shift"][d], state["last"][d])
+                out.append((d, *sums))
+        return state, pd.DataFrame(out, columns=["d", *(f"s_{k}" for k in _NAMES)]).assign(market=pdf["market"].iloc[0], feature=pdf["feature"].iloc[0])[["market", "feature", "d", *(f"s_{k}" for k in _NAMES)]]
+
+    schema = f"{_kinds(rows, ('market', 'feature'))}, d double, " + ", ".join(f"s_{k} double" for k in _NAMES)
+    parts = ordered_scan(moving.select("market", "feature", "segment", "ts_us", "x"), ["market", "feature"], ["ts_us"], step, schema)
+    sums = parts.groupBy("market", "feature", "d").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in _NAMES], *[F.lit(0.0).alias(f"z_{k}") for k in _SHORT])
+    every = moving.select("market", "feature").distinct().crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(d,) for d in grid], "d double")))  # ten rows a series
+    tested = _tested(sums, ("market", "feature", "d"), "one").select("market", "feature", "d", "p_value")
+    return every.join(tested, ["market", "feature", "d"], "left")
 
 
 def chosen_d(values: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -180,14 +239,12 @@ def chosen_d(values: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return values.groupBy("market", "feature").agg(F.coalesce(F.min(F.when(F.coalesce("p_value", F.lit(0.0)) <= accept, F.col("d"))), F.lit(1.0)).alias("d"))
 
 
-def make_stationary(rows: DataFrame, values: DataFrame, grid: tuple[float, ...] = D_GRID, threshold: float = COARSE, accept: float = ACCEPT) -> DataFrame:
+def make_stationary(rows: DataFrame, values: DataFrame, threshold: float = COARSE, accept: float = ACCEPT) -> DataFrame:
     """(market, segment, ts_us, feature, x): features without d-values as they are, the others differenced at their chosen d."""
     d = chosen_d(values, accept)
     out = rows.join(d, ["market", "feature"], "left_anti").select("market", "segment", "ts_us", "feature", "x")
-    for k in grid:
-        part = rows.join(d.where(F.abs(F.col("d") - k) < 1e-9).select("market", "feature"), ["market", "feature"], "left_semi")
-        out = out.unionByName(difference_fixed(part, k, threshold, ("market", "segment", "feature")).select("market", "segment", "ts_us", "feature", F.col("y").alias("x")))
-    return out
+    made = difference_fixed(rows.join(d, ["market", "feature"]), "d", threshold, ("market", "segment", "feature"))
+    return out.unionByName(made.select("market", "segment", "ts_us", "feature", F.col("y").alias("x")))
 
 
 def wide_form(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -12,9 +12,11 @@ from ..operators import bars, clean, events, features, labels, stationarity, wei
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one only where that is unset."""
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; in local mode, where one process sees all, a temporary one if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barloom-work-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
@@ -51,4 +53,4 @@ def features_job(b: DataFrame, names: list[str], grid: tuple[float, ...] = stati
     made = features.mass_features(b, ("market", "segment"))
     rows = materialize(stationarity.long_form(made, names, ["market", "segment", "ts_us"]))
     values = materialize(stationarity.d_values(rows, grid))
-    return values, stationarity.make_stationary(rows, values, grid)
+    return values, stationarity.make_stationary(rows, values)
