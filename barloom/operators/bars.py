@@ -161,18 +161,23 @@ def rolling_value_bars(ticks: DataFrame, window: int = 0, grain: int = HOUR, edg
     return _threshold_bars(rolling_limits(ticks, "value", window, grain, lookahead, keys), "value", F.col("limit"), edges, keys, False)
 
 
-def ohlc(ticks: DataFrame, minutes: int, shift: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def ohlc(ticks: DataFrame, minutes: int, shift: int = 0, keys: tuple[str, ...] = KEYS, zone: str | None = None) -> DataFrame:
     """Minute bars with the last close filling empty ones, vwap (close where there is no volume) and the number of trades.
 
-    ``shift`` microseconds are added before binning, for bins of a local time zone.
+    ``zone`` bins by the local time of a time zone, daylight saving included: where clocks go back, the hour that occurs twice makes one row of bins, and
+    ``shift`` microseconds are added before binning, for bins at a constant offset.
     """
-    moved = ticks.withColumn("ts_us", F.col("ts_us") + shift)
+    micros = lambda f, c: F.unix_micros(f(F.timestamp_micros(c), F.lit(zone)))
+    local = lambda c: (micros(F.from_utc_timestamp, c) if zone else c) + shift
+    moved = ticks.withColumn("ts_us", local(F.col("ts_us")))
     bars = time_bars(moved, minutes * MINUTE, keys)
     n = moved.withColumn("ts_us", _floor(F.col("ts_us"), minutes * MINUTE)).groupBy(*keys, "ts_us").agg(F.count("*").alias("trades"))
     last = F.last("close", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0))
     bars = bars.join(n, [*keys, "ts_us"], "left").withColumn("close", last)
     filled = [F.coalesce(c, "close").alias(c) for c in ("open", "high", "low")]
-    return bars.select(*keys, (F.col("ts_us") - shift).alias("ts_us"), *filled, "close", "volume", F.coalesce("wavg", "close").alias("vwap"), F.coalesce("trades", F.lit(0)).alias("trades"))
+    back = F.col("ts_us") - shift
+    at = micros(F.to_utc_timestamp, back) if zone else back
+    return bars.select(*keys, at.alias("ts_us"), *filled, "close", "volume", F.coalesce("wavg", "close").alias("vwap"), F.coalesce("trades", F.lit(0)).alias("trades"))
 
 
 def per_day(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -89,6 +89,17 @@ def s1_construct_ticks(spark, sf):
     return ticks(spark, sf)
 
 
+@register(f"WITH {TICKS}, n AS (SELECT market, seq, ts_us, CASE WHEN seq % 97 <> 0 THEN price END AS price, volume FROM ticks) SELECT *, price * volume AS value FROM n")
+def s1_construct_from_raw(spark, sf):
+    """Chunk files with unix seconds and NaN, written and read as such."""
+    from .plans.jobs import work_dir
+
+    path, t = work_dir(spark), ticks(spark, sf)
+    price = F.when(F.col("seq") % 97 != 0, F.col("price")).otherwise(float("nan"))
+    t.select("market", F.floor(F.col("seq") / 500).alias("chunk_id"), "seq", (F.col("ts_us") / 1e6).alias("time"), price.alias("price"), "volume").write.parquet(path)
+    return trades.construct(trades.read_raw(spark, path))
+
+
 def _raw(spark, sf):
     t = ticks(spark, sf)
     return t.select("market", F.floor(F.col("seq") / 500).alias("chunk_id"), "seq", "price", "volume")
@@ -225,6 +236,15 @@ def b8_ohlc(spark, sf):
     return rounded(B.ohlc(ticks(spark, sf), 30))
 
 
+@register(
+    f"WITH {TICKS}, moved AS (SELECT market, seq, ts_us + {B.HOUR} AS ts_us, price, volume, value FROM ticks), {time_sql(8 * B.HOUR, source='moved')}, c AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY market ORDER BY ts_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM all_bars) "
+    f"SELECT market, ts_us - {B.HOUR} AS ts_us, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, c AS close, volume, {r('coalesce(wavg, c)', 'vwap')}, trades FROM c"
+)
+def b8_ohlc_in_zone(spark, sf):
+    """Bins of local days; the events' month lies in winter, an hour east of UTC."""
+    return rounded(B.ohlc(ticks(spark, sf), 480, zone="Europe/Berlin"))
+
+
 DAYS = f"""SELECT market, ts_us - ts_us % {DAY} AS ts_us, {', '.join(f'count({c}) AS {c}' for c in B.COLUMNS)} FROM b GROUP BY 1, 2"""
 
 
@@ -345,7 +365,33 @@ def l5_zero_unreached(spark, sf):
     return labels.zero_unreached(labels.label(b, e), fifth(b)).select("market", "ts_us", "bin")
 
 
-FACTORS, PERIODS = [1.0, 2.0], [0.5, 2.0]
+SIDED = """pth AS (SELECT e.market, e.ts_us, v.t1, e.trgt, CASE WHEN e.rn % 3 = 0 THEN -1.0 ELSE 1.0 END AS side, p.ts_us AS bar_us, p.close / s.close - 1 AS ret FROM ev e JOIN vert v ON v.market = e.market AND v.ts_us = e.ts_us JOIN b s ON s.market = e.market AND s.ts_us = e.ts_us
+  JOIN b p ON p.market = e.market AND p.ts_us >= e.ts_us AND p.ts_us <= coalesce(v.t1, (SELECT max(ts_us) FROM b z WHERE z.market = e.market)) WHERE e.trgt > 0.25),
+tch AS (SELECT market, ts_us, any_value(t1) AS t1, any_value(trgt) AS trgt, any_value(side) AS side, min(bar_us) FILTER (ret * side < -2 * trgt) AS sl_us, min(bar_us) FILTER (ret * side > trgt) AS pt_us FROM pth GROUP BY 1, 2),
+bar AS (SELECT market, ts_us, least(t1, sl_us, pt_us) AS t1, trgt, side FROM tch),
+lbl AS (SELECT r.market, r.ts_us, r.t1, (e.close / s.close - 1) * side AS ret, CASE WHEN (e.close / s.close - 1) * side > 0 THEN 1 ELSE 0 END AS bin FROM bar r JOIN b s ON s.market = r.market AND s.ts_us = r.ts_us JOIN b e ON e.market = r.market AND e.ts_us = r.t1 WHERE r.t1 IS NOT NULL)"""
+
+
+def _sided(spark, sf):
+    b = hours(spark, sf)
+    e = fifth(b)
+    side = e.select("market", "ts_us", F.when(F.col("rn") % 3 == 0, -1.0).otherwise(1.0).alias("side"))
+    return b, labels.barrier_events(b, e, e, (1.0, 2.0), 0.25, labels.vertical(b, e, 2.0), side)
+
+
+@register(f"WITH {BARS}, {VERTICAL}, {SIDED} SELECT market, ts_us, t1, {r('trgt', 'trgt')}, CAST(side AS DOUBLE) AS side FROM bar")
+def l2_barrier_events_with_side(spark, sf):
+    return rounded(_sided(spark, sf)[1].select("market", "ts_us", "t1", "trgt", "side"))
+
+
+@register(f"WITH {BARS}, {VERTICAL}, {SIDED} SELECT market, ts_us, t1, {r('ret', 'ret')}, CAST(bin AS INTEGER) AS bin FROM lbl")
+def l4_labels_with_side(spark, sf):
+    b, e = _sided(spark, sf)
+    return rounded(labels.label(b, e))
+
+
+# The grid of target factors and holding periods.
+FACTORS, PERIODS = [0.5, 1.0, 1.5, 2.0], [0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
 GRID = " UNION ALL ".join(
     f"SELECT CAST({f} AS DOUBLE) AS factor, CAST({d} AS DOUBLE) AS days, count(*) FILTER (NOT hit OR ret = 0) AS zeros, count(*) FILTER (hit AND ret > 0) AS ups, count(*) FILTER (hit AND ret < 0) AS downs FROM "
     f"(SELECT market, ts_us, bool_or(abs(ret) > {f} * trgt) AS hit, coalesce(arg_min(ret, bar_us) FILTER (abs(ret) > {f} * trgt), arg_max(ret, bar_us)) AS ret FROM (SELECT e.*, p.ts_us AS bar_us, p.close / s.close - 1 AS ret FROM "
@@ -432,6 +478,9 @@ def w7_mean_uniqueness(spark, sf):
 
 
 # --- features
+COLUMNS: dict[str, str] = {}
+
+
 def feature_query(name: str, columns: dict[str, str], build, places: int = 4, extra: str = "") -> None:
     """Register columns of bar features with the SQL of each; ``extra`` are further tables from ``b``, the last named x."""
     sql = f"WITH RECURSIVE {BARS}, {LOGS}{extra} SELECT market, ts_us, {', '.join(r(e, c, places) for c, e in columns.items())} FROM x"
@@ -441,6 +490,7 @@ def feature_query(name: str, columns: dict[str, str], build, places: int = 4, ex
 
     of.__name__ = name
     register(sql)(of)
+    COLUMNS.update(columns)
 
 
 ORDER = "PARTITION BY market ORDER BY ts_us"
@@ -524,9 +574,21 @@ feature_query("f17_below_highest", {f"lasthigh{n}": f"{roll_sql('max', 'loghigh'
 feature_query("f18_above_lowest", {f"lastlow{n}": f"{roll_sql('min', 'loglow', n)} - logclose" for n in features.LONG}, lambda b: features.extremes(features.log_columns(b)))
 
 
-@register()
+VOLATILITIES = ", ".join(
+    f"{day_ret_sql(c).replace('dr AS', f'dr_{c} AS', 1)}, {ewm_sql(f'dr_{c}', 'ret', 100).replace('ew ', f'ew_{c} ', 1).replace('FROM ew e', f'FROM ew_{c} e').replace('vol AS (', f'vol_{c} AS (', 1).replace('FROM ew)', f'FROM ew_{c})')}" for c in ("close", "high", "low", "wavg")
+)
+STRENGTH = ", ".join(r(f"CASE WHEN d{n} > 0 THEN 100 - 100 / (1 + u{n} / d{n}) WHEN u{n} > 0 THEN 100.0 END", f"rsi{n}", 4) for n in features.RSI)
+
+
+@register(
+    f"WITH RECURSIVE {BARS}, {LOGS}, {VOLATILITIES}, {rsi_sql(features.RSI)}, "
+    + f"made AS (SELECT market, ts_us, {', '.join(r(c, c, 4) for c in features.RAW)}, {', '.join(r(e, c, 4) for c, e in COLUMNS.items())} FROM x), "
+    + f"str AS (SELECT market, ts_us, {STRENGTH} FROM st) "
+    + f"SELECT made.*, {r('vol_close.vol', 'dvol', 4)}, {r('vol_high.vol', 'dvolh', 4)}, {r('vol_low.vol', 'dvoll', 4)}, {r('vol_wavg.vol', 'dvolwavg', 4)}, str.* EXCLUDE (market, ts_us) FROM made JOIN str ON str.market = made.market AND str.ts_us = made.ts_us "
+    + " ".join(f"LEFT JOIN vol_{c} ON vol_{c}.market = made.market AND vol_{c}.ts_us = made.ts_us" for c in ("close", "high", "low", "wavg"))
+)
 def f_mass_features(spark, sf):
-    return rounded(features.mass_features(hours(spark, sf)))
+    return rounded(features.mass_features(hours(spark, sf)), 4)
 
 
 # --- stationarity
@@ -673,13 +735,13 @@ def v5_impurity_importance(spark, sf):
 @register()
 def v6_permutation_importance(spark, sf):
     rows, roles = _learning(spark, sf)
-    return rounded(importance.permutation(_forest(), rows, roles, FEATURES[:2], groups={f: [f] for f in FEATURES[:2]}))
+    return rounded(importance.permutation(_forest(), rows, roles, FEATURES))
 
 
 @register()
 def v7_single_feature_importance(spark, sf):
     rows, roles = _learning(spark, sf)
-    return rounded(importance.alone(_forest(), rows, roles, {f: [f] for f in FEATURES[:2]}))
+    return rounded(importance.alone(_forest(), rows, roles, {f: [f] for f in FEATURES}))
 
 
 @register()
@@ -751,7 +813,14 @@ def _signals(spark, sf):
 ACTIVE = "pts AS (SELECT market, ts_us AS p_us FROM lab UNION SELECT market, t1 FROM lab), act AS (SELECT p.market, p.p_us AS ts_us, coalesce(avg((l.rn % 21 - 10) / CAST(10 AS DOUBLE)), 0) AS signal FROM pts p LEFT JOIN lab l ON l.market = p.market AND l.ts_us <= p.p_us AND p.p_us < l.t1 GROUP BY 1, 2)"
 
 
-@register()
+# The distribution function of the standard normal by the series of the error function, which converges for all that 0.4 <= prob <= 0.9 gives.
+SERIES = "list_sum(list_transform(range(0, 60), lambda n: pow(-1, n) * pow(z / sqrt(2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+SIZED = f"""zs AS (SELECT market, ts_us, t1, CASE WHEN rn % 2 = 0 THEN 1.0 ELSE -1.0 END AS pred, (p - 0.5) / sqrt(p * (1 - p)) AS z FROM (SELECT *, CAST(0.4 AS DOUBLE) + rn % 11 * CAST(0.05 AS DOUBLE) AS p FROM lab)),
+sz AS (SELECT market, ts_us, t1, pred * 2 / sqrt(pi()) * {SERIES} AS s FROM zs),
+pts AS (SELECT market, ts_us AS p_us FROM lab UNION SELECT market, t1 FROM lab), act AS (SELECT p.market, p.p_us AS ts_us, coalesce(avg(l.s), 0) AS signal FROM pts p LEFT JOIN sz l ON l.market = p.market AND l.ts_us <= p.p_us AND p.p_us < l.t1 GROUP BY 1, 2)"""
+
+
+@register(f"WITH {BARS}, {SIZED} SELECT market, ts_us, {r('least(1, round_even(signal / CAST(0.05 AS DOUBLE), 0) * CAST(0.05 AS DOUBLE))', 'signal')} FROM act")
 def g1_bet_sizes(spark, sf):
     return rounded(bets.bet_sizes(_signals(spark, sf).drop("signal"), 2, 0.05))
 

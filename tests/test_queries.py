@@ -6,7 +6,8 @@ from barloom.queries import ORACLES, QUERIES
 
 from .oracle import differences
 
-SOME = "s2_resume_after_last_chunk b2_time_bars b3_tick_bars b4_volume_bars b7_rolling_value_bars c1_gap_segments e1_daily_volatility e3_cusum_events_by_threshold l4_labels l8_trend_labels w3_return_weights f8_return_deviations d3_fixed_width_difference v3_purged_folds g2_average_active_signals".split()
+#: The slowest market queries are left to the driver's run.
+SOME = sorted(set(ORACLES) - {"f_mass_features"})
 
 
 def test_oracles_belong_to_queries():
