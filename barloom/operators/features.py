@@ -109,16 +109,18 @@ def spreads(rows: DataFrame, periods: tuple[int, ...] = LONG, atr: tuple[int, ..
     return channels(rolled(ranges(rows, keys), spread_specs(periods, atr, cci), keys), cci)
 
 
+def _volatilities(bars: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    of = {"dvol": "ret_close", "dvolh": "ret_high", "dvoll": "ret_low", "dvolwavg": "ret_wavg"}
+    return ewm_std(day_returns(bars, "close", "high", "low", "wavg", keys=keys), of, keys=keys)
+
+
 def daily_volatilities(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """dvol, dvolh, dvoll and dvolwavg."""
-    of = {"dvol": "ret_close", "dvolh": "ret_high", "dvoll": "ret_low", "dvolwavg": "ret_wavg"}
-    vol = ewm_std(day_returns(rows, "close", "high", "low", "wavg", keys=keys), of, keys=keys)
-    return rows.join(vol, [*keys, "ts_us"], "left")
+    return rows.join(_volatilities(rows, keys), [*keys, "ts_us"], "left")
 
 
-def rsi(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Relative strength: adjusted exponential means (weight 1/n) of the up and down moves of close; the first bar's move counts as none."""
-    moves = rows.select(*keys, "ts_us", (F.col("close") - F.lag("close").over(Window.partitionBy(*keys).orderBy("ts_us"))).alias("move"))
+def _strengths(bars: DataFrame, periods: tuple[int, ...], keys: tuple[str, ...]) -> DataFrame:
+    moves = bars.select(*keys, "ts_us", (F.col("close") - F.lag("close").over(Window.partitionBy(*keys).orderBy("ts_us"))).alias("move"))
     move = F.when(~F.isnan("move"), F.col("move"))
     inputs = [F.greatest(m, F.lit(0.0)) for _ in periods for m in (move, -move)]
     sums = decaying_sums(moves, list(keys), inputs, [1 - 1 / n for n in periods for _ in range(2)])
@@ -127,7 +129,12 @@ def rsi(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] =
         up, down = F.col("sums")[2 * i], F.col("sums")[2 * i + 1]  # the weights' sum is common to both means
         return F.when(down > 0, 100 - 100 / (1 + up / down)).when(up > 0, 100.0)
 
-    return rows.join(sums.select(*keys, "ts_us", *[of(i).alias(f"rsi{n}") for i, n in enumerate(periods)]), [*keys, "ts_us"], "left")
+    return sums.select(*keys, "ts_us", *[of(i).alias(f"rsi{n}") for i, n in enumerate(periods)])
+
+
+def rsi(rows: DataFrame, periods: tuple[int, ...] = RSI, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Relative strength: adjusted exponential means (weight 1/n) of the up and down moves of close; the first bar's move counts as none."""
+    return rows.join(_strengths(rows, periods, keys), [*keys, "ts_us"], "left")
 
 
 def williams_specs(periods: tuple[int, ...] = RSI) -> Rolled:
@@ -166,7 +173,10 @@ def extremes(rows: DataFrame, periods: tuple[int, ...] = LONG, keys: tuple[str,
 
 def mass_features(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """All columns: keys, ts_us, 7 raw and 279 derived. One pass for all rolling columns, one of decaying sums each for volatility and strength."""
-    rows = differences(log_columns(bars.select(*keys, "ts_us", *RAW), keys), keys=keys)
+    bars = bars.select(*keys, "ts_us", *RAW)
+    rows = differences(log_columns(bars, keys), keys=keys)
     rows = rolled(ranges(rows, keys), average_specs() | spread_specs() | williams_specs() | extreme_specs(), keys)
     rows = below_and_above(crossovers(williams_of(channels(rows))))
-    return rsi(daily_volatilities(rows, keys), keys=keys)
+    for more in (_volatilities(bars, keys), _strengths(bars, RSI, keys)):
+        rows = rows.join(more, [*keys, "ts_us"], "left")
+    return rows
