@@ -115,24 +115,27 @@ def spans(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: flo
     some = materialize(base(texts.select(F.lit(0).alias("doc_id"), F.col("t").alias("text"), "digest"), "digest").where(F.size("found") > 0), "personal-found")
     terms = disclosing(some, texts, n_texts, window, prior, left)
     own = materialize(term_spans(texts, terms), "personal-spans")
+    n_rows = texts.agg(F.sum("copies").alias("n")).first().n or 0
+    hot = texts.where(F.col("copies") * HOT > n_rows).select("digest").join(own, "digest", "left")
+    hot = materialize(hot.select("digest", F.col("terms").alias("hot"), F.lit(True).alias("many")), "personal-hot")
     discard(texts, some, terms)
     counts = [F.expr(f"cast(size(filter(found, w -> w.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     rows = base(docs).withColumn("digest", F.md5(F.col("t").cast("binary")))
     rows = rows.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"))
-    n_rows = docs.count()
-    hot = F.broadcast(own.where(F.col("copies") * HOT > n_rows))
-    rows = rows.join(hot.select("digest", F.col("terms").alias("hot")), "digest", "left").join(own.where(F.col("copies") * HOT <= n_rows).select("digest", "terms"), "digest", "left")
+    # rows of the most copied texts have theirs already; their keys are spread, so that they do not meet in one task
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("many"), F.md5(F.concat_ws(":", "digest", "doc_id").cast("binary"))).otherwise(F.col("digest")))
+    rows = rows.join(own.select(F.col("digest").alias("key"), "terms"), "key", "left")
     none = F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")
     rows = rows.withColumn("all", F.array_sort(F.concat("found", F.coalesce("hot", "terms", none))))
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(listed("found"), 256).alias("base_sha256"), listed("all").alias("spans"), "digest")
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(digest, copies, terms) of the different texts that hold terms, with the terms' spans."""
+    """(digest, terms) of the different texts that hold terms, with the terms' spans."""
     words = texts.select("digest", _terms_of("t"))
     own = words.join(terms, "term").groupBy("digest").agg(F.collect_set("term").alias("own"))  # no more than the text's words
     found = F.expr(f"filter({placed('t', TERM, 4)}, w -> array_contains(own, lower(w.v)))")
-    return texts.join(own, "digest").select("digest", "copies", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
+    return texts.join(own, "digest").select("digest", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
 
 
 def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
