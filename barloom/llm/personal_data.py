@@ -11,8 +11,9 @@ information in bits, log2(p(e|t) / p(e)), out of the log2(1 / p(e)) bits that th
 ``LEFT`` bits or fewer of an entity to learn (at 1.6, whoever reads the term guesses the entity with a chance of a third) is removed: each of its occurrences in any
 document is a span of kind ``term``. The bits left, unlike their share of all, do not depend on how large the corpus is.
 
-Each different text is written once, with its number of copies, and all counting is over these. Terms are counted before they are joined. Texts that
-make up more than one in ``HOT`` of the rows, of which there are fewer than ``HOT``, are joined to their rows by a broadcast of that proven size.
+No text passes through a shuffle while the tables of terms are small: they are broadcast behind a count of their rows, and joined through shuffles beyond it.
+Repeated texts are told by digest and counted once. Texts that make up more than one in ``HOT`` of the rows, of which there are fewer than ``HOT``, are joined to
+their rows by a broadcast of that proven size.
 
 Matches' positions come from the lengths of the pieces that the same pattern splits the text into.
 Possessive repeats and the guard before a run keep the patterns linear and do not change what they match: a run's first character always matches if a
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import counted, discard, materialize, table
+from .shared import counted, discard, materialize, small, table
 
 WINDOW, PRIOR, LEFT, HOT, CHUNK = 80, 1.0, 1.6, 1000, 256
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -76,11 +77,11 @@ def digest_of(text: str) -> F.Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """((digest, t, copies) of the different texts, null as empty; their number), written."""
+def texts_of(docs: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """((digest, t) of each row, null as empty; the number of different texts; (digest, copies) of these, written)."""
     texts = docs.select(digest_of("text").alias("digest"), F.coalesce("text", F.lit("")).alias("t"))
-    texts, seen = counted(texts.groupBy("digest").agg(F.first("t").alias("t"), F.count("*").alias("copies")), "personal-texts")
-    return texts, seen["n"]
+    copies, seen = counted(texts.groupBy("digest").agg(F.count("*").alias("copies")), "personal-digests")
+    return texts, seen["n"], copies
 
 
 def _terms_of(text: str) -> F.Column:
@@ -88,7 +89,7 @@ def _terms_of(text: str) -> F.Column:
 
 
 def disclosing(found: DataFrame, texts: DataFrame, n_texts: int, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
-    """(term) of the terms that reveal a protected entity; ``found`` is (digest, t, found) of the different texts with base spans."""
+    """(term) of the terms that reveal a protected entity, written; ``found`` is (digest, t, found) of the texts with base spans, ``texts`` (digest, t) of all."""
     spans = found.select("digest", "t", F.explode("found").alias("w"))
     behind = F.expr(f"substring(t, greatest(w.s - {window}, 0) + 1, least({window}, w.s))")
     ahead = F.expr(f"substring(t, w.e + 1, {window})")
@@ -102,42 +103,42 @@ def disclosing(found: DataFrame, texts: DataFrame, n_texts: int, window: int = W
     p_e = F.col("n_e") / n_texts
     # the bits left grow with n(t): they are few enough up to ``most`` texts; nothing is left to learn of an entity that all texts hold
     most = (F.col("n_et") + prior * p_e) * 2.0**left * (1 + 1e-9) - prior
-    pairs = materialize(pairs.where(p_e < 1).groupBy("term").agg(F.max(most).alias("most")), "personal-pairs")
-    n_t = texts.select(_terms_of("t")).groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = materialize(pairs.join(n_t, "term").where("n_t <= most").select("term"), "personal-terms")
-    discard(pairs)
+    pairs = pairs.where(p_e < 1).groupBy("term").agg(F.max(most).alias("most"))
+    # what texts with matches alone hold too often needs no count over all
+    within = found.select("digest", _terms_of("t")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    wanted, seen = counted(pairs.join(within, "term").where("least <= most").select("term", "most"), "personal-wanted")
+    held = texts.select("digest", _terms_of("t")).join(small(wanted.select("term"), seen["n"]), "term", "left_semi")
+    n_t = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    terms, seen = counted(wanted.join(n_t, "term").where("n_t <= most").select("term"), "personal-terms")
+    terms.rows = seen["n"]
+    discard(wanted)
     return terms
 
 
 def spans(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, digest) for each row; digest is the text's MD5."""
-    texts, n_texts = distinct_texts(docs)
-    some = materialize(base(texts.select(F.lit(0).alias("doc_id"), F.col("t").alias("text"), "digest"), "digest").where(F.size("found") > 0), "personal-found")
+    texts, n_texts, copies = texts_of(docs)
+    some = base(docs.select("doc_id", "text", digest_of("text").alias("digest")), "digest").where(F.size("found") > 0)
+    some = materialize(some.select("digest", "t", "found").dropDuplicates(["digest"]), "personal-found")
     terms = disclosing(some, texts, n_texts, window, prior, left)
-    own = materialize(term_spans(texts, terms), "personal-spans")
-    n_rows = texts.agg(F.sum("copies").alias("n")).first().n or 0
-    hot = texts.where(F.col("copies") * HOT > n_rows).select("digest").join(own, "digest", "left")
-    hot = materialize(hot.select("digest", F.col("terms").alias("hot"), F.lit(True).alias("many")), "personal-hot")
-    discard(texts, some, terms)
-    counts = [F.expr(f"cast(size(filter(found, w -> w.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    rows = base(docs).withColumn("digest", F.md5(F.col("t").cast("binary")))
-    rows = rows.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"))
+    words = texts.select("digest", _terms_of("t")).join(small(terms, terms.rows), "term")
+    own, seen = counted(words.groupBy("digest").agg(F.collect_set("term").alias("own")), "personal-own")  # no more than the text's words
+    n_rows = copies.agg(F.sum("copies").alias("n")).first().n or 0
+    hot = copies.where(F.col("copies") * HOT > n_rows).select("digest").join(own, "digest", "left")
+    hot = materialize(hot.select("digest", F.col("own").alias("hot"), F.lit(True).alias("many")), "personal-hot")
+    discard(some, terms, copies)
+    rows = base(docs).withColumn("digest", digest_of("t"))
     # rows of the most copied texts have theirs already; their keys are spread, so that they do not meet in one task
     rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("many"), F.md5(F.concat_ws(":", "digest", "doc_id").cast("binary"))).otherwise(F.col("digest")))
-    rows = rows.join(own.select(F.col("digest").alias("key"), "terms"), "key", "left")
+    rows = rows.join(small(own.select(F.col("digest").alias("key"), "own"), seen["n"]), "key", "left").withColumn("own", F.coalesce("hot", "own"))
+    placed_terms = F.transform(F.expr(f"filter({placed('t', TERM, 4)}, w -> array_contains(own, lower(w.v)))"), lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e")))
+    counts = [F.expr(f"cast(size(filter(found, w -> w.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    rows = rows.select("doc_id", "digest", *counts, F.expr("transform(found, w -> named_struct('s', w.s, 'k', w.k, 'e', w.e))").alias("found"), F.when(F.col("own").isNotNull(), placed_terms).alias("terms"))
     none = F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")
-    rows = rows.withColumn("all", F.array_sort(F.concat("found", F.coalesce("hot", "terms", none))))
+    rows = rows.withColumn("all", F.array_sort(F.concat("found", F.coalesce("terms", none))))
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2(listed("found"), 256).alias("base_sha256"), listed("all").alias("spans"), "digest")
 
 
-def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(digest, terms) of the different texts that hold terms, with the terms' spans."""
-    words = texts.select("digest", _terms_of("t"))
-    own = words.join(terms, "term").groupBy("digest").agg(F.collect_set("term").alias("own"))  # no more than the text's words
-    found = F.expr(f"filter({placed('t', TERM, 4)}, w -> array_contains(own, lower(w.v)))")
-    return texts.join(own, "digest").select("digest", F.transform(found, lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"))).alias("terms"))
-
-
 def sanitise(docs: DataFrame, window: int = WINDOW, prior: float = PRIOR, left: float = LEFT) -> DataFrame:
     """(doc_id, text): base matches are generalised to their kind in brackets, disclosing terms removed; null texts stay null."""
     found = spans(docs, window, prior, left).select("digest", "spans").dropDuplicates(["digest"])
