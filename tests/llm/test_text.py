@@ -604,7 +604,7 @@ def test_disclosing_terms_are_those_of_brute_force(spark):
                 near[e, w] = near.get((e, w), 0) + 1
     want = {w for (e, w), n in near.items() if np.log2((holds[w] + 1) / (n + entities[e] / N)) <= personal_data.LEFT}
     rows = docs(spark, texts)
-    kept, n = personal_data.distinct_texts(rows)
+    kept, n, _ = personal_data.texts_of(rows)
     some = personal_data.base(kept.selectExpr("0L doc_id", "t text", "digest"), "digest").where("size(found) > 0")
     got = {r.term for r in personal_data.disclosing(some, kept, n).collect()}
     assert n == N and got == want and {"zorblax"} <= want and not want & {"the", "of"}
