@@ -48,6 +48,13 @@ def hours(spark: SparkSession, sf: str) -> DataFrame:
     return clean.complete(B.time_bars(ticks(spark, sf)))
 
 
+def stored(b: DataFrame) -> DataFrame:
+    """``b`` written once, for queries that read it many times."""
+    from .plans.jobs import materialize
+
+    return materialize(b)
+
+
 def numbered(b: DataFrame) -> DataFrame:
     return b.withColumn("rn", F.row_number().over(Window.partitionBy("market").orderBy("ts_us")))
 
@@ -330,7 +337,7 @@ lbl AS (SELECT r.market, r.ts_us, r.t1, e.close / s.close - 1 AS ret, CAST(sign(
 
 
 def _barriers(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     e = fifth(b)
     return b, labels.barrier_events(b, e, e, 1.0, 0.25, labels.vertical(b, e, 2.0))
 
@@ -348,7 +355,7 @@ def l2_barrier_events(spark, sf):
 
 @register(f"WITH {BARS}, {VERTICAL}, {TOUCH} SELECT market, ts_us, t1, sl_us, pt_us FROM tch")
 def l3_barrier_touches(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     e = fifth(b).where("trgt > 0.25").join(labels.vertical(b, fifth(b), 2.0), ["market", "ts_us"]).withColumn("side", F.lit(1.0))
     return labels.touches(b, e, 1.0, 1.0)
 
@@ -373,7 +380,7 @@ lbl AS (SELECT r.market, r.ts_us, r.t1, (e.close / s.close - 1) * side AS ret, C
 
 
 def _sided(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     e = fifth(b)
     side = e.select("market", "ts_us", F.when(F.col("rn") % 3 == 0, -1.0).otherwise(1.0).alias("side"))
     return b, labels.barrier_events(b, e, e, (1.0, 2.0), 0.25, labels.vertical(b, e, 2.0), side)
@@ -403,7 +410,7 @@ GRID = " UNION ALL ".join(
 
 @register(f"WITH {BARS} {GRID}")
 def l6_label_counts(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     return labels.label_counts(b, fifth(b), fifth(b), FACTORS, PERIODS)
 
 
@@ -425,7 +432,7 @@ def l7_trend_t_value(spark, sf):
     f"SELECT market, ts_us, best_end, e12 AS horizon_end, {r('t_val', 't_val', 4)}, CAST(sign(t_val) AS INTEGER) AS bin FROM p"
 )
 def l8_trend_labels(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     return rounded(labels.trend_labels(b, fifth(b), (4, 13, 4)), 4)
 
 
@@ -437,13 +444,13 @@ nw AS (SELECT *, w * count(w) OVER m / sum(w) OVER m AS nw, sum(tw) OVER (PARTIT
 
 
 def _weights(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     return weights.span_weights(b, spans(b))
 
 
 @register(f"WITH {BARS}, {CONC} SELECT market, ts_us, n FROM con")
 def w1_concurrent_labels(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     return weights.concurrency(b, spans(b))
 
 
@@ -796,7 +803,7 @@ def q1_indicator(spark, sf):
 
 @register(f"WITH {BARS}, {CONC} SELECT market, ts_us AS label_us, {r('tw', 'uniqueness')} FROM wt")
 def q2_average_uniqueness(spark, sf):
-    b = hours(spark, sf)
+    b = stored(hours(spark, sf))
     return rounded(bets.average_uniqueness(bets.indicator(b, spans(b))))
 
 
