@@ -2,7 +2,7 @@
 
 A text is the multiset of its runs of five words (``[^\\x20\\x09-\\x0D]+``; a text of one to four words is one run). Two texts are linked
 if the weighted Jaccard similarity of these multisets, sum of minima over sum of maxima, is 0.8 or more; a class is a connected component
-of links, and equal texts are always in one class.
+of links, and equal texts are always in one class. Runs are told apart by 44 bits of their hashes, here and in the verification.
 
 Signature. Weights are whole numbers, cut into the levels [0,1), [1,2), [2,4), [4,8) and so on. For each element and each such range a
 Poisson process runs over time; its points carry a component and a level within the range, and count if the level is below the element's
