@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars, clean, events, features, labels, stationarity, weights
+from ..sources import trades
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -54,3 +55,16 @@ def features_job(b: DataFrame, names: list[str], grid: tuple[float, ...] = stati
     rows = materialize(stationarity.long_form(made, names, ["market", "segment", "ts_us"]))
     values = materialize(stationarity.d_values(rows, grid))
     return values, stationarity.make_stationary(rows, values)
+
+
+def label_grid_job(b: DataFrame, grid: list[tuple[float, float, float, float]], path: str) -> list[tuple[float, float, float, float]]:
+    """Labels of bars ``b`` for each (criterion, days, target, decay) of ``grid``, below ``path`` by these and the market; those that are there stay. What was made."""
+    spark, names = b.sparkSession, ("criterion", "days", "target", "decay")
+    b, made = materialize(b), []
+    for parameters in grid:
+        part = path.rstrip("/") + "".join(f"/{k}={float(v)}" for k, v in zip(names, parameters, strict=True))
+        place = spark._jvm.org.apache.hadoop.fs.Path(part)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            trades.write(labels_job(b, *parameters), part)
+            made.append(parameters)
+    return made

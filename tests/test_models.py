@@ -291,3 +291,24 @@ def test_jobs_make_what_their_parts_make(spark):
         by[r.market] = by.get(r.market, 0) + r.w
     n = {m: sum(r.market == m for r in made) for m in by}
     assert by == {m: pytest.approx(v) for m, v in n.items()} or sum(by.values()) == pytest.approx(len(made))
+
+
+def test_jobs_run_from_the_command_line(spark, tmp_path):
+    from barloom.plans.__main__ import run
+    from barloom.queries import ticks
+
+    folder = f"file://{tmp_path}"
+    t = ticks(spark, "/root/testdata/sf0.001").where("market in ('click', 'view') or length(market) < 6")
+    t.selectExpr("market", "0L chunk_id", "seq", "ts_us / 1e6 time", "price", "volume").write.parquet(f"{folder}/raw")
+    run(spark, ["bars", "--input", f"{folder}/raw", "--output", f"{folder}/bars"])
+    b = spark.read.parquet(f"{folder}/bars")
+    assert b.count() > 0 and b.select("market").distinct().count() == t.select("market").distinct().count()
+    b.where("open is not null").write.parquet(f"{folder}/whole")
+    run(spark, ["labels", "--input", f"{folder}/whole", "--output", f"{folder}/labels", "--criterion", "0.5", "--days", "2", "--target", "0.5", "1"])
+    made = spark.read.parquet(f"{folder}/labels")
+    assert {r.target for r in made.select("target").distinct().collect()} <= {0.5, 1.0} and {"criterion", "days", "decay", "market", "bin", "dw"} <= set(made.columns)
+    n = made.count()
+    run(spark, ["labels", "--input", f"{folder}/whole", "--output", f"{folder}/labels", "--criterion", "0.5", "--days", "2", "--target", "0.5", "1"])
+    assert spark.read.parquet(f"{folder}/labels").count() == n > 0
+    run(spark, ["features", "--input", f"{folder}/whole", "--output", f"{folder}/features", "--names", "hl", "logclose"])
+    assert {r.feature for r in spark.read.parquet(f"{folder}/features/stationary").select("feature").distinct().collect()} == {"hl", "logclose"}
