@@ -27,9 +27,10 @@ def day_returns(bars: DataFrame, *columns: str, keys: tuple[str, ...] = KEYS) ->
     return rows.where("n > 0").select(*keys, "ts_us", *ret)
 
 
-def ewm_std(rows: DataFrame, columns: dict[str, str], span: int = 100, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts_us, names): exponentially weighted sample deviations of ``columns`` (name: column), weights 1 - 2 / (span + 1), adjusted and corrected for bias; the
+def ewm_std(rows: DataFrame, columns: str | dict[str, str], span: int = 100, keys: tuple[str, ...] = KEYS, name: str = "vol") -> DataFrame:
+    """(keys, ts_us, names): exponentially weighted sample deviations of ``columns`` (one as ``name``, or name: column), weights 1 - 2 / (span + 1), adjusted and corrected for bias; the
     first is missing. A missing value decays the weights and repeats the last result. All columns share one pass of decaying sums."""
+    columns = {name: columns} if isinstance(columns, str) else columns
     keep, inputs, decay = 1 - 2 / (span + 1), [], []
     for c in columns.values():
         x = F.when(~F.isnan(c), F.col(c))
