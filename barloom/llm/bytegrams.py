@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hasharrays
 from . import textarrays as ta
 
-FLUSH = 1 << 20
+FLUSH, RUNNING_BYTES = 1 << 20, 1 << 19
 _EDGE = 0x20
 #: Stands before a running text; no word holds it.
 START = 0x0A
@@ -64,13 +65,17 @@ def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str | None, int] = {}
         keys, counts, held = [], [], 0
+        hasharrays.forget()  # a new model is in the making
 
         def total() -> tuple[np.ndarray, np.ndarray]:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-
-        def rows() -> pa.RecordBatch:
-            k, n = total()
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            keys.clear(), counts.clear()
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return k[first], np.add.reduceat(n[order], first).astype(np.int64)
+
+        def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             names = pa.array([x for x, _ in sorted(codes.items(), key=lambda x: x[1])], pa.string())
             lang = names.take(pa.array((k >> np.uint64(8 * order)).astype(np.int64)))
             gram = (k & np.uint64((1 << 8 * order) - 1)).astype(np.int64)
@@ -78,7 +83,7 @@ def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int
 
         for b in batches:
             lang = np.array([codes.setdefault(x, len(codes)) for x in b.column("lang").to_pylist()], np.int64)
-            for base, data, at in ta.chunks(b.column("text"), lower):
+            for base, data, at in ta.chunks(b.column("text"), lower, RUNNING_BYTES if running else ta.CHUNK_BYTES):
                 starts, ends, doc = ta.spans(data, at, separators)
                 if not len(starts):
                     continue
@@ -96,11 +101,13 @@ def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int
                 held += len(key)
                 if held > 2 * FLUSH:
                     k, c = total()
-                    keys, counts, held = [k], [c], len(k)
+                    held = len(k)
                     if held > FLUSH:
-                        yield rows()
-                        keys, counts, held = [], [], 0
+                        yield rows(k, c)
+                        held = 0
+                    else:
+                        keys.append(k), counts.append(c)
         if held:
-            yield rows()
+            yield rows(*total())
 
     return docs.select("lang", "text").mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -19,8 +19,10 @@ _loaded: dict[str, HashArray] = {}
 
 
 def write(rows: DataFrame, key: str, name: str) -> str:
-    """Write ``rows`` in ranges of ``key``, each sorted; the folder's name."""
-    return materialize(rows.repartitionByRange(key).sortWithinPartitions(key), name).written_to
+    """Write ``rows`` (key, value) in ranges of the key, each sorted; the folder's name with its file system."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(materialize(rows.repartitionByRange(key).sortWithinPartitions(key), name).written_to)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class HashArray:
@@ -52,15 +54,25 @@ class HashArray:
         return np.minimum(at, max(0, len(self.values) - 1)), hit
 
 
+def forget() -> None:
+    """Let go of what this worker has loaded."""
+    _loaded.clear()
+
+
+def _name(path: str) -> str:
+    return path.rpartition("/")[2].rpartition("-")[0]
+
+
 def load(path: str) -> HashArray:
-    """The arrays of a folder, read once in each worker."""
+    """The arrays of a folder, read once in each worker, which keeps the last of each name."""
     if path not in _loaded:
         files, root = fs.FileSystem.from_uri(path)
         parts = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        t = pa.concat_tables([pq.read_table(p, filesystem=files) for p in parts])
-        key, value = (c.combine_chunks() for c in t.columns)
+        tables = [pq.read_table(p, filesystem=files) for p in parts]
+        key, value = (c.combine_chunks() for c in pa.concat_tables(tables).columns) if tables else (pa.array([], pa.int64()), pa.array([], pa.float32()))
         many = pa.types.is_list(value.type)
         values = (value.flatten() if many else value).to_numpy(zero_copy_only=False)
-        _loaded.clear() if len(_loaded) > 16 else None
+        for old in [x for x in _loaded if _name(x) == _name(path)]:
+            del _loaded[old]
         _loaded[path] = HashArray(key.to_numpy(), values.reshape(len(key), -1) if many and len(key) else values)
     return _loaded[path]

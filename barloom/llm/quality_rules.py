@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import hasharrays
 from . import textarrays as ta
-from .bytegrams import START, count_grams, running_grams
+from .bytegrams import RUNNING_BYTES, START, count_grams, running_grams
 from .shared import counted, discard, materialize, small, table
 
 ORDER, FENCE, SHORT = 6, 3.0, 4.0
@@ -76,20 +76,17 @@ class Model:
 
 def _arrays(lang: str, rows: DataFrame, order: int) -> DataFrame:
     """(key, value) of a written order: its grams' log-probabilities and its contexts' back-off weights."""
-    first = F.row_number().over(Window.partitionBy(lang, "context").orderBy("gram")) == 1
-    rows = rows.withColumn("gamma", F.when(first, F.col("gamma")))
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 names = b.column(lang).dictionary_encode()
                 seed = np.array([_seed(x) for x in names.dictionary.to_pylist()], _U)[names.indices.to_numpy()]
-                gram, p, gamma = (b.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "p", "gamma"))
+                gram, p, gamma = (b.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "p", "back"))
                 gram, some = gram.view(_U), ~np.isnan(gamma)
                 key = np.concatenate([_key(seed, gram, order, False), _key(seed[some], gram[some] >> _U(8), order, True)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log(np.concatenate([p, gamma[some]])).astype(np.float32))], ["key", "value"])
 
-    return rows.select(lang, "gram", "p", "gamma").mapInArrow(of, "key long, value float")
+    return rows.select(lang, "gram", "p", "back").mapInArrow(of, "key long, value float")
 
 
 def train(docs: DataFrame, order: int = ORDER) -> Model:
@@ -113,8 +110,9 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         discount = [F.coalesce(f"d{k}", F.lit(0.5 * k)) for k in (1, 2, 3)]
         context = Window.partitionBy("lang", "context")
         kinds = sum((d * F.count_if(c == k if k < 3 else c >= 3).over(context) for k, d in enumerate(discount, 1)), F.lit(0.0))
-        rows = grams.withColumn("context", F.shiftright("gram", 8)).join(small(some, seen["n"]), "lang", "left")
+        rows = grams.withColumn("context", F.shiftright("gram", 8)).join(small(some, counts[1][1]["n"]), "lang", "left")  # order 1 has a row for each language at least
         rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("gamma", kinds / F.col("total"))
+        rows = rows.withColumn("back", F.when(F.row_number().over(context.orderBy("gram")) == 1, F.col("gamma")))  # once for each context
         own = (c - F.when(c == 1, discount[0]).when(c == 2, discount[1]).otherwise(discount[2])) / F.col("total")
         if lower is None:
             rows = rows.withColumn("p", own + F.col("gamma") / 256)
@@ -122,7 +120,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
             rest = small(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("q")), n_lower)
             rows = rows.withColumn("own", own).withColumn("rest", F.expr(f"gram & {(1 << 8 * (n - 1)) - 1}L")).join(rest, ["lang", "rest"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
         before = lower
-        lower, n_lower = materialize(rows.select("lang", "context", "gram", "p", "gamma"), f"kneser-ney-{n}"), seen["n"]
+        lower, n_lower = materialize(rows.select("lang", "gram", "p", "back"), f"kneser-ney-{n}"), seen["n"]
         paths[n] = hasharrays.write(_arrays("lang", lower, n), "key", f"kneser-ney-arrays-{n}")
         discard(before, grams)
     discard(lower)
@@ -134,12 +132,13 @@ SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 def measure(docs: DataFrame, model: Model) -> DataFrame:
     """The base counts and the logarithm of the perplexity per byte for each row."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column("name").dictionary_encode()
             seed = np.array([_seed(x) for x in names.dictionary.to_pylist()], _U)[names.indices.to_numpy()] if b.num_rows else np.zeros(0, _U)
             found = []
-            for base, data, at in ta.chunks(b.column("text")):
+            for base, data, at in ta.chunks(b.column("text"), most=RUNNING_BYTES):
                 n = len(at) - 1
                 starts, ends, doc = ta.spans(data, at)
                 words = ta.hashes(data, starts, ends)
@@ -177,6 +176,8 @@ def judge(docs: DataFrame, fence: float = FENCE, short: float = SHORT) -> DataFr
     rows = materialize(measure(docs, train(docs)), "quality-measures")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     bands = rows.where("not base_failed").groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
+    bands, seen = counted(bands, "quality-bands")
+    bands = small(bands, seen["n"])
     rows = rows.join(bands, rows["lang"].eqNullSafe(bands["of"]), "left")
     out = fence * (F.col("q")[1] - F.col("q")[0]) + F.lit(short) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     rows = rows.withColumn("lower_band", F.col("q")[0] - out).withColumn("upper_band", F.col("q")[1] + out).drop("q", "of")
