@@ -682,3 +682,16 @@ def test_pipeline_runs_over_the_smallest_tables(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < out.count() <= 200 and set(out.columns) >= {"doc_id", "size", "taken", "target"}
+
+
+def test_hash_arrays_find_what_they_hold(spark):
+    rng = np.random.default_rng(24)
+    for keys in (rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(0, 50_000, 3000), np.zeros(0, np.int64), np.array([2**63 - 1, -(2**63)])):
+        keys = np.unique(keys)
+        arrays = hasharrays.HashArray(rng.permutation(keys), np.zeros(len(keys)))
+        arrays = hasharrays.HashArray(keys, np.arange(len(keys)).astype(float))
+        ask = np.concatenate([keys, keys + 1, rng.integers(-(2**63), 2**63 - 1, 500)]) if len(keys) != 2 else keys
+        at, hit = arrays.find(ask)
+        assert (hit == np.isin(ask, keys)).all() and (not len(keys) or (keys[at[hit]] == ask[hit]).all())
+    path = hasharrays.write(spark.createDataFrame([], "key long, value float"), "key", "nothing")
+    assert not hasharrays.load(path).find(np.arange(3))[1].any()
