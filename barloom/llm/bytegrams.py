@@ -109,5 +109,6 @@ def count_grams(docs: DataFrame, lower: bool, separators: np.ndarray, order: int
                         keys.append(k), counts.append(c)
         if held:
             yield rows(*total())
+        pa.default_memory_pool().release_unused()
 
     return docs.select("lang", "text").mapInArrow(of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

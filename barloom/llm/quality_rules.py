@@ -166,6 +166,7 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
                 *counts, value = (np.concatenate(x) for x in zip(*found, strict=True))
                 columns = [*(pa.array(c.astype(np.int64)) for c in counts), pa.array(value, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], [x.split()[0] for x in SCHEMA.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), _named(F.col("lang")).alias("name"), "text").mapInArrow(of, SCHEMA)
 
