@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("market",)
+from .stored import materialize, work_dir
+
+KEYS, SIDE_BY_SIDE = ("market",), 8
 
 
 def purge(train: DataFrame, tests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -57,8 +62,25 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
 
 
-def score(predicted: DataFrame, metric: str, n_classes: int) -> float:
-    """Weighted negative log-loss or accuracy of (label, prediction, probability, weight)."""
+def fits(classifier, jobs: dict[tuple, DataFrame]) -> dict[tuple, object]:
+    """A weighted fit for each key's rows (label, weight, features), ``SIDE_BY_SIDE`` at a time.
+
+    Models are written to the shared folder and loaded again: a fresh fit keeps its training summary and with it the session, which can't be sent to
+    executors once anything in the session has been observed.
+    """
+    learner = classifier.copy({classifier.weightCol: "weight"})
+
+    def one(rows: DataFrame):
+        model, path = learner.fit(rows), work_dir(rows.sparkSession)
+        model.write().save(path)
+        return type(model).load(path)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return dict(zip(jobs, pool.map(inheritable_thread_target(one), jobs.values()), strict=True))
+
+
+def scores(predicted: DataFrame, metric: str, by: list[str]) -> DataFrame:
+    """(by, score): weighted negative log-loss or accuracy of (label, prediction, probability, weight), all groups in one aggregation."""
     if metric == "accuracy":
         value = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
     else:
@@ -66,16 +88,37 @@ def score(predicted: DataFrame, metric: str, n_classes: int) -> float:
 
         p = F.element_at(vector_to_array("probability"), F.col("label").cast("int") + 1)
         value = F.sum(F.col("weight") * F.log(F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15)))) / F.sum("weight")
-    return predicted.agg(value.alias("v")).first().v
+    return predicted.groupBy(*by).agg(value.alias("score"))
 
 
-def cross_validate(classifier, rows: DataFrame, roles: DataFrame, features: list[str], metric: str = "neg_log_loss", keys: tuple[str, ...] = KEYS) -> list[float]:
-    """The score of each fold of rows (keys, ts_us, label, weight, features): fitted on train rows, scored on test rows, both weighted."""
-    data = assembled(rows, features).join(roles, [*keys, "ts_us"]).cache()
-    out = []
-    for fold in [r.fold for r in roles.select("fold").distinct().orderBy("fold").collect()]:
-        part = data.where(F.col("fold") == fold)
-        model = classifier.copy({classifier.weightCol: "weight"}).fit(part.where("role = 'train'"))
-        out.append(score(model.transform(part.where("role = 'test'")), metric, 0))
+def predictions(models: dict[tuple, object], tests: dict[tuple, DataFrame], names: list[str]) -> DataFrame:
+    """(names, label, weight, prediction, probability[, name]) of each key's test rows under its model, the key's parts as ``names``."""
+    out = None
+    for key, rows in tests.items():
+        made = models[key].transform(rows)
+        made = made.select(*[F.lit(k).alias(n) for k, n in zip(key, names, strict=True)], *[c for c in ("name", "label", "weight", "prediction", "probability") if c in made.columns])
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def held(rows: DataFrame, roles: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[int]]:
+    """Rows with the fold and role they have, cached for the fits that share them; and the folds."""
+    data = rows.join(roles, [*keys, "ts_us"]).cache()
+    return data, [r.fold for r in data.select("fold").distinct().orderBy("fold").collect()]
+
+
+def fold_scores(classifier, rows: DataFrame, roles: DataFrame, groups: dict[str, list[str]], metric: str = "neg_log_loss", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(group, fold, score): each group's columns fitted on train rows and scored on test rows, both weighted. The fits run side by side over one cached
+    table; all scores come from one aggregation."""
+    data, numbers = held(rows, roles, keys)
+    jobs = [(g, k) for g in groups for k in numbers]
+    part = {(g, k, role): assembled(data.where((F.col("fold") == k) & (F.col("role") == role)), groups[g]).select("label", "weight", "features") for g, k in jobs for role in ("train", "test")}
+    models = fits(classifier, {j: part[(*j, "train")] for j in jobs})
+    out = materialize(scores(predictions(models, {j: part[(*j, "test")] for j in jobs}, ["group", "fold"]), metric, ["group", "fold"]))
     data.unpersist()
     return out
+
+
+def cross_validate(classifier, rows: DataFrame, roles: DataFrame, features: list[str], metric: str = "neg_log_loss", keys: tuple[str, ...] = KEYS) -> list[float]:
+    """The score of each fold of rows (keys, ts_us, label, weight, features), in order of the folds."""
+    return [r.score for r in fold_scores(classifier, rows, roles, {"all": features}, metric, keys).orderBy("fold").collect()]

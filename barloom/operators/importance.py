@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .folds import assembled, cross_validate, score
+from .folds import assembled, fits, fold_scores, held, predictions, scores
 from .ordered import by_span, numbered
+from .stored import materialize
 
 KEYS = ("market",)
 
@@ -40,32 +40,56 @@ def permuted(rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
     return keyed.drop("_n")
 
 
+def _dealt(tests: DataFrame, features: list[str], most: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
+    """Test rows (fold, _own, _dealt, label, weight): their features, and for each of ``most`` seeds those of the row that ``permuted`` deals to their place.
+
+    All orders of all folds come from one numbering by (fold, order), of rows that hold numbers only.
+    """
+    kept = numbered(tests, ["fold"], ["ts_us", *keys], by_span(), "_n")
+    kept = materialize(kept.select("fold", "_n", "label", "weight", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_own")))
+    drawn = kept.select("fold", "_n", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_j"))
+    drawn = drawn.select("fold", "_j", F.xxhash64("_n", (F.lit(seed) + F.col("_j")).cast("int")).alias("_h"), F.col("_n").alias("_was"))
+    drawn = numbered(drawn, ["fold", "_j"], ["_h", "_was"], F.shiftright("_h", 48), "_n")
+    drawn = drawn.join(kept.select("fold", F.col("_n").alias("_was"), F.col("_own").alias("_x")), ["fold", "_was"])
+    # one entry for each order, and there are as many orders as a group has columns
+    dealt = drawn.groupBy("fold", "_n").agg(F.array_sort(F.collect_list(F.struct("_j", "_x"))).alias("_dealt"))
+    return kept.join(dealt, ["fold", "_n"]).drop("_n")
+
+
 def permutation(classifier, rows: DataFrame, roles: DataFrame, features: list[str], metric: str = "neg_log_loss", seed: int = 0, groups: dict[str, list[str]] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(feature, mean, std): per fold one fit; the loss of score with a feature (or each column of a group) permuted, as a share of what it could lose."""
-    spark, groups = rows.sparkSession, groups or {f: [f] for f in features}
-    data = rows.join(roles, [*keys, "ts_us"]).cache()
-    out = []
-    for fold in [r.fold for r in roles.select("fold").distinct().orderBy("fold").collect()]:
-        part = data.where(F.col("fold") == fold)
-        model = classifier.copy({classifier.weightCol: "weight"}).fit(assembled(part.where("role = 'train'"), features))
-        test = part.where("role = 'test'")
-        base = score(model.transform(assembled(test, features)), metric, 0)
-        for name, columns in groups.items():
-            now = score(model.transform(assembled(permuted(test, columns, seed), features)), metric, 0)
-            room = 1 - now if metric == "accuracy" else -now
-            out.append((name, fold, (base - now) / room if room else None))
+    """(feature, mean, std): per fold one fit; the loss of score with a feature (or each column of a group) permuted, as a share of what it could lose.
+
+    Every test row is scored as it is and once for each group, all in one table: one job and one aggregation, however many features there are.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    groups = groups or {f: [f] for f in features}
+    data, numbers = held(rows, roles, keys)
+    train = {(k,): assembled(data.where((F.col("fold") == k) & (F.col("role") == "train")), features).select("label", "weight", "features") for k in numbers}
+    models = fits(classifier, train)
+    tests = _dealt(data.where("role = 'test'"), features, max(map(len, groups.values())), seed, keys)
+    x = lambda f, columns: F.col("_dealt")[columns.index(f)]["_x"] if f in columns else F.col("_own")
+    forms = [F.struct(F.lit(None).cast("string").alias("name"), F.col("_own").alias("x"))]
+    forms += [F.struct(F.lit(g).alias("name"), F.array(*[x(f, columns)[i] for i, f in enumerate(features)]).alias("x")) for g, columns in groups.items()]
+    tests = materialize(tests, "fold")
     data.unpersist()
-    rows = spark.createDataFrame(out, "feature string, fold int, v double")
-    return rows.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("std"))
+    long = tests.select("fold", "label", "weight", F.explode(F.array(*forms)).alias("form")).where(F.forall("form.x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    long = long.select("fold", "label", "weight", "form.name", array_to_vector("form.x").alias("features"))
+    scored = scores(predictions(models, {(k,): long.where(F.col("fold") == k) for k in numbers}, ["fold"]), metric, ["fold", "name"])
+    base = F.max(F.when(F.col("name").isNull(), F.col("score"))).over(Window.partitionBy("fold"))
+    room = (1 - F.col("score")) if metric == "accuracy" else -F.col("score")
+    lost = scored.withColumn("base", base).where("name is not null").select(F.col("name").alias("feature"), F.try_divide(F.col("base") - F.col("score"), room).alias("v"))
+    return _summary(lost)
+
+
+def _summary(values: DataFrame) -> DataFrame:
+    """(feature, mean, std) of (feature, v): the mean over the folds and its standard error."""
+    return values.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("std"))
 
 
 def alone(classifier, rows: DataFrame, roles: DataFrame, groups: dict[str, list[str]], metric: str = "neg_log_loss", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(feature, mean, std): the score with one feature, or the columns of one cluster, alone."""
-    out = []
-    for name, columns in groups.items():
-        s = cross_validate(classifier, rows, roles, columns, metric, keys)
-        out.append((name, float(np.mean(s)), float(np.std(s, ddof=1) / math.sqrt(len(s))) if len(s) > 1 else None))
-    return rows.sparkSession.createDataFrame(out, "feature string, mean double, std double")
+    return _summary(fold_scores(classifier, rows, roles, groups, metric, keys).select(F.col("group").alias("feature"), F.col("score").alias("v")))
 
 
 def correlations(rows: DataFrame, features: list[str]) -> DataFrame:

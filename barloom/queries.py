@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import bars as B
 from .operators import bets, clean, events, features, folds, importance, labels, stationarity, weights
+from .operators.stored import materialize, work_dir
 from .plans.jobs import bars_job, features_job, labels_job
 from .sources import trades
 
@@ -50,8 +51,6 @@ def hours(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored(b: DataFrame) -> DataFrame:
     """``b`` written once, for queries that read it many times."""
-    from .plans.jobs import materialize
-
     return materialize(b)
 
 
@@ -99,8 +98,6 @@ def s1_construct_ticks(spark, sf):
 @register(f"WITH {TICKS}, n AS (SELECT market, seq, ts_us, CASE WHEN seq % 97 <> 0 THEN price END AS price, volume FROM ticks) SELECT *, price * volume AS value FROM n")
 def s1_construct_from_raw(spark, sf):
     """Chunk files with unix seconds and NaN, written and read as such."""
-    from .plans.jobs import work_dir
-
     path, t = work_dir(spark), ticks(spark, sf)
     price = F.when(F.col("seq") % 97 != 0, F.col("price")).otherwise(float("nan"))
     t.select("market", F.floor(F.col("seq") / 500).alias("chunk_id"), "seq", (F.col("ts_us") / 1e6).alias("time"), price.alias("price"), "volume").write.parquet(path)
@@ -136,8 +133,6 @@ def s4_markets_and_segments(spark, sf):
 
 @register(f"WITH {BARS} SELECT market, ts_us, {BAR_OUT} FROM b")
 def s5_partitioned_sink(spark, sf):
-    from .plans.jobs import work_dir
-
     path = f"{work_dir(spark)}/bars"
     trades.write(hours(spark, sf), path)
     return rounded(spark.read.parquet(path).select("market", "ts_us", *B.COLUMNS))
@@ -654,8 +649,6 @@ def d6_d_values(spark, sf):
 
 def _derived(spark, sf):
     """All columns that mass_features makes, in long form, by market and gap segment."""
-    from .plans.jobs import materialize
-
     made = features.mass_features(clean.segments(hours(spark, sf), 7 * DAY), ("market", "segment"))
     return materialize(stationarity.long_form(made, _names(made), ["market", "segment", "ts_us"]))
 
@@ -666,8 +659,6 @@ def _names(made):
 
 @register()
 def d7_make_stationary(spark, sf):
-    from .plans.jobs import materialize
-
     rows = _derived(spark, sf)
     return rounded(stationarity.make_stationary(rows, materialize(stationarity.d_values(rows))))
 
@@ -703,8 +694,6 @@ FEATURES = ["hl", "logret", "1_1dvolume", "5_1dclose"]
 
 def _learning(spark, sf):
     """Rows with a label, a weight and four features, and the roles of three folds."""
-    from .plans.jobs import materialize
-
     b = materialize(hours(spark, sf))
     lab = spans(b)
     made = labels.label(b, lab.drop("rn")).join(weights.normalise(weights.span_weights(b, lab)).select("market", "ts_us", "w"), ["market", "ts_us"])

@@ -312,3 +312,16 @@ def test_jobs_run_from_the_command_line(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/labels").count() == n > 0
     run(spark, ["features", "--input", f"{folder}/whole", "--output", f"{folder}/features", "--names", "hl", "logclose"])
     assert {r.feature for r in spark.read.parquet(f"{folder}/features/stationary").select("feature").distinct().collect()} == {"hl", "logclose"}
+
+
+def test_scores_and_importances_run_after_an_observation(spark, learning):
+    from pyspark.sql import Observation
+
+    from barloom.queries import QUERIES
+
+    own, seen = spark.newSession(), Observation()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.range(5).observe(seen, importance.F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    for name in ("v4_cross_validation", "v6_permutation_importance", "v7_single_feature_importance", "v9_clustered_permutation_importance", "v10_clustered_single_importance"):
+        assert QUERIES[name](own, "/root/testdata/sf0.001").count() > 0

@@ -27,7 +27,7 @@ def test_stationarity_is_registered_over_all_features_and_the_whole_grid(spark,
     monkeypatch.setattr(queries, "features_job", lambda b, names, grid=stationarity.D_GRID: seen.append((len(names), grid)) or (b, b))
     monkeypatch.setattr(stationarity, "long_form", lambda made, names, ids: seen.append(len(names)) or made.select(ids))
     monkeypatch.setattr(stationarity, "d_values", lambda rows, grid=stationarity.D_GRID: seen.append(grid) or rows)
-    monkeypatch.setattr("barloom.plans.jobs.materialize", lambda rows: rows)
+    monkeypatch.setattr("barloom.queries.materialize", lambda rows: rows)
     QUERIES["job_c_features"](spark, "/root/testdata/sf0.001")
     QUERIES["d6_d_values"](spark, "/root/testdata/sf0.001")
     assert seen == [(286, stationarity.D_GRID), 286, stationarity.D_GRID]
