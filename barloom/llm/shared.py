@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows of a few numbers or digests may be broadcast.
@@ -37,10 +37,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str, *more: F.Column) -> tuple[DataFrame, dict]:
-    """``materialize``, and what the write itself counts: rows as ``n``, and the named aggregates in ``more``."""
-    seen = Observation()
-    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), name)
-    return out, seen.get
+    """``materialize``, and what the written table holds: rows as ``n``, from the files' footers, and the named aggregates in ``more``, from their columns alone."""
+    out = materialize(df, name)
+    return out, out.agg(F.count(F.lit(1)).alias("n"), *more).first().asDict()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
