@@ -15,6 +15,8 @@ _MODULES = {
     "op8_benchmark_decontamination": "decontamination",
     "op9_personal_data": "personal_data",
     "op10_quality_classifier": "quality_classifier",
+    "op12_hard_negatives": "hard_negatives",
+    "op13_spelling_variants": "spelling_variants",
 }
 
 QUERIES = {name: import_module(f"{__package__}.{module}").query for name, module in _MODULES.items()}
