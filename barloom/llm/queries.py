@@ -15,6 +15,7 @@ _MODULES = {
     "op8_benchmark_decontamination": "decontamination",
     "op9_personal_data": "personal_data",
     "op10_quality_classifier": "quality_classifier",
+    "op11_toxicity": "toxicity",
     "op12_hard_negatives": "hard_negatives",
     "op13_spelling_variants": "spelling_variants",
 }
