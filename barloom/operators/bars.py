@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered, ordered_scan
+from .ordered import numbered, relay
 
 HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
 KEYS = ("market",)
@@ -64,38 +64,73 @@ def tick_bars(ticks: DataFrame, every: int, edges: str = "reference", keys: tupl
     return out.withColumn("wavg", F.try_divide("value", "volume")).select(*keys, "bar_no", "ts_us", *COLUMNS)
 
 
-def _ends(amounts: np.ndarray, limits: np.ndarray, held: float) -> tuple[np.ndarray, float]:
-    """Places where the sum since the last end first exceeds its limit, and what is left over. Jumps by search within runs of one limit."""
-    total = np.concatenate([[0.0], np.cumsum(amounts)])
-    run_end = np.append(np.flatnonzero(limits[1:] != limits[:-1]) + 1, len(limits))
-    ends, i, base = [], 0, -held
-    for stop in run_end:
-        while i < stop:
-            k = int(np.searchsorted(total[i + 1 : stop + 1], limits[i] + base, "right")) + i
-            if k >= stop:
-                i = int(stop)
-                break
-            ends.append(k)
-            base, i = total[k + 1], k + 1
-    return np.array(ends, np.int64), float(total[-1] - base)
-
-
-def _numbered(ticks: DataFrame, counted: str, limit: F.Column, keys: tuple[str, ...]) -> DataFrame:
-    """Ticks with ``bar_no`` and whether they close their bar; the state is the bar's number and its sum so far."""
+class _Closes:
+    """Where bars close in a chunk of ticks: a bar that starts at tick k closes at the first i with limit_i - total_i < -total_k, found by halving over minima of powers of two."""
+
+    def __init__(self, amounts: np.ndarray, limits: np.ndarray) -> None:
+        self.n = len(amounts)
+        self.total = np.concatenate([[0.0], np.cumsum(amounts)])
+        self.room = np.append(np.where(np.isnan(limits), np.inf, limits) - self.total[1:], np.inf)
+        self.least = [self.room]
+        while (1 << len(self.least)) <= self.n:
+            m = self.least[-1]
+            self.least.append(np.minimum(m, m[np.minimum(np.arange(self.n + 1) + (1 << len(self.least) - 1), self.n)]))
+        self.next = self.first(np.arange(self.n + 1), -self.total)
+
+    def first(self, start: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """The first tick from ``start`` on whose room is below; n if there is none."""
+        at = start.copy()
+        for p in range(len(self.least) - 1, -1, -1):
+            at = np.where(self.least[p][at] >= below, np.minimum(at + (1 << p), self.n), at)
+        return at
+
+    def ends(self, held: float) -> list[int]:
+        """All closes, given the sum that the bar before the chunk holds."""
+        i, out = int(self.first(np.zeros(1, np.int64), np.array([held]))[0]), []
+        while i < self.n:
+            out.append(i)
+            i = int(self.next[i + 1])
+        return out
+
+    def transducer(self) -> dict:
+        """What comes of any held sum: the first piece whose bound is below it says how many bars close and what is held then; if none is, nothing closes.
+
+        Starts that close at different first ticks soon share a close, from which on they are one path: paths are joined by doubling their steps, and pieces with one end are merged.
+        """
+        goes = np.where(self.next < self.n, self.next + 1, np.arange(self.n + 1))
+        bars = (self.next < self.n).astype(np.int64)
+        while (goes[goes] != goes).any():
+            bars, goes = bars + bars[goes], goes[goes]
+        room = self.room[:-1]
+        record = np.flatnonzero(room < np.concatenate([[np.inf], np.minimum.accumulate(room)[:-1]]))
+        record = record[: int(np.searchsorted(-room[record], 0, "right")) + 1]  # a held sum is not negative
+        end, count = goes[record + 1], bars[record + 1] + 1
+        last = np.flatnonzero(np.append((end[1:] != end[:-1]) | (count[1:] != count[:-1]), True)) if len(record) else record
+        return {"bounds": room[record[last]], "held": self.total[-1] - self.total[end[last]], "bars": count[last], "total": float(self.total[-1])}
+
+
+def _numbered(ticks: DataFrame, counted: str, limit: F.Column, keys: tuple[str, ...], chunk: int | None = None) -> DataFrame:
+    """Ticks with ``bar_no`` and whether they close their bar. A relay: each chunk gives its transducer, which takes the bar's number and sum so far from chunk to chunk."""
     columns = ["ts_us", "seq", "price", "volume", "value"]
     rows = ticks.select(*keys, *columns, limit.alias("limit"), F.coalesce(F.col(counted), F.lit(0.0)).alias("amount"))
+    closes = lambda pdf: _Closes(pdf["amount"].to_numpy(float), pdf["limit"].to_numpy(float))
 
-    def step(state, pdf: pd.DataFrame):
+    def carry(state, row):
         number, held = state or (0, 0.0)
-        limits = pdf["limit"].to_numpy(float)
-        ends, left = _ends(pdf["amount"].to_numpy(float), np.where(np.isnan(limits), np.inf, limits), held)
-        closes = np.zeros(len(pdf), bool)
-        closes[ends] = True
-        bar = number + np.cumsum(closes) - closes
-        return (number + len(ends), left), pdf[[*keys, *columns]].assign(bar_no=bar, closes=closes)
+        k = int(np.searchsorted(-np.asarray(row.bounds), -held, "right"))
+        return (number + int(row.bars[k]), float(row.held[k])) if k < len(row.bounds) else (number, held + row.total)
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        shut = np.zeros(len(pdf), bool)
+        shut[closes(pdf).ends(float(pdf["before_sum"].iloc[0]))] = True
+        return pdf[[*keys, *columns]].assign(bar_no=pdf["before_no"].to_numpy() + np.cumsum(shut) - shut, closes=shut)
 
     kinds = ", ".join(f"{k} {ticks.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered_scan(rows, list(keys), ["ts_us", "seq"], step, f"{kinds}, ts_us long, seq long, price double, volume double, value double, bar_no long, closes boolean")
+    return relay(
+        rows, list(keys), ["ts_us", "seq"], _floor(F.col("ts_us"), HOUR), (lambda pdf: closes(pdf).transducer(), "bounds array<double>, held array<double>, bars array<long>, total double"),
+        carry, (lambda state: list(state or (0, 0.0)), "before_no long, before_sum double"),
+        (final, f"{kinds}, ts_us long, seq long, price double, volume double, value double, bar_no long, closes boolean"), chunk,
+    )
 
 
 def _threshold_bars(ticks: DataFrame, counted: str, limit: F.Column, edges: str, keys: tuple[str, ...], value_as_volume: bool) -> DataFrame:

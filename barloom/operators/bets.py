@@ -8,16 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-KEYS = ("market",)
+from .ordered import by_span, numbered
+
+KEYS, TERMS = ("market",), 60
 
 
 def indicator(bars: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, label_us, bar_no) for every bar of every label's span [ts_us, t1]: long, never a matrix."""
-    numbered = bars.select(*keys, "ts_us", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts_us")) - 1).alias("bar_no"))
-    first = labels.select(*keys, "ts_us", "t1").join(numbered.withColumnRenamed("bar_no", "b0"), [*keys, "ts_us"])
-    last = numbered.select(*keys, F.col("ts_us").alias("t1"), F.col("bar_no").alias("b1"))
+    placed = _places(bars, keys)
+    first = labels.select(*keys, "ts_us", "t1").join(placed.withColumnRenamed("bar_no", "b0"), [*keys, "ts_us"])
+    last = placed.select(*keys, F.col("ts_us").alias("t1"), F.col("bar_no").alias("b1"))
     return first.join(last, [*keys, "t1"]).select(*keys, F.col("ts_us").alias("label_us"), F.explode(F.sequence("b0", "b1")).alias("bar_no"))
 
 
@@ -27,38 +28,84 @@ def average_uniqueness(indicators: DataFrame, keys: tuple[str, ...] = KEYS) -> D
     return indicators.join(open_, [*keys, "bar_no"]).groupBy(*keys, "label_us").agg(F.avg(1 / F.col("n")).alias("uniqueness"))
 
 
+class _Chances:
+    """Labels' chances as the leaves of a tree of sums: a change of some neighbours, and a draw, cost the tree's height."""
+
+    def __init__(self, chance: np.ndarray) -> None:
+        self.size = 1 << max(0, (len(chance) - 1).bit_length())
+        self.tree = np.zeros(2 * self.size)
+        self.set(0, chance)
+
+    def set(self, first: int, chance: np.ndarray) -> None:
+        low, high = self.size + first, self.size + first + len(chance) - 1
+        self.tree[low : high + 1] = chance
+        while low > 1:
+            low, high = low >> 1, high >> 1
+            self.tree[low : high + 1] = self.tree[2 * low : 2 * high + 2 : 2] + self.tree[2 * low + 1 : 2 * high + 3 : 2]
+
+    def draw(self, share: float) -> int:
+        """The first label up to which more than ``share`` of all chances lie."""
+        at, left = 1, share * self.tree[1]
+        while at < self.size:
+            at *= 2
+            if left >= self.tree[at]:
+                left -= self.tree[at]
+                at += 1
+        return at - self.size
+
+
+def _draws(low: np.ndarray, high: np.ndarray, n: int, rng: np.random.Generator) -> list[int]:
+    """Labels [low, high], in order of low, drawn one by one. A draw raises the cover of its own bars, so only the labels that meet these are weighed anew, over the bars around."""
+    cover, longest, out = np.zeros(int(high.max()) + 1), int((high - low).max()), []
+    chances = _Chances(np.ones(len(low)))
+    for _ in range(n):
+        k = min(chances.draw(rng.random()), len(low) - 1)
+        out.append(k)
+        cover[low[k] : high[k] + 1] += 1
+        a, b = np.searchsorted(low, low[k] - longest), np.searchsorted(low, high[k], "right")
+        start, stop = low[a], high[a:b].max()
+        upto = np.concatenate([[0.0], np.cumsum(1 / (cover[start : stop + 1] + 1))])
+        chances.set(int(a), (upto[high[a:b] + 1 - start] - upto[low[a:b] - start]) / (high[a:b] - low[a:b] + 1))
+    return out
+
+
+def _places(bars: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, ts_us, bar_no), numbered from 0 by buckets and their counts."""
+    return numbered(bars.select(*keys, "ts_us"), list(keys), ["ts_us"], by_span(), "bar_no")
+
+
 def sequential_bootstrap(bars: DataFrame, labels: DataFrame, replicates: int, draws: int | None = None, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, replicate, draw, label_us): labels drawn one by one, each with a chance proportional to its average uniqueness among those drawn.
 
     Draws depend on one another, so a replicate of a key is one task's work; replicates and keys run side by side. The task holds the spans (two numbers
-    a label) and how often each bar is covered; a draw costs running sums over the bars.
+    a label), how often each bar is covered and a tree of the labels' chances; a draw costs the tree's height and the bars around its own label, not all bars.
     """
-    numbered = bars.select(*keys, "ts_us", (F.row_number().over(Window.partitionBy(*keys).orderBy("ts_us")) - 1).alias("bar_no"))
-    spans = labels.select(*keys, "ts_us", "t1").join(numbered.withColumnRenamed("bar_no", "b0"), [*keys, "ts_us"])
-    spans = spans.join(numbered.select(*keys, F.col("ts_us").alias("t1"), F.col("bar_no").alias("b1")), [*keys, "t1"])
+    placed = _places(bars, keys)
+    spans = labels.select(*keys, "ts_us", "t1").join(placed.withColumnRenamed("bar_no", "b0"), [*keys, "ts_us"])
+    spans = spans.join(placed.select(*keys, F.col("ts_us").alias("t1"), F.col("bar_no").alias("b1")), [*keys, "t1"])
     spans = spans.select(*keys, F.col("ts_us").alias("label_us"), "b0", "b1", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("label_us")
         low, high = (pdf[c].to_numpy(np.int64) - pdf["b0"].min() for c in ("b0", "b1"))
-        rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
-        cover, drawn = np.zeros(high.max() + 1), []
-        for _ in range(draws or len(pdf)):
-            upto = np.concatenate([[0.0], np.cumsum(1 / (cover + 1))])
-            mean = (upto[high + 1] - upto[low]) / (high - low + 1)
-            k = int(rng.choice(len(pdf), p=mean / mean.sum()))
-            drawn.append(k)
-            cover[low[k] : high[k] + 1] += 1
+        drawn = _draws(low, high, draws or len(pdf), np.random.default_rng([seed, int(pdf["replicate"].iloc[0])]))
         return pdf.iloc[drawn][[*keys, "replicate", "label_us"]].assign(draw=range(len(drawn)))
 
     kinds = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in keys)
     return spans.groupBy(*keys, "replicate").applyInPandas(of, f"{kinds}, replicate int, label_us long, draw long")
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal(z: pd.Series) -> pd.Series:
-    """The distribution function of the standard normal, which Spark lacks."""
-    return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
+def _normal(z: F.Column) -> F.Column:
+    """The distribution function of the standard normal, which Spark lacks, in built-in expressions: below 3 the series z + z^3/3 + z^5/15 + ..., beyond a continued fraction."""
+    x = F.abs(z)
+    term, total = x, x
+    step = lambda acc, k: F.struct((acc["term"] * x * x / (2 * k + 1)).alias("term"), (acc["total"] + acc["term"] * x * x / (2 * k + 1)).alias("total"))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.struct(term.alias("term"), total.alias("total")), step, lambda acc: acc["total"])
+    far = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / acc)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    beyond = F.when(x < 3, 0.5 - density * near).otherwise(F.try_divide(density, far))
+    beyond = F.when(x == float("inf"), 0.0).otherwise(beyond)
+    return F.when(z > 0, 1 - beyond).otherwise(beyond)
 
 
 def sizes(predictions: DataFrame, n_classes: int) -> DataFrame:

@@ -8,45 +8,56 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import SPAN, asof, numbered
 from .stored import materialize, work_dir
 
 KEYS, SIDE_BY_SIDE = ("market",), 8
 
 
-def purge(train: DataFrame, tests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def purge(train: DataFrame, tests: DataFrame, keys: tuple[str, ...] = KEYS, span: int = SPAN) -> DataFrame:
     """Rows (keys, ts_us, t1) that overlap no interval (keys, first_us, last_us) of ``tests``: none starts or ends in one, or covers one.
 
-    One ordering of trains by their ends and tests by their starts, instead of a comparison of every pair.
+    Trains by their ends and tests by their starts are ordered within buckets of time; what comes before a bucket is the latest end of the tests of all earlier ones, one
+    row a bucket.
     """
     end = F.greatest("ts_us", F.coalesce("t1", "ts_us"))
     columns = [c for c in train.columns if c not in keys]
     own = train.select(*keys, F.struct(*columns).alias("row"), end.alias("at"), F.lit(1).alias("kind"), F.col("ts_us").alias("from"))
     spans = tests.select(*keys, F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.col("first_us").alias("at"), F.lit(0).alias("kind"), F.col("last_us").alias("from"))
+    both = own.unionByName(spans).withColumn("bucket", F.floor(F.col("at") / span))
     # a closed interval meets another that starts by its end if the latest end of such is not before its own start
-    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.max(F.when(F.col("kind") == 0, F.col("from"))).over(w)
-    kept = own.unionByName(spans).withColumn("latest", latest).where("kind = 1 and (latest is null or latest < `from`)")
-    return kept.select(*keys, "row.*").select(train.columns)
+    last = F.when(F.col("kind") == 0, F.col("from"))
+    within = Window.partitionBy(*keys, "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "bucket").agg(F.max(last).alias("most")).select(*keys, "bucket", F.max("most").over(earlier).alias("carried"))
+    kept = both.withColumn("own", F.max(last).over(within)).where("kind = 1").join(carried, [*keys, "bucket"])
+    latest = F.greatest("own", "carried")
+    return kept.where(latest.isNull() | (latest < F.col("from"))).select(*keys, "row.*").select(train.columns)
 
 
-def embargo(times: DataFrame, share: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def embargo(times: DataFrame, share: float, keys: tuple[str, ...] = KEYS, span: int = SPAN) -> DataFrame:
     """(keys, ts_us, until_us): the time int(n * share) rows later, at the end the last one."""
-    w = Window.partitionBy(*keys)
-    n = times.withColumn("step", F.floor(F.count("*").over(w) * share)).withColumn("rn", F.row_number().over(w.orderBy("ts_us")))
-    later = n.select(*keys, F.col("rn").alias("to"), F.col("ts_us").alias("until_us"))
-    last = times.groupBy(*keys).agg(F.max("ts_us").alias("last_us"))
-    out = n.withColumn("to", F.col("rn") + F.col("step")).join(later, [*keys, "to"], "left").join(last, list(keys))
+    rows = numbered(times.select(*keys, "ts_us"), list(keys), ["ts_us"], F.floor(F.col("ts_us") / span))
+    whole = times.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ts_us").alias("last_us"))
+    later = rows.select(*keys, F.col("rn").alias("to"), F.col("ts_us").alias("until_us"))
+    out = rows.join(whole, list(keys)).withColumn("to", F.col("rn") + F.floor(F.col("n") * share)).join(later, [*keys, "to"], "left")
     return out.select(*keys, "ts_us", F.coalesce("until_us", "last_us").alias("until_us"))
 
 
-def purged_folds(labels: DataFrame, k: int, share: float = 0.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, fold, ts_us, role): each of k runs of rows once as test; train rows end by its start, or follow its last end and the embargo."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    rows = labels.select(*keys, "ts_us", "t1", (F.row_number().over(w) - 1).alias("pos"), F.ntile(k).over(w).alias("part"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+def purged_folds(labels: DataFrame, k: int, share: float = 0.0, keys: tuple[str, ...] = KEYS, span: int = SPAN) -> DataFrame:
+    """(keys, fold, ts_us, role): each of k runs of rows once as test; train rows end by its start, or follow its last end and the embargo.
+
+    Places come from buckets of time and their counts, and a fold follows from the place. The first row at or after a fold's last end is looked up among those of one bucket.
+    """
+    rows = numbered(labels.select(*keys, "ts_us", "t1"), list(keys), ["ts_us"], F.floor(F.col("ts_us") / span), "pos")
+    rows = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+    # the first n % k folds have one row more
+    size, over = F.floor(F.col("n") / k), F.col("n") % k
+    part = F.when(F.col("pos") < over * (size + 1), F.floor(F.try_divide("pos", size + 1))).otherwise(over + F.floor(F.try_divide(F.col("pos") - over * (size + 1), size)))
+    rows = rows.withColumn("part", (part + 1).cast("int"))
     tests = rows.groupBy(*keys, F.col("part").alias("fold")).agg(F.min("ts_us").alias("start_us"), F.max("t1").alias("end_us"))
-    # the place of the first row that starts at or after the last end
-    after = rows.select(*keys, "ts_us", "pos").join(tests, list(keys)).where("ts_us >= end_us").groupBy(*keys, "fold").agg(F.min("pos").alias("right"))
-    tests = tests.join(after, [*keys, "fold"], "left")
+    after = asof(rows.select(*keys, "ts_us", F.col("pos").alias("right")), tests.withColumnRenamed("end_us", "at"), list(keys), ["right"], forward=True, span=span)
+    tests = after.select(*keys, "fold", "start_us", F.when(F.col("at").isNotNull(), F.col("right")).alias("right"))
     pairs = rows.join(tests, list(keys))
     train = (F.col("t1") <= F.col("start_us")) | (F.col("pos") >= F.col("right") + F.floor(F.col("n") * share))
     role = F.when(F.col("part") == F.col("fold"), "test").when(train, "train")

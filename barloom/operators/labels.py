@@ -6,40 +6,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import DAY, HOUR
+from .ordered import SPAN, asof, numbered
+from .stored import materialize
 
-KEYS = ("market",)
+KEYS, FAN, LEVELS = ("market",), 32, 2
 
 
 def vertical(bars: DataFrame, events: DataFrame, days: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts_us, t1): the first bar at or after ts_us + days, null near the end. Times run backwards, so the frame only grows."""
-    both = bars.select(*keys, "ts_us", F.col("ts_us").alias("t")).unionByName(events.select(*keys, "ts_us", F.lit(None).cast("long").alias("t")))
-    back = Window.partitionBy(*keys).orderBy(-F.col("ts_us")).rangeBetween(Window.unboundedPreceding, -int(days * DAY))
-    found = both.withColumn("t1", F.min("t").over(back)).where("t is null")
-    return found.select(*keys, "ts_us", "t1")
-
-
-def barrier_path(bars: DataFrame, events: DataFrame, bucket: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Events (keys, ts_us, t1, ...) joined to the bars of [ts_us, t1] as (..., bar_us, ret), ret being the change since ts_us.
-
-    An equi-join on time buckets: a bar lies in one, an event in all that its span touches.
+    """(keys, ts_us, t1): the first bar at or after ts_us + days, null near the end."""
+    asks = events.select(*keys, "ts_us", (F.col("ts_us") + int(days * DAY)).alias("at"))
+    return asof(bars.select(*keys, "ts_us", F.col("ts_us").alias("t1")), asks, list(keys), ["t1"], forward=True).select(*keys, "ts_us", "t1")
+
+
+def pyramid(bars: DataFrame, keys: tuple[str, ...] = KEYS, span: int = SPAN) -> DataFrame:
+    """(keys, level, block, low, high, bar_us): closes of bars at level 0, by their numbers, and the extremes of blocks of ``FAN`` blocks of the level below."""
+    rows = numbered(bars.select(*keys, "ts_us", "close"), list(keys), ["ts_us"], F.floor(F.col("ts_us") / span), "block")
+    level = rows.select(*keys, F.lit(0).alias("level"), "block", F.col("close").alias("low"), F.col("close").alias("high"), F.col("ts_us").alias("bar_us"))
+    out = level
+    for k in range(1, LEVELS + 1):
+        level = level.groupBy(*keys, F.floor(F.col("block") / FAN).alias("block")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        level = level.select(*keys, F.lit(k).alias("level"), "block", "low", "high", F.lit(None).cast("long").alias("bar_us"))
+        out = out.unionByName(level)
+    return out
+
+
+def _cover(first: F.Column, last: F.Column) -> F.Column:
+    """Blocks (level, block) that make up the bars from ``first`` to ``last``: bars at both edges, then blocks of each level, and at the top as many as there are."""
+    parts, a, b = [], first, last
+    run = lambda k, x, y: F.when(x <= y, F.transform(F.sequence(x, y), lambda i: F.struct(F.lit(k).alias("level"), i.alias("block")))).otherwise(F.array().cast("array<struct<level: int, block: bigint>>"))
+    for k in range(LEVELS):
+        up, down = F.ceil(a / FAN), F.floor((b + 1) / FAN)  # whole blocks of the level above
+        whole = up < down
+        parts.append(run(k, a, F.when(whole, up * FAN - 1).otherwise(b)))
+        parts.append(F.when(whole, run(k, down * FAN, b)).otherwise(F.array().cast("array<struct<level: int, block: bigint>>")))
+        a, b = F.when(whole, up).otherwise(F.lit(1)), F.when(whole, down - 1).otherwise(F.lit(0))
+    parts.append(run(LEVELS, a, b))
+    return F.concat(*parts)
+
+
+def touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ts_us, by, t1, sl_us, pt_us): the first bars below -sl * trgt and above pt * trgt of events (keys, ts_us, by, t1, trgt, side); factor 0: none.
+
+    An event does not read its path. It asks the extremes of the few blocks that make up its span, opens the first that holds a touch on a side, and goes down level by level. Returns grow
+    with prices, so a block's extremes are tested by the very expression that tests a bar.
     """
-    last = bars.groupBy(*keys).agg(F.max("ts_us").alias("last_us"))
-    start = bars.select(*keys, "ts_us", F.col("close").alias("p0"))
-    spans = events.join(last, list(keys)).join(start, [*keys, "ts_us"]).withColumn("end_us", F.coalesce("t1", "last_us"))
-    cell = lambda c: F.floor(F.col(c) / bucket)
-    spans = spans.where("ts_us <= end_us").withColumn("cell", F.explode(F.sequence(cell("ts_us"), cell("end_us"))))
-    path = bars.select(*keys, F.col("ts_us").alias("bar_us"), F.col("close").alias("p"), cell("ts_us").alias("cell"))
-    out = spans.join(path, [*keys, "cell"]).where("bar_us between ts_us and end_us")
-    return out.withColumn("ret", F.try_divide("p", "p0") - 1).drop("cell", "p", "p0", "last_us", "end_us")
-
-
-def touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, ts_us, t1, sl_us, pt_us): the first bars below -sl * trgt and above pt * trgt of events (keys, ts_us, t1, trgt, side); factor 0: none."""
-    path = barrier_path(bars, events, bucket, keys).withColumn("ret", F.col("ret") * F.col("side"))
-    low = F.when(F.col("ret") < -sl * F.col("trgt"), F.col("bar_us")) if sl > 0 else F.lit(None).cast("long")
-    high = F.when(F.col("ret") > pt * F.col("trgt"), F.col("bar_us")) if pt > 0 else F.lit(None).cast("long")
-    found = path.groupBy(*keys, "ts_us").agg(F.min(low).alias("sl_us"), F.min(high).alias("pt_us"))
-    return events.select(*keys, "ts_us", "t1").join(found, [*keys, "ts_us"], "left")
+    tree = materialize(pyramid(bars, keys, bucket))
+    places = tree.where("level = 0").select(*keys, F.col("bar_us").alias("ts_us"), "block", F.col("low").alias("p0"))
+    on = [*keys, "ts_us", *by]
+    asks = events.select(*on, "t1", "trgt", "side").join(places.withColumnRenamed("block", "first"), [*keys, "ts_us"])
+    ends = places.groupBy(*keys).agg(F.max("ts_us").alias("last_us"))
+    asks = asks.join(ends, list(keys)).withColumn("at", F.coalesce("t1", "last_us")).where("ts_us <= at")
+    asks = asof(places.select(*keys, "ts_us", F.col("block").alias("last")), asks, list(keys), ["last"], span=bucket).select(*on, "first", "last", "p0", "trgt", "side")
+    sides = [F.struct(F.lit(k).alias("kind"), F.lit(float(f)).alias("width")) for k, f in (("sl", sl), ("pt", pt)) if f > 0]
+    sides = F.array(*sides) if sides else F.array().cast("array<struct<kind: string, width: double>>")
+    ret = lambda c: (F.try_divide(c, "p0") - 1) * F.col("side")
+    reach = F.col("s.width") * F.col("trgt")
+    hit = F.when(F.col("s.kind") == "sl", F.least(ret("low"), ret("high")) < -reach).otherwise(F.greatest(ret("low"), ret("high")) > reach)
+    # one block for each event and side, at the end a bar
+    opened = asks.withColumn("s", F.explode(sides)).withColumn("c", F.explode(_cover(F.col("first"), F.col("last"))))
+    for k in range(LEVELS, -1, -1):
+        met = opened.select(*on, "s", "p0", "trgt", "side", "c.*").join(tree, [*keys, "level", "block"]).where(hit)
+        place = F.col("block") * F.pow(F.lit(float(FAN)), F.col("level")).cast("long")  # blocks of a higher level count by their first bar
+        found = met.groupBy(*on, "s").agg(F.min_by(F.struct("level", "block", "bar_us", "p0", "trgt", "side"), place).alias("m")).select(*on, "s", "m.*")
+        if k:
+            inner = F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.struct((F.col("level") - 1).alias("level"), (F.col("block") * FAN + i).alias("block")))
+            opened = found.withColumn("c", F.explode(F.when(F.col("level") > 0, inner).otherwise(F.array(F.struct("level", "block")))))
+    first = found.groupBy(*on).agg(*[F.min(F.when(F.col("s.kind") == k, F.col("bar_us"))).alias(f"{k}_us") for k in ("sl", "pt")])
+    return events.select(*on, "t1").join(first, on, "left")
 
 
 def barrier_events(bars: DataFrame, events: DataFrame, target: DataFrame, width: float | tuple[float, float], min_ret: float | DataFrame, vertical_t1: DataFrame | None = None, side: DataFrame | None = None, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -67,11 +100,10 @@ def label(bars: DataFrame, barriers: DataFrame, keys: tuple[str, ...] = KEYS) ->
     A time off the bars takes the next bar's price.
     """
     rows = barriers.where("t1 is not null")
+    # closes that are missing are filled by the next one
+    known = bars.where("close is not null")
     for at, name in (("ts_us", "p0"), ("t1", "p1")):
-        times = rows.select(*keys, F.col(at).alias("at")).distinct()
-        both = bars.select(*keys, F.col("ts_us").alias("at"), "close", F.lit(0).alias("kind")).unionByName(times.select(*keys, "at", F.lit(None).cast("double").alias("close"), F.lit(1).alias("kind")))
-        prices = both.withColumn(name, F.last("close", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("kind")).rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.join(prices.where("kind = 1").select(*keys, F.col("at").alias(at), name), [*keys, at])
+        rows = asof(known.select(*keys, "ts_us", F.col("close").alias(name)), rows.withColumn("at", F.col(at)), list(keys), [name], forward=True).drop("at", "found")
     ret = F.try_divide("p1", "p0") - 1
     if "side" in barriers.columns:
         ret = ret * F.col("side")
@@ -88,23 +120,24 @@ def zero_unreached(labels: DataFrame, target: DataFrame, keys: tuple[str, ...] =
 
 
 def label_counts(bars: DataFrame, events: DataFrame, target: DataFrame, factors: list[float], days: list[float], bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(factor, days, zeros, ups, downs): labels of all events for each pair of target factor and holding period, over one path table.
+    """(factor, days, zeros, ups, downs): labels of all events for each pair of target factor and holding period.
 
-    The parameters are a fixed short list, and the path is joined once, for the longest period.
+    The first touches of an event at a factor hold for all periods that last so long, so they are looked up once, for the longest period.
     """
     on = [*keys, "ts_us"]
     rows = events.select(*on).join(target.select(*on, "trgt"), on)
-    for i, d in enumerate(days):
-        rows = rows.join(vertical(bars, events, d, keys).withColumnRenamed("t1", f"v{i}"), on)
-    longest = f"v{max(range(len(days)), key=lambda i: days[i])}"
-    path = barrier_path(bars, rows.withColumn("t1", F.col(longest)), bucket, keys)
-    grid = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("factor"), F.lit(float(d)).alias("days"), F.col(f"v{i}").alias("v")) for f in factors for i, d in enumerate(days)]))
-    path = path.withColumn("g", grid).select(*on, "trgt", "bar_us", "ret", "g.*").where("v is not null and bar_us <= v")
-    hit = F.abs("ret") > F.col("factor") * F.col("trgt")
-    at = path.groupBy(*on, "factor", "days").agg(F.min_by("ret", F.struct(F.when(hit, 0).otherwise(1), F.when(hit, F.col("bar_us")).otherwise(-F.col("bar_us")))).alias("ret"), F.max(hit).alias("hit"))
-    kind = F.when(~F.col("hit"), 0).otherwise(F.signum("ret"))
+    ahead = F.explode(F.array(*[F.struct(F.lit(float(d)).alias("days"), F.lit(int(d * DAY)).alias("us")) for d in days]))
+    asks = rows.select(*on, "trgt", ahead.alias("d")).select(*on, "trgt", "d.days", (F.col("ts_us") + F.col("d.us")).alias("at"))
+    ends = asof(bars.select(*keys, "ts_us", F.col("ts_us").alias("v")), asks, list(keys), ["v"], forward=True).where("found")
+    ends = materialize(ends.select(*on, "trgt", "days", "v"))
+    each = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
+    longest = ends.groupBy(*on).agg(F.max("v").alias("t1"), F.first("trgt").alias("trgt")).withColumn("factor", each)
+    scaled = longest.select(*on, "factor", "t1", (F.col("factor") * F.col("trgt")).alias("trgt"), F.lit(1.0).alias("side"))
+    first = touches(bars, scaled, 1.0, 1.0, bucket, keys, ("factor",)).drop("t1")
+    known = ends.join(first, on).withColumn("at", F.least("sl_us", "pt_us"))
+    kind = F.when(F.coalesce(F.col("at") > F.col("v"), F.lit(True)), 0).when(F.col("at") == F.col("sl_us"), -1).otherwise(1)
     count = lambda k: F.sum((kind == k).cast("long"))
-    return at.groupBy("factor", "days").agg(count(0).alias("zeros"), count(1).alias("ups"), count(-1).alias("downs"))
+    return known.groupBy("factor", "days").agg(count(0).alias("zeros"), count(1).alias("ups"), count(-1).alias("downs"))
 
 
 def trend_t(bars: DataFrame, horizon: int, column: str = "close", keys: tuple[str, ...] = KEYS) -> F.Column:

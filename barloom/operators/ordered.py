@@ -1,7 +1,8 @@
-"""Work in order within keys: running numbers, bounded chunks, decaying sums, and scans with carried state.
+"""Work in order within keys: running numbers, bounded chunks, relays of chunks, decaying sums, look-back, and scans with carried state.
 
-No task needs a whole key for the first three: rows are numbered within buckets and by the buckets' counts, and chunks of ``CHUNK`` numbers, with as many rows before
-them as a calculation looks back, are groups of a bounded size. What is truly sequential is scanned: rows are dealt by key and sorted within partitions, and
+No task needs a whole key: rows are numbered within buckets and by the buckets' counts, and chunks of ``CHUNK`` numbers, with as many rows before
+them as a calculation looks back, are groups of a bounded size. What is sequential becomes a relay: each chunk says, in one row, what it makes of any state it may be given; only
+these rows are scanned in order, which gives each chunk its own start; then all chunks work side by side. A scan deals rows by key and sorts them within partitions, and
 Arrow batches stream through, so a task holds one batch and the state.
 """
 
@@ -72,10 +73,57 @@ def chunked(df: DataFrame, keys: list[str], of: Callable[[pd.DataFrame], pd.Data
     return rows.groupBy(*keys, "_chunk").applyInPandas(apply, schema)
 
 
-def _decay(x: np.ndarray, keep: np.ndarray, state: np.ndarray) -> np.ndarray:
+def relay(df: DataFrame, keys: list[str], order: list[str], bucket: F.Column, summary: tuple[Callable[[pd.DataFrame], dict], str], carry: Callable[[Any, Any], Any], state: tuple[Callable[[Any], list], str], final: tuple[Callable[[pd.DataFrame], pd.DataFrame], str], chunk: int | None = None) -> DataFrame:
+    """Sequential work in three passes. ``summary`` makes a chunk's rows, in order, a dict of its columns; ``carry(state, summary row)`` gives the state after the chunk (None
+    before the first); ``state`` writes a state as columns; ``final`` sees a chunk's rows with the columns of the state that they start from."""
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = numbered(df, keys, order, bucket).withColumn("_chunk", F.floor(F.col("rn") / (chunk or CHUNK)))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1][[*keys, "_chunk"]].assign(**{k: [v] for k, v in summary[0](pdf.sort_values("rn", ignore_index=True)).items()})
+
+    def step(now: Any, pdf: pd.DataFrame):
+        starts = []
+        for row in pdf.itertuples(index=False):
+            starts.append(state[0](now))
+            now = carry(now, row)
+        names = [x.split()[0] for x in state[1].split(", ")]
+        return now, pdf[[*keys, "_chunk"]].assign(**{n: [s[i] for s in starts] for i, n in enumerate(names)})
+
+    summaries = rows.groupBy(*keys, "_chunk").applyInPandas(one, f"{kinds}, _chunk long, {summary[1]}")
+    starts = ordered_scan(summaries, keys, ["_chunk"], step, f"{kinds}, _chunk long, {state[1]}")
+    return rows.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(lambda pdf: final[0](pdf.sort_values("rn", ignore_index=True)), final[1])
+
+
+def asof(values: DataFrame, asks: DataFrame, keys: list[str], columns: list[str], forward: bool = False, span: int = SPAN) -> DataFrame:
+    """``asks`` (keys, at, ...) with ``found`` and the columns of the last row of ``values`` (keys, ts_us, ...) at or before ``at``, or ``forward`` the first at or after it.
+
+    Each looks within its own bucket of time; what earlier buckets leave is carried in a table of one row a bucket. Times are unique within a key.
+    """
+    sign = -1 if forward else 1
+    more = [c for c in asks.columns if c not in keys]
+    x = values.select(*keys, (sign * F.col("ts_us")).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_v"), F.lit(0).alias("_kind"))
+    a = asks.select(*keys, (sign * F.col("at")).alias("_at"), F.lit(1).alias("_kind"), F.struct(*more).alias("_ask"))
+    both = x.unionByName(a, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / span))
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    left = both.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    left = left.select(*keys, "_bucket", before.alias("_carried"))
+    asked = both.withColumn("_own", F.last("_v", ignorenulls=True).over(within)).where("_kind = 1").join(left, [*keys, "_bucket"])
+    asked = asked.withColumn("_v", F.coalesce("_own", "_carried"))
+    return asked.select(*keys, "_ask.*", F.col("_v").isNotNull().alias("found"), *[F.col("_v")[c].alias(c) for c in columns])
+
+
+def _decay(x: np.ndarray, keep: np.ndarray, state: np.ndarray, block: int = 64) -> np.ndarray:
+    """Running sums that ``keep`` shrinks at every row; within a block a triangle of powers, from block to block the last sum."""
+    age = np.arange(block)[:, None] - np.arange(block)[None, :]
+    power = np.where(age[None] >= 0, keep[:, None, None] ** np.maximum(age, 0)[None], 0.0)  # one triangle for each input
+    fade = keep[None, :] ** np.arange(1, block + 1)[:, None]
     out = np.empty_like(x)
-    for i in range(len(x)):
-        out[i] = state = keep * state + x[i]
+    for i in range(0, len(x), block):
+        n = min(block, len(x) - i)
+        out[i : i + n] = np.einsum("jab,bj->aj", power[:, :n, :n], x[i : i + n]) + fade[:n] * state
+        state = out[i + n - 1]
     return out
 
 

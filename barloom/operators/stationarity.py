@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import _kinds
-from .ordered import ordered_scan
+from .ordered import by_span, numbered, ordered_scan
 
 D_GRID = tuple(round(0.1 * k, 1) for k in range(1, 11))
 ENTER, ACCEPT, COARSE = 0.001, 0.0001, 1e-3
+BLOCK, SLICES, EXACT = 1 << 14, 64, 1 << 20
 
 
 def _binomial(d: float, size: int) -> np.ndarray:
@@ -88,28 +89,85 @@ def difference_fixed_lags(rows: DataFrame, d: float, threshold: float, keys: tup
     return rows.where("x is not null").select(*keys, "ts_us", sum(terms[1:], terms[0]).alias("y")).where("y is not null")
 
 
-def difference_expanding(rows: DataFrame, d: float, threshold: float = 0.01, keys: tuple[str, ...] = ("market", "feature")) -> DataFrame:
+def _weights_at(d: float, first: int, n: int) -> np.ndarray:
+    """The coefficients of lags first ... first + n - 1; beyond ``EXACT`` they go on from there by their asymptotic ratio, whose error is below 1e-18."""
+    start = min(first, EXACT)
+    w = _binomial(d, start + 1)[start]
+    if first > start:
+        size = lambda k: k ** (-d - 1) * (1 + d * (d + 1) / (2 * k) + d * (d + 1) * (d + 2) * (3 * d + 1) / (24 * k * k))
+        w *= size(float(first)) / size(float(start))
+    k = np.arange(first + 1, first + n)
+    return w * np.cumprod(np.concatenate([[1.0], (k - 1 - d) / k]))
+
+
+def _skipped(d: float, size: int, threshold: float, step: int = 1 << 20) -> int:
+    """How many lags leave more than ``threshold`` of all weight at themselves and beyond; in pieces, so of bounded memory."""
+    pieces = [np.abs(_weights_at(d, i, min(step, size - i))).sum() for i in range(0, size, step)]
+    total, beyond, out = sum(pieces), sum(pieces), 0
+    for i, piece in zip(range(0, size, step), pieces, strict=True):
+        if (beyond - piece) / total <= threshold:
+            w = np.abs(_weights_at(d, i, min(step, size - i)))
+            left = np.cumsum(w[::-1])[::-1] + (beyond - piece)
+            return out + int((left / total > threshold).sum())
+        out, beyond = out + min(step, size - i), beyond - piece
+    return out
+
+
+def difference_expanding(rows: DataFrame, d: float, threshold: float = 0.01, keys: tuple[str, ...] = ("market", "feature"), block: int | None = None) -> DataFrame:
     """(keys, ts_us, y): all weights a row has past for; the first rows, as many as cumulative weight shares exceed the threshold, are skipped.
 
-    The definition needs each row's whole past, so a series is taken at once; series are keys such as (market, segment, feature).
+    A convolution in parts: rows and weights are cut into blocks of ``BLOCK``, whose spectra are made block by block, then dealt by frequency. For a few frequencies a task holds one number of
+    each block and convolves the blocks' order; then spectra go back to their blocks. No task holds a series: a block's task 4 numbers a row of it, a frequency's task
+    about 4 * ``BLOCK`` / ``SLICES`` numbers a block.
     """
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_us")
-        filled = pdf["x"].ffill()
-        there = filled.notna().to_numpy()
-        x, own = filled[there].to_numpy(float), pdf["x"].to_numpy(float)[there]
-        w = np.array(weights(d, len(x)))
-        share = np.cumsum(np.abs(w))
-        skip = int((share / share[-1] > threshold).sum()) if len(x) else 0
-        n = 1 << (2 * len(x)).bit_length()
-        bad = ~np.isfinite(x)
-        y = np.fft.irfft(np.fft.rfft(np.where(bad, 0, x), n) * np.fft.rfft(w[::-1], n), n)[: len(x)]
-        y = np.where(np.cumsum(bad) > 0, np.nan, y)
-        keep = (np.arange(len(x)) >= skip) & np.isfinite(own)
-        return pdf.loc[there, [*keys, "ts_us"]][keep].assign(y=y[keep])
-
-    return rows.select(*keys, "ts_us", "x").groupBy(*keys).applyInPandas(of, f"{_kinds(rows, keys)}, ts_us long, y double")
+    size = block or BLOCK
+    kinds = _kinds(rows, keys)
+    by, spectrum = list(keys), f"{kinds}, block long, slice long, re array<double>, im array<double>, wre array<double>, wim array<double>"
+    x = F.when(~F.isnan("x"), F.col("x"))
+    placed = numbered(rows.select(*by, "ts_us", x.alias("x")), by, ["ts_us"], by_span())
+    ends = placed.groupBy(*by).agg(F.min(F.when(F.col("x").isNotNull(), F.col("rn"))).alias("first"), F.count("*").alias("n"), F.min(F.when(F.abs("x") == float("inf"), F.col("rn"))).alias("bad"))
+    ends = ends.where("first is not null")
+    skips = ends.select(*by, "first", "n", "bad").groupBy(*by).applyInPandas(
+        lambda pdf: pdf.assign(skip=[_skipped(d, int(n - f), threshold) for n, f in zip(pdf["n"], pdf["first"], strict=True)]), f"{kinds}, first long, n long, bad long, skip long"
+    )
+    there = placed.join(skips, by).where("rn >= first").withColumn("pos", F.col("rn") - F.col("first")).withColumn("block", F.floor(F.col("pos") / size))
+    last = there.groupBy(*by, "block").agg(F.max_by("x", F.when(F.col("x").isNotNull(), F.col("pos"))).alias("x"))
+    earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    there = there.join(last.select(*by, "block", F.last("x", ignorenulls=True).over(earlier).alias("carried")), [*by, "block"])
+    edges = np.linspace(0, size + 1, min(SLICES, size + 1) + 1).astype(int)
+
+    def spectra(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, k = pdf.sort_values("pos"), int(pdf["block"].iloc[0])
+        own = pdf["x"].to_numpy(float)
+        own[:1] = np.where(np.isnan(own[:1]), pdf["carried"].iloc[0], own[:1])
+        own = pd.Series(own).ffill().to_numpy()
+        signal = np.fft.rfft(np.where(np.isfinite(own), own, 0.0), 2 * size)
+        # lags k * size + u, and before them, for u from 1 - size to size - 1
+        w = _weights_at(d, max(0, (k - 1) * size), 2 * size if k else size)
+        w = np.concatenate([w[size:], w[:size]]) if k else np.concatenate([w, np.zeros(size)])
+        own_w = np.fft.rfft(w)
+        out = pdf.iloc[[0] * (len(edges) - 1)][[*by, "block"]].assign(slice=range(len(edges) - 1))
+        cut = lambda z: [z[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out.assign(re=cut(signal.real), im=cut(signal.imag), wre=cut(own_w.real), wim=cut(own_w.imag))
+
+    def convolved(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        z, w = (np.stack(pdf[a].to_list()) + 1j * np.stack(pdf[b].to_list()) for a, b in (("re", "im"), ("wre", "wim")))
+        n = 1 << (2 * len(z) - 1).bit_length()
+        y = np.fft.ifft(np.fft.fft(z, n, axis=0) * np.fft.fft(w, n, axis=0), axis=0)[: len(z)] if len(z) > 1 else z * w
+        return pdf[[*by, "block", "slice"]].assign(re=list(y.real), im=list(y.imag))
+
+    def back(pdf: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = pdf.sort_values("pos"), parts.sort_values("slice")
+        y = np.fft.irfft(np.concatenate(parts["re"].to_list()) + 1j * np.concatenate(parts["im"].to_list()), 2 * size)[: len(pdf)]
+        y = np.where((pdf["rn"] >= pdf["bad"]).to_numpy(), np.nan, y)
+        keep = (pdf["pos"] >= pdf["skip"]).to_numpy() & np.isfinite(pdf["x"].to_numpy(float))
+        return pdf[[*by, "ts_us"]][keep].assign(y=y[keep])
+
+    parts = there.groupBy(*by, "block").applyInPandas(spectra, spectrum)
+    made = parts.groupBy(*by, "slice").applyInPandas(convolved, f"{kinds}, block long, slice long, re array<double>, im array<double>")
+    cells = there.select(*[F.col(c).alias(c) for c in (*by, "block", "ts_us", "pos", "rn", "bad", "skip", "x")])
+    return cells.groupBy(*by, "block").cogroup(made.groupBy(*by, "block")).applyInPandas(back, f"{kinds}, ts_us long, y double")
 
 
 def _p_value(tau: float) -> float:

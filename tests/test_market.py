@@ -213,3 +213,54 @@ def test_stream_gives_the_batch_bars(spark, tmp_path):
     q.stop()
     batch = {r.ts_us: (r.open, r.close, r.volume) for r in bars.time_bars(t).where("close is not null").collect()}
     assert {r.ts_us: (r.open, r.close, r.volume) for r in spark.table("live").collect()} == batch
+
+
+def test_bars_and_events_of_one_market_are_split(spark, monkeypatch):
+    """One market with all ticks runs in chunks of a few rows, to the same results."""
+    from barloom.operators import ordered
+
+    rows, t = make_ticks(spark, 1200, 7, ("a",))
+    levels, walk, x = [], [], 100.0
+    rng = random.Random(8)
+    for i in range(1500):
+        x += rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0])
+        walk.append(("a", i * H, None if i % 211 == 7 else x))
+        levels.append(("a", i * H, float(3 + i // 100 % 9)))
+    s, limits = spark.createDataFrame(walk, "market string, ts_us long, x double"), spark.createDataFrame(levels, "market string, ts_us long, h double")
+    made = lambda: [sorted(map(tuple, f().collect())) for f in (
+        lambda: bars.volume_bars(t, 45.0), lambda: bars.value_bars(t, 900.0, "full"), lambda: bars.volume_bars(t, 2000.0), lambda: bars.rolling_volume_bars(t, 3),
+        lambda: events.cusum_events(s, "x", 5.0), lambda: events.cusum_events_by(s, "x", limits), lambda: events.cusum_events(s, "x", 500.0),
+    )]
+    whole = made()
+    monkeypatch.setattr(ordered, "CHUNK", 37)
+    assert made() == whole and all(whole[:6])
+    want = loop_volume_bars(rows, 45.0, 4)
+    assert [r[2] for r in whole[0]] == [w[0] for w in want]
+
+
+def test_look_back_and_ahead_over_buckets(spark):
+    from barloom.operators.ordered import asof
+
+    rng = random.Random(2)
+    values = sorted({rng.randrange(0, 4000) for _ in range(60)})
+    asks = [rng.randrange(-50, 4100) for _ in range(80)]
+    v = spark.createDataFrame([("a", t, None if t % 5 == 0 else float(t)) for t in values], "market string, ts_us long, p double")
+    a = spark.createDataFrame([("a", t, i) for i, t in enumerate(asks)], "market string, at long, i int")
+    for forward in (False, True):
+        got = {r.i: (r.found, r.p) for r in asof(v, a, ["market"], ["p"], forward, 300).collect()}
+        for i, t in enumerate(asks):
+            near = [x for x in values if (x >= t if forward else x <= t)]
+            near = (min if forward else max)(near) if near else None
+            assert got[i] == (near is not None, None if near is None or near % 5 == 0 else float(near))
+
+
+def test_purge_and_folds_over_buckets(spark):
+    rng = random.Random(3)
+    rows = [(t, t + rng.randrange(0, 400)) for t in sorted(rng.sample(range(5000), 70))]
+    tests = [(t, t + rng.randrange(0, 150)) for t in rng.sample(range(5000), 6)]
+    lab = spark.createDataFrame([("a", *r) for r in rows], "market string, ts_us long, t1 long")
+    cut = spark.createDataFrame([("a", *r) for r in tests], "market string, first_us long, last_us long")
+    got = sorted((r.ts_us, r.t1) for r in folds.purge(lab, cut, span=200).collect())
+    assert got == [r for r in rows if not any(r[0] <= z and a <= r[1] for a, z in tests)]
+    assert sorted(map(tuple, folds.purged_folds(lab, 4, 0.02, span=200).collect())) == sorted(map(tuple, folds.purged_folds(lab, 4, 0.02).collect()))
+    assert sorted(map(tuple, folds.embargo(lab, 0.1, span=200).collect())) == [("a", t, rows[min(69, i + 7)][0]) for i, (t, _) in enumerate(rows)]
