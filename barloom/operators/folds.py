@@ -37,8 +37,8 @@ def purge(train: DataFrame, tests: DataFrame, keys: tuple[str, ...] = KEYS, span
 
 def embargo(times: DataFrame, share: float, keys: tuple[str, ...] = KEYS, span: int = SPAN) -> DataFrame:
     """(keys, ts_us, until_us): the time int(n * share) rows later, at the end the last one."""
-    rows = numbered(times.select(*keys, "ts_us"), list(keys), ["ts_us"], F.floor(F.col("ts_us") / span))
-    whole = times.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ts_us").alias("last_us"))
+    rows = materialize(numbered(times.select(*keys, "ts_us"), list(keys), ["ts_us"], F.floor(F.col("ts_us") / span)))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("ts_us").alias("last_us"))
     later = rows.select(*keys, F.col("rn").alias("to"), F.col("ts_us").alias("until_us"))
     out = rows.join(whole, list(keys)).withColumn("to", F.col("rn") + F.floor(F.col("n") * share)).join(later, [*keys, "to"], "left")
     return out.select(*keys, "ts_us", F.coalesce("until_us", "last_us").alias("until_us"))
@@ -54,7 +54,7 @@ def purged_folds(labels: DataFrame, k: int, share: float = 0.0, keys: tuple[str,
     # the first n % k folds have one row more
     size, over = F.floor(F.col("n") / k), F.col("n") % k
     part = F.when(F.col("pos") < over * (size + 1), F.floor(F.try_divide("pos", size + 1))).otherwise(over + F.floor(F.try_divide(F.col("pos") - over * (size + 1), size)))
-    rows = rows.withColumn("part", (part + 1).cast("int"))
+    rows = materialize(rows.withColumn("part", (part + 1).cast("int")))
     tests = rows.groupBy(*keys, F.col("part").alias("fold")).agg(F.min("ts_us").alias("start_us"), F.max("t1").alias("end_us"))
     after = asof(rows.select(*keys, "ts_us", F.col("pos").alias("right")), tests.withColumnRenamed("end_us", "at"), list(keys), ["right"], forward=True, span=span)
     tests = after.select(*keys, "fold", "start_us", F.when(F.col("at").isNotNull(), F.col("right")).alias("right"))

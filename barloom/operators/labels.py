@@ -44,35 +44,42 @@ def _cover(first: F.Column, last: F.Column) -> F.Column:
     return F.concat(*parts)
 
 
-def touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS, by: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, ts_us, by, t1, sl_us, pt_us): the first bars below -sl * trgt and above pt * trgt of events (keys, ts_us, by, t1, trgt, side); factor 0: none.
-
-    An event does not read its path. It asks the extremes of the few blocks that make up its span, opens the first that holds a touch on a side, and goes down level by level. Returns grow
-    with prices, so a block's extremes are tested by the very expression that tests a bar.
-    """
+def _touched(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket: int, keys: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``events`` with sl_us and pt_us. One chain over the events: all that they bring is carried along, and an event without a bar or a touch keeps nulls."""
     tree = materialize(pyramid(bars, keys, bucket))
     places = tree.where("level = 0").select(*keys, F.col("bar_us").alias("ts_us"), "block", F.col("low").alias("p0"))
     on = [*keys, "ts_us", *by]
-    asks = events.select(*on, "t1", "trgt", "side").join(places.withColumnRenamed("block", "first"), [*keys, "ts_us"])
+    more = [c for c in events.columns if c not in on]
     ends = places.groupBy(*keys).agg(F.max("ts_us").alias("last_us"))
-    asks = asks.join(ends, list(keys)).withColumn("at", F.coalesce("t1", "last_us")).where("ts_us <= at")
-    asks = asof(places.select(*keys, "ts_us", F.col("block").alias("last")), asks, list(keys), ["last"], span=bucket).select(*on, "first", "last", "p0", "trgt", "side")
-    sides = [F.struct(F.lit(k).alias("kind"), F.lit(float(f)).alias("width")) for k, f in (("sl", sl), ("pt", pt)) if f > 0]
-    sides = F.array(*sides) if sides else F.array().cast("array<struct<kind: string, width: double>>")
-    ret = lambda c: (F.try_divide(c, "p0") - 1) * F.col("side")
-    reach = F.col("s.width") * F.col("trgt")
+    asks = events.select(*on, F.struct(*more).alias("e")).join(places.withColumnRenamed("block", "first"), [*keys, "ts_us"], "left").join(ends, list(keys), "left")
+    asks = asof(places.select(*keys, "ts_us", F.col("block").alias("last")), asks.withColumn("at", F.coalesce("e.t1", "last_us")), list(keys), ["last"], span=bucket)
+    none = F.array().cast("array<struct<level: int, block: bigint>>")
+    span = F.when(F.col("first") <= F.col("last"), _cover(F.col("first"), F.col("last"))).otherwise(none)
+    sides = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(f)).alias("width")) for k, f in (("sl", sl), ("pt", pt))])
+    ret = lambda c: (F.try_divide(c, "p0") - 1) * F.col("e.side")
+    reach = F.col("s.width") * F.col("e.trgt")
     hit = F.when(F.col("s.kind") == "sl", F.least(ret("low"), ret("high")) < -reach).otherwise(F.greatest(ret("low"), ret("high")) > reach)
     # one block for each event and side, at the end a bar
-    opened = asks.withColumn("s", F.explode(sides)).withColumn("c", F.explode(_cover(F.col("first"), F.col("last"))))
+    opened = asks.withColumn("s", F.explode(sides)).withColumn("c", F.explode_outer(F.when(F.col("s.width") > 0, span).otherwise(none)))
+    place = F.col("block") * F.pow(F.lit(float(FAN)), F.col("level")).cast("long")  # blocks of a higher level count by their first bar
     for k in range(LEVELS, -1, -1):
-        met = opened.select(*on, "s", "p0", "trgt", "side", "c.*").join(tree, [*keys, "level", "block"]).where(hit)
-        place = F.col("block") * F.pow(F.lit(float(FAN)), F.col("level")).cast("long")  # blocks of a higher level count by their first bar
-        found = met.groupBy(*on, "s").agg(F.min_by(F.struct("level", "block", "bar_us", "p0", "trgt", "side"), place).alias("m")).select(*on, "s", "m.*")
+        met = opened.select(*on, "e", "s", "p0", "c.*").join(tree, [*keys, "level", "block"], "left")
+        first = F.min_by(F.struct("level", "block", "bar_us"), F.when(hit, place)).alias("m")
+        found = met.groupBy(*on, "s").agg(F.first("e").alias("e"), F.first("p0").alias("p0"), first)
         if k:
-            inner = F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.struct((F.col("level") - 1).alias("level"), (F.col("block") * FAN + i).alias("block")))
-            opened = found.withColumn("c", F.explode(F.when(F.col("level") > 0, inner).otherwise(F.array(F.struct("level", "block")))))
-    first = found.groupBy(*on).agg(*[F.min(F.when(F.col("s.kind") == k, F.col("bar_us"))).alias(f"{k}_us") for k in ("sl", "pt")])
-    return events.select(*on, "t1").join(first, on, "left")
+            inner = F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.struct((F.col("m.level") - 1).alias("level"), (F.col("m.block") * FAN + i).alias("block")))
+            opened = found.withColumn("c", F.explode_outer(F.when(F.col("m.level") > 0, inner).when(F.col("m").isNotNull(), F.array(F.struct("m.level", "m.block"))).otherwise(none)))
+    out = found.groupBy(*on).agg(F.first("e").alias("e"), *[F.min(F.when(F.col("s.kind") == k, F.col("m.bar_us"))).alias(f"{k}_us") for k in ("sl", "pt")])
+    return out.select(*on, "e.*", "sl_us", "pt_us")
+
+
+def touches(bars: DataFrame, events: DataFrame, pt: float, sl: float, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, ts_us, t1, sl_us, pt_us): the first bars below -sl * trgt and above pt * trgt of events (keys, ts_us, t1, trgt, side); factor 0: none.
+
+    An event does not read its path. It asks the extremes of the few blocks that make up its span, opens the first that holds a touch on a side, and goes down level by level. Returns grow
+    with prices, so a block's extremes are tested by the very expression that tests a bar.
+    """
+    return _touched(bars, events, pt, sl, bucket, keys).select(*keys, "ts_us", "t1", "sl_us", "pt_us")
 
 
 def barrier_events(bars: DataFrame, events: DataFrame, target: DataFrame, width: float | tuple[float, float], min_ret: float | DataFrame, vertical_t1: DataFrame | None = None, side: DataFrame | None = None, bucket: int = 24 * HOUR, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -89,8 +96,7 @@ def barrier_events(bars: DataFrame, events: DataFrame, target: DataFrame, width:
         rows, sl = rows.withColumn("side", F.lit(1.0)), pt
     else:
         rows = rows.join(side.select(*on, "side"), on)
-    found = touches(bars, rows, pt, sl, bucket, keys).drop("t1")
-    out = rows.join(found, on, "left").withColumn("t1", F.least("t1", "sl_us", "pt_us")).drop("sl_us", "pt_us")
+    out = _touched(bars, rows, pt, sl, bucket, keys).withColumn("t1", F.least("t1", "sl_us", "pt_us")).drop("sl_us", "pt_us")
     return out.drop("side") if side is None else out
 
 
@@ -133,7 +139,7 @@ def label_counts(bars: DataFrame, events: DataFrame, target: DataFrame, factors:
     each = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
     longest = ends.groupBy(*on).agg(F.max("v").alias("t1"), F.first("trgt").alias("trgt")).withColumn("factor", each)
     scaled = longest.select(*on, "factor", "t1", (F.col("factor") * F.col("trgt")).alias("trgt"), F.lit(1.0).alias("side"))
-    first = touches(bars, scaled, 1.0, 1.0, bucket, keys, ("factor",)).drop("t1")
+    first = _touched(bars, scaled, 1.0, 1.0, bucket, keys, ("factor",)).select(*on, "factor", "sl_us", "pt_us")
     known = ends.join(first, on).withColumn("at", F.least("sl_us", "pt_us"))
     kind = F.when(F.coalesce(F.col("at") > F.col("v"), F.lit(True)), 0).when(F.col("at") == F.col("sl_us"), -1).otherwise(1)
     count = lambda k: F.sum((kind == k).cast("long"))

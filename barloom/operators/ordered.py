@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import materialize
+
 CHUNK, SPAN = 20_000, 30 * 86_400_000_000
 Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]]
 
@@ -75,9 +77,9 @@ def chunked(df: DataFrame, keys: list[str], of: Callable[[pd.DataFrame], pd.Data
 
 def relay(df: DataFrame, keys: list[str], order: list[str], bucket: F.Column, summary: tuple[Callable[[pd.DataFrame], dict], str], carry: Callable[[Any, Any], Any], state: tuple[Callable[[Any], list], str], final: tuple[Callable[[pd.DataFrame], pd.DataFrame], str], chunk: int | None = None) -> DataFrame:
     """Sequential work in three passes. ``summary`` makes a chunk's rows, in order, a dict of its columns; ``carry(state, summary row)`` gives the state after the chunk (None
-    before the first); ``state`` writes a state as columns; ``final`` sees a chunk's rows with the columns of the state that they start from."""
+    before the first); ``state`` writes a state as columns; ``final`` sees a chunk's rows with the columns of the state that they start from. The numbered rows are written once."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = numbered(df, keys, order, bucket).withColumn("_chunk", F.floor(F.col("rn") / (chunk or CHUNK)))
+    rows = materialize(numbered(df, keys, order, bucket).withColumn("_chunk", F.floor(F.col("rn") / (chunk or CHUNK))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[:1][[*keys, "_chunk"]].assign(**{k: [v] for k, v in summary[0](pdf.sort_values("rn", ignore_index=True)).items()})
@@ -98,19 +100,24 @@ def relay(df: DataFrame, keys: list[str], order: list[str], bucket: F.Column, su
 def asof(values: DataFrame, asks: DataFrame, keys: list[str], columns: list[str], forward: bool = False, span: int = SPAN) -> DataFrame:
     """``asks`` (keys, at, ...) with ``found`` and the columns of the last row of ``values`` (keys, ts_us, ...) at or before ``at``, or ``forward`` the first at or after it.
 
-    Each looks within its own bucket of time; what earlier buckets leave is carried in a table of one row a bucket. Times are unique within a key.
+    Each looks within its own bucket of time; what earlier buckets leave is carried in a table of one row a bucket. Times of ``values`` are unique within a key.
     """
     sign = -1 if forward else 1
     more = [c for c in asks.columns if c not in keys]
-    x = values.select(*keys, (sign * F.col("ts_us")).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_v"), F.lit(0).alias("_kind"))
-    a = asks.select(*keys, (sign * F.col("at")).alias("_at"), F.lit(1).alias("_kind"), F.struct(*more).alias("_ask"))
-    both = x.unionByName(a, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_at") / span))
+    bucket = lambda: F.floor(F.col("_at") / span)
+    x = values.select(*keys, (sign * F.col("ts_us")).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_v"), F.lit(0).alias("_kind")).withColumn("_bucket", bucket())
+    # what the rows of a bucket leave to all buckets up to the next one that has rows, and to one more at the end, where later asks look
+    left = x.groupBy(*keys, "_bucket").agg(F.max_by("_v", "_at").alias("_carried"))
+    last = F.max("_bucket").over(Window.partitionBy(*keys))
+    until = F.coalesce(F.lead("_bucket").over(Window.partitionBy(*keys).orderBy("_bucket")), F.col("_bucket") + 1)
+    left = left.select(*keys, "_carried", last.alias("_last"), (F.col("_bucket") + 1).alias("_from"), until.alias("_until"))
+    left = left.select(*keys, "_carried", "_last", F.explode(F.sequence("_from", "_until")).alias("_bucket"))
+    ends = left.groupBy(*keys).agg(F.first("_last").alias("_last"))
+    a = asks.select(*keys, (sign * F.col("at")).alias("_at"), F.lit(1).alias("_kind"), F.struct(*more).alias("_ask")).withColumn("_bucket", bucket())
+    a = a.join(ends, keys, "left").withColumn("_bucket", F.least("_bucket", F.col("_last") + 1)).drop("_last")
     within = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    left = both.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_v"))
-    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    left = left.select(*keys, "_bucket", before.alias("_carried"))
-    asked = both.withColumn("_own", F.last("_v", ignorenulls=True).over(within)).where("_kind = 1").join(left, [*keys, "_bucket"])
-    asked = asked.withColumn("_v", F.coalesce("_own", "_carried"))
+    both = x.unionByName(a, allowMissingColumns=True).withColumn("_own", F.last("_v", ignorenulls=True).over(within)).where("_kind = 1")
+    asked = both.drop("_v").join(left.drop("_last"), [*keys, "_bucket"], "left").withColumn("_v", F.coalesce("_own", "_carried"))
     return asked.select(*keys, "_ask.*", F.col("_v").isNotNull().alias("found"), *[F.col("_v")[c].alias(c) for c in columns])
 
 

@@ -325,3 +325,72 @@ def test_scores_and_importances_run_after_an_observation(spark, learning):
     assert seen.get == {"n": 5}
     for name in ("v4_cross_validation", "v6_permutation_importance", "v7_single_feature_importance", "v9_clustered_permutation_importance", "v10_clustered_single_importance"):
         assert QUERIES[name](own, "/root/testdata/sf0.001").count() > 0
+
+
+def plain_expanding(x, d, threshold):
+    """The expanding difference of one series by a loop."""
+    filled, last = [], math.nan
+    for v in x:
+        last = last if math.isnan(v) else v
+        filled.append(last)
+    there = [i for i, v in enumerate(filled) if not math.isnan(v)]
+    w = [1.0]
+    for k in range(1, len(there)):
+        w.append(-w[-1] / k * (d - k + 1))
+    share = np.cumsum(np.abs(w[::-1]))
+    skip = int((share / share[-1] > threshold).sum()) if there else 0
+    out = {}
+    for n, i in enumerate(there):
+        past = [filled[there[n - k]] for k in range(n + 1)]
+        if n >= skip and math.isfinite(x[i]):
+            out[i] = sum(a * b for a, b in zip(w, past)) if all(map(math.isfinite, past)) else math.nan
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 64, None])
+def test_expanding_difference_follows_the_loop_in_blocks(spark, block):
+    rng, rows, want = random.Random(12), [], {}
+    for f, n in (("long", 300), ("gaps", 120), ("late", 50), ("infinite", 90), ("none", 5), ("one", 1)):
+        x, at = [], 100.0
+        for i in range(n):
+            at += rng.gauss(0, 1)
+            gone = f == "none" or (f == "gaps" and rng.random() < 0.2) or (f == "late" and i < 20)
+            x.append(math.nan if gone else math.inf if f == "infinite" and i == 60 else at)
+        rows += [("m", f, i * H, None if v != v else v) for i, v in enumerate(x)]
+        want |= {(f, i): v for i, v in plain_expanding(x, 0.4, 0.1).items()}
+    df = spark.createDataFrame(rows, "market string, feature string, ts_us long, x double")
+    got = {(r.feature, r.ts_us // H): r.y for r in stationarity.difference_expanding(df, 0.4, 0.1, block=block).collect()}
+    assert got.keys() == want.keys() and len(want) > 200
+    assert all((got[k] is None or math.isnan(got[k])) if math.isnan(v) else got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_weights_of_far_lags_go_on_from_near_ones(monkeypatch):
+    for d in (0.3, 1.0, 1.7):
+        whole = stationarity._binomial(d, 30_000)
+        monkeypatch.setattr(stationarity, "EXACT", 1000)
+        assert stationarity._weights_at(d, 20_000, 500) == pytest.approx(whole[20_000:20_500], rel=1e-7, abs=1e-300)  # an error of 1 / EXACT ** 3
+        monkeypatch.undo()
+        share = np.cumsum(np.abs(whole[::-1]))
+        assert stationarity._skipped(d, 30_000, 0.05, 999) == int((share / share[-1] > 0.05).sum())
+
+
+def test_draws_from_the_tree_are_those_from_all_chances():
+    rng = np.random.default_rng(3)
+    low = np.sort(rng.integers(0, 400, 90))
+    high = low + rng.integers(0, 40, 90)
+    got = bets._draws(low, high, 150, np.random.default_rng(5))
+    own, cover, want = np.random.default_rng(5), np.zeros(high.max() + 1), []
+    for _ in range(150):
+        mean = np.array([np.mean(1 / (cover[a : b + 1] + 1)) for a, b in zip(low, high, strict=True)])
+        k = int(np.searchsorted(np.cumsum(mean) / mean.sum(), own.random(), "right"))
+        want.append(k)
+        cover[low[k] : high[k] + 1] += 1
+    assert got == want
+
+
+def test_normal_distribution(spark):
+    z = [-40.0, -8.5, -3.001, -2.999, -0.5, 0.0, 1e-9, 0.7, 2.9999, 3.0, 5.5, 12.0, math.inf, -math.inf, None]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").coalesce(1).select(bets._normal(importance.F.col("z")).alias("p")).collect()]
+    assert got[-1] is None
+    for v, p in zip(z[:-1], got[:-1], strict=True):
+        assert p == pytest.approx(0.5 * math.erfc(-v / math.sqrt(2)), rel=1e-9, abs=1e-15)
