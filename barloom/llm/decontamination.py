@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import materialize, table
 
-RATE, WALKS, TABLES, SYMBOLS, BLOCK = 0.2, 24, 4, 4, 20_000
+RATE, WALKS, TABLES, SYMBOLS, BLOCK, HELD = 0.2, 24, 4, 4, 20_000, 128 << 20
 _U = np.uint64
 
 
@@ -170,7 +170,7 @@ class Index:
 
 
 class Blocks:
-    """The written indexes. A worker holds the one it used last; with a single block it reads it once."""
+    """The written indexes. With a single one a worker reads it once and keeps it; with more, each is read once for as many texts as ``HELD`` bytes hold."""
 
     _last: tuple | None = None
 
@@ -191,6 +191,28 @@ class Blocks:
                         Blocks._last = (path, found)
                     yield from found
 
+    def search(self, batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[tuple[list, dict[int, dict[int, int]]]]]]:
+        """Each batch with what each block finds in its texts: blocks outside, the held batches inside."""
+        waiting, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            waiting.append(b)
+            size += b.nbytes
+            if size >= (HELD if held is None else held):
+                yield from self._all(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from self._all(waiting)
+
+    def _all(self, waiting: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[list, dict[int, dict[int, int]]]]]]:
+        found: list[list] = [[] for _ in waiting]
+        for index in self:
+            for k, b in enumerate(waiting):
+                if hits := index.search(b.column("text")):
+                    found[k].append((index.ids, hits))
+        yield from zip(waiting, found, strict=True)
+
 
 def indexes(items: DataFrame, rate: float = RATE, block: int = BLOCK) -> Blocks:
     """The items' indexes, a block of about ``block`` items each, in the shared folder."""
@@ -210,13 +232,13 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLO
     blocks = indexes(items, rate, block)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, found in blocks.search(batches):
             ids: list = [[] for _ in range(b.num_rows)]
             least: list = [None] * b.num_rows
-            for index in blocks if b.num_rows else ():
-                for row, found in index.search(b.column("text")).items():
-                    ids[row] += [index.ids[x] for x in found if index.ids[x] is not None]
-                    least[row] = min([*found.values(), *([] if least[row] is None else [least[row]])])
+            for names, hits in found:
+                for row, of_row in hits.items():
+                    ids[row] += [names[x] for x in of_row if names[x] is not None]
+                    least[row] = min([*of_row.values(), *([] if least[row] is None else [least[row]])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(sorted, ids), pa.list_(pa.int64())), pa.array(least, pa.int64())], ["doc_id", "item_ids", "least_edits"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, item_ids array<long>, least_edits long")
@@ -228,10 +250,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
     blocks = indexes(items, rate, block)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, found in blocks.search(batches):
             keep = np.ones(b.num_rows, bool)
-            for index in blocks if b.num_rows else ():
-                keep[list(index.search(b.column("text")))] = False
+            for _, hits in found:
+                keep[list(hits)] = False
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(of, docs.schema)
