@@ -7,7 +7,7 @@ Method. Spark gathers the distinct base credentials of all documents; ``EXAMPLES
 hashes, label the fit (these two bound the fit only). Each becomes a string of character classes. Per kind, a prefix tree of the strings is merged:
 first states of the same depth, the most visited first, where all their frequencies and those of what follows agree within Hoeffding's bound; then, with
 the counts so gathered, states of any depth, which makes loops of what varies in length. How wide the bound is, and whether depths are merged at
-all, is chosen by the likelihood of examples left out in turn. So formats of a fixed length or prefix keep a state for each place.
+all, is chosen by the likelihood of examples left out in turn, of which ``CHOOSE`` characters at about most are taken for this. So formats of a fixed length or prefix keep a state for each place.
 
 Candidates are all stretches of runs of characters that an ``assign`` value may have, from the run's start or behind a mark (``=``, ``/``, ``.``) to its end
 or before one; base spans are candidates too. All are scored in one pass over the run: of stretches that reach the same state at the same place
@@ -22,7 +22,9 @@ Positions are code points, ends exclusive. Repeated rows are scanned each; other
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .shared import discard, materialize, table
 
-EXAMPLES, LONGEST, ALPHAS, FOLDS, REMEMBER = 1000, 1024, (0.05, 0.001), 4, 100_000
+EXAMPLES, LONGEST, ALPHAS, FOLDS, CHOOSE, REMEMBER = 1000, 1024, (0.05, 0.001), 4, 12_000, 100_000
 PRIOR, NEVER, TYPICAL = 0.5, -20.0, 3.0
 KINDS = ("assign", "access", "hex")
 # The base patterns and their least lengths.
@@ -101,6 +103,10 @@ class Automaton:
         every = sum(symbols.values()) + self.visits[0]
         self.chance, self.end, self.to, self.mean, self.variance = [], [], [], [], []
         for q, uses in enumerate(self.uses):
+            if q and self.into[q] != q:  # no way leads there any more
+                for of, none in ((self.chance, {}), (self.end, 0.0), (self.to, {}), (self.mean, 0.0), (self.variance, 0.0)):
+                    of.append(none)
+                continue
             n = self.visits[q] + PRIOR
             main = max(uses, key=lambda c: (uses[c], c), default=None)
             self.to.append({c: self.out[q].get(c, self.out[q][main]) for c in symbols} if main else {})
@@ -110,40 +116,51 @@ class Automaton:
             self.mean.append(sum(x * math.exp(x) for x in logs))
             self.variance.append(max(0.0, sum(x * x * math.exp(x) for x in logs) - self.mean[q] ** 2))
 
-    def _differ(self, a: float, n: float, b: float, m: float) -> bool:
-        return abs(a / n - b / m) > self._bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    def _differ(self, p: int, q: int) -> bool:
+        """Whether the shares of ends or of a symbol differ by more than Hoeffding's bound."""
+        n, m, u, v = self.visits[p], self.visits[q], self.uses[p], self.uses[q]
+        most = self._bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        if abs(self.ends[p] / n - self.ends[q] / m) > most:
+            return True
+        if most >= 1:
+            return False
+        for c, a in u.items():
+            if abs(a / n - v.get(c, 0) / m) > most:
+                return True
+        return any(b / m > most for c, b in v.items() if c not in u)
 
     def _now(self, q: int) -> int:
         """The state that q has become."""
-        while self.into[q] != q:
-            self.into[q] = q = self.into[self.into[q]]
+        into = self.into
+        while into[q] != q:
+            into[q] = q = into[into[q]]
         return q
 
-    def _compatible(self, p: int, q: int) -> bool:
-        """Whether p and q and all that follow them agree."""
-        todo, seen = [(p, q)], set()
+    def _compatible(self, p: int, q: int, never: set[tuple[int, int]]) -> bool:
+        """Whether p and q and all that follow them agree. Pairs that lead to one that does not are added to ``never``, so that no way is gone twice."""
+        todo, came = [(p, q, None)], {}
         while todo:
-            p, q = map(self._now, todo.pop())
-            if p == q or (p, q) in seen:
+            p, q, before = todo.pop()
+            pair = p, q = self._now(p), self._now(q)
+            if p == q or pair in came:
                 continue
-            seen.add((p, q))
-            n, m = self.visits[p], self.visits[q]
-            if self._differ(self.ends[p], n, self.ends[q], m):
+            came[pair] = before
+            if pair in never or self._differ(p, q):
+                while pair is not None:
+                    never.add(pair)
+                    pair = came[pair]
                 return False
-            for c in self.uses[p].keys() | self.uses[q].keys():
-                if self._differ(self.uses[p].get(c, 0), n, self.uses[q].get(c, 0), m):
-                    return False
-                if c in self.out[p] and c in self.out[q]:
-                    todo.append((self.out[p][c], self.out[q][c]))
+            todo += [(t, self.out[q][c], pair) for c, t in self.out[p].items() if c in self.out[q]]
         return True
 
-    def _unite(self, p: int, q: int) -> None:
-        """Make one state of p and q, and of what then follows by the same symbol."""
-        todo = [(p, q)]
+    def _unite(self, p: int, q: int) -> tuple[list[int], list[int]]:
+        """Make one state of p and q, and of what then follows by the same symbol; the states that went into others, and those that grew."""
+        todo, gone, grown = [(p, q)], [], []
         while todo:
             p, q = map(self._now, todo.pop())
             if p == q:
                 continue
+            gone.append(q), grown.append(p)
             self.into[q] = p
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
@@ -151,23 +168,47 @@ class Automaton:
                 self.uses[p][c] = self.uses[p].get(c, 0) + self.uses[q][c]
                 todo += [(self.out[p][c], t)] if c in self.out[p] else []
                 self.out[p].setdefault(c, t)
+        return gone, grown
 
     def _merge(self, same_depth: bool) -> None:
-        """Red states stay; of their other children the shallowest and most visited is united with the first compatible red one or turns red."""
-        red = [0]
-        while True:
-            known = set(red)
-            blue = min(((self.depth[t], -self.visits[t], t) for p in red for x in self.out[p].values() for t in [self._now(x)] if t not in known), default=None)
-            if blue is None:
-                return
-            t = blue[2]
-            for r in red:
-                if (self.depth[r] == self.depth[t] or not same_depth) and self._compatible(r, t):
-                    self._unite(r, t)
-                    red = list(dict.fromkeys(map(self._now, red)))
-                    break
-            else:
-                red.append(t)
+        """Red states stay; of their other children the shallowest and most visited is united with the first compatible red one or turns red.
+
+        The other children wait in a heap. One that grows is put there again, and entries that are out of date are passed over.
+        """
+        red: dict[int, list[int]] = defaultdict(list)
+        known, blue, waiting, never = set(), set(), [], set()
+
+        def wait(t: int) -> None:
+            blue.add(t)
+            heapq.heappush(waiting, (self.depth[t], -self.visits[t], t))
+
+        def turn(t: int) -> None:
+            known.add(t)
+            red[self.depth[t] if same_depth else 0].append(t)
+            children(t)
+
+        def children(t: int) -> None:
+            for x in {self._now(x) for x in self.out[t].values()} - known:
+                wait(x)
+
+        turn(0)
+        while waiting:
+            depth, visits, t = heapq.heappop(waiting)
+            if self.into[t] != t or t in known or -visits != self.visits[t]:
+                continue
+            mine = red[depth if same_depth else 0]
+            r = next((r for r in mine if self._compatible(r, t, never)), None)
+            if r is None:
+                turn(t)
+                continue
+            gone, grown = self._unite(r, t)
+            never.clear()
+            if known.intersection(gone):  # loops may take red states along; what took them is red in their place
+                mine[:] = dict.fromkeys(map(self._now, mine))
+                known = {self._now(q) for q in known}
+            blue.update(self._now(q) for q in gone if q in blue)
+            for q in {self._now(q) for q in grown}:
+                children(q) if q in known else wait(q) if q in blue else None
 
     def likelihood(self, s: str) -> float:
         """The log-probability of a string; a symbol or a length that the kind never had costs as much as ``NEVER``."""
@@ -207,13 +248,21 @@ class Automaton:
 def learn(strings: list[str]) -> Automaton:
     """The automaton of strings of classes whose way of merging gives left-out strings most likelihood; the most specific on a tie."""
     strings = sorted(strings)
+    some = strings[:: -(-sum(map(len, strings)) // CHOOSE) or 1]
 
     def held_out(alpha: float | None) -> float:
-        folds = [strings[k::FOLDS] for k in range(FOLDS)]
+        folds = [some[k::FOLDS] for k in range(FOLDS)]
         rests = [[s for j, f in enumerate(folds) if j != k for s in f] for k in range(FOLDS)]
         return sum(a.likelihood(s) for fold, rest in zip(folds, rests, strict=True) if fold and rest for a in [Automaton(rest, alpha)] for s in fold)
 
-    return Automaton(strings, max([None, *ALPHAS], key=held_out) if len(strings) > 1 else None)
+    # a million small tables hold no cycles that a collector could find
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        return Automaton(strings, max([None, *ALPHAS], key=held_out) if len(strings) > 1 else None)
+    finally:
+        if collects:
+            gc.enable()
 
 
 class Background:
