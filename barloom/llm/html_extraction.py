@@ -32,7 +32,7 @@ SAMPLE, SMOOTH, VOCABULARY = 300, 0.05, 5000
 FRAME, CONTENT, BOILER = range(3)
 # Elements of HTML by how they behave.
 RAW = "script style textarea title iframe noembed noframes xmp".split()
-SILENT = frozenset("noscript template svg math object select canvas audio video datalist".split())
+SILENT = frozenset("noscript template svg math object select canvas audio video datalist button".split())
 FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -66,6 +66,23 @@ LAYOUTS = [
     "<body><div y=b class='alert warning message announcement notice notification' role=alert><p>{s}</p></div><div y=c class=document>{h}{p}{p}<pre>{x}</pre>{p}</div><div y=b class='author-bio about-author profile'><p>{s}</p></div></body>",
     "<body><dialog y=b><p>{s}</p></dialog><div><div y=c><h2>{short}</h2><div>{x}</div><div>{x}</div></div></div><ol y=b class='commentlist replies reply'>{comment}</ol></body>",
     "<body><div y=b hidden><p>{s}</p></div><div class=page><div y=b style='display:none' class=box><p>{x}</p></div><div y=c class=text>{p}{p}<p>{s}</p></div><div y=b aria-hidden=true><p>{s}</p>{links}</div></div></body>",
+    # parts that say nothing of themselves
+    "<body><div y=c><p>{x}</p><p>{s}</p></div></body>",
+    "<body><div y=c><div><p>{s}</p><p>{x}</p><div><p>{x}</p></div></div></div></body>",
+    "<body><div y=c><div><div><div><h1>{short}</h1><p>{s}</p><p>{s}</p><p>{x}</p></div></div></div></div></body>",
+    "<body><div><div y=c><h1>{short}</h1><p>{s}</p><p>{x}</p></div><div y=b class='comments'>{comment}</div></div></body>",
+    "<body><div y=b class=nav>{links}</div><div y=c><p>{s}</p><p>{x}</p></div><div y=b class=footer>{short}</div></body>",
+    # a site's header has no class here, and an article's own is content
+    "<body><header y=b><h1>{short}</h1></header><article y=c><h1>{short}</h1>{p}<p>{s}</p></article></body>",
+    "<body><header y=b><h1>{short}</h1></header><main y=c><header><h1>{short}</h1></header>{p}<p>{s}</p></main><footer y=b>{short}</footer></body>",
+    "<body><header y=b><p>{short}</p></header><div y=c class=text><h1>{short}</h1>{p}<p>{s}</p></div></body>",
+    "<body><header y=b><h1>{short}</h1><p>{s}</p></header><main y=c>{p}<h2>{short}</h2>{p}</main></body>",
+    "<body><header y=b><h1>{short}</h1>{links}</header><article y=c><header><h1>{short}</h1></header>{p}{p}</article></body>",
+    "<body><header y=b><h1>{short}</h1></header><div y=c><h1>{short}</h1><p>{s}</p><p>{x}</p></div></body>",
+    "<body><header y=b><h1>{short}</h1><h2>{short}</h2></header><main y=c><h1>{short}</h1><p>{s}</p><p>{x}</p></main></body>",
+    # words of boilerplate on parts of the content
+    "<body><article y=c><h1>{short}</h1><p>{x}</p><ul class='links'><li>{s}</li><li>{x}</li></ul><p class='comment-lead'>{x}</p><p class='promo-lead'>{s}</p></article></body>",
+    "<body><main y=c><h1>{short}</h1><p class='comment-lead'>{s}</p><p class='promo-lead lead'>{x}</p><ul class='links related'><li>{s}</li></ul><p>{x}</p></main></body>",
     "<body><div y=c class='blog page-content wiki'>{h}<p>{x}</p><dl><dt>{short}</dt><dd>{x}</dd></dl><h3>{short}</h3>{p}</div><div y=b class='disclaimer terms privacy'><p>{s}</p></div></body>",
 ]
 _PIECES = {
@@ -124,7 +141,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
             if m[1]:
                 pieces.append(None)
             continue
-        closing, attrs, inline = m[2], m[4] or "", tag in INLINE or tag in ("noscript", "svg", "math", "select")
+        closing, attrs, inline = m[2], m[4] or "", tag in INLINE or tag in ("noscript", "svg", "math", "select", "button")
         if not inline and tag not in ("br", "wbr", "img", "input"):
             pieces.append(None)
         elif tag == "br":
@@ -162,15 +179,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
     return nodes, pieces
 
 
-def traits(node: Node) -> tuple[str, ...]:
-    """The tag, words of class, id and role, and what kind of text the node itself has."""
+def traits(node: Node, known: set[str] | None = None) -> tuple[str, ...]:
+    """The tag and whether it is bare of words, the (known) words of class, id and role, and what kind of text the node itself has."""
     words = {f"w:{p.lower()}" for m in _NAMED.finditer(node.attrs) if m[1].lower() != "y" for p in _PART.findall(m[2])}
     if node.attrs and _HIDDEN.search(node.attrs):
         words.add("hidden")
+    words = words if known is None else words & known
     n = node.chars
     size = "none" if not n else "short" if n < 25 else "line" if n < 80 else "long"
     link = "" if not n else "links" if 2 * node.linked > n else "some" if node.linked else "free"
-    return (f"t:{node.tag}", *sorted(words), f"n:{size}:{link}:{'marks' if node.marks else ''}")
+    return (f"t:{node.tag}{'' if words else ':bare'}", *sorted(words), f"n:{size}:{link}:{'marks' if node.marks else ''}")
 
 
 class Model:
@@ -181,14 +199,22 @@ class Model:
         self.pairs, self.states, self.roots = [[SMOOTH] * 3 for _ in range(3)], [0.0] * 3, [SMOOTH, SMOOTH, 0.0]
         self.memory: dict = {}
 
-    def learn(self, nodes: list[Node], labels: list[int], weight: float = 1.0) -> None:
-        self.roots[labels[0]] += weight
+    def learn(self, nodes: list[Node], labels: list[int]) -> None:
+        self.count("root", "", labels[0])
         for node, y in zip(nodes, labels, strict=True):
-            self.states[y] += weight
+            self.count("state", "", y)
             for t in traits(node):
-                self.seen[t, y] += weight
+                self.count("trait", t, y)
             if node.parent >= 0:
-                self.pairs[labels[node.parent]][y] += weight
+                self.count("pair", str(labels[node.parent]), y)
+
+    def count(self, kind: str, a: str, y: int, n: float = 1.0) -> None:
+        if kind == "trait":
+            self.seen[a, y] += n
+        elif kind == "pair":
+            self.pairs[int(a)][y] += n
+        else:
+            (self.states if kind == "state" else self.roots)[y] += n
 
     def ready(self) -> Model:
         # what is plainly marked stays what it is below: no text of a boilerplate part is content
@@ -201,7 +227,7 @@ class Model:
         found = self.memory.get(key)
         if found is None:
             x = [0.0] * 3
-            for t in traits(node):
+            for t in traits(node, self.known):
                 if t in self.known:
                     for y in range(3):
                         x[y] += math.log((self.seen[t, y] + SMOOTH) / (self.states[y] + 20 * SMOOTH))
@@ -268,8 +294,30 @@ def layouts() -> list[str]:
     return out
 
 
+def _counts(pages: DataFrame) -> DataFrame:
+    """(kind, a, b, n): what ``Model.learn`` counts over pages that label themselves, each page in its task: traits with states, and states of parents and children."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for page in batch.column("html").to_pylist():
+                nodes = parse(page)[0]
+                labels = labels_of(nodes, own=True)
+                if not labels:
+                    continue
+                n["root", "", labels[0]] += 1
+                for node, y in zip(nodes, labels, strict=True):
+                    n.update([("state", "", y), *(("trait", t, y) for t in traits(node))])
+                    if node.parent >= 0:
+                        n["pair", str(labels[node.parent]), y] += 1
+            kind, a, b = zip(*n, strict=True) if n else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(n.values(), pa.int64())], ["kind", "a", "b", "n"])
+
+    return pages.select("html").mapInArrow(of, "kind string, a string, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def train(pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
-    """Count over the layouts and, weighing as much in all, over at most ``sample`` of the pages that label themselves."""
+    """Count over the layouts and, weighing as much in all, over at most ``sample`` of the pages that label themselves; of these only counts reach the driver."""
     model, hand = Model(), [parse(p)[0] for p in layouts()]
     for nodes in hand:
         model.learn(nodes, labels_of(nodes, own=False))
@@ -278,11 +326,11 @@ def train(pages: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     if pages is not None:
         some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("html"))
         chosen = [r.h for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
-        taken = some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if chosen else []
-        own = [(n, y) for r in taken for n in [parse(r.html)[0]] for y in [labels_of(n, own=True)] if y]
-        weight = sum(map(len, hand)) / max(1, sum(len(n) for n, _ in own))
-        for nodes, y in own:
-            model.learn(nodes, y, min(1.0, weight))
+        if chosen:
+            rows = _counts(some.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html"))).collect()
+            weight = min(1.0, sum(map(len, hand)) / max(1, sum(r.n for r in rows if r.kind == "state")))
+            for kind, a, b, n in sorted(rows):
+                model.count(kind, a, b, weight * n)
     return model.ready()
 
 

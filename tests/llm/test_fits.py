@@ -77,3 +77,46 @@ def test_blocks_are_read_once_for_all_held_texts(spark, monkeypatch):
                     found[b.column("doc_id")[row].as_py()] = [names[x] for x in items_of]
         assert found == {i: [i % 30] for i in range(0, 90, 3)} and len(reads) == times
     assert list(blocks.search(iter([]))) == []
+
+
+DEEP = [f"<body>{('<div' + c + '>') * d}<p>{{a}}</p><p>{{b}}</p>{'</div>' * d}</body>" for d in (1, 2, 3, 5, 10, 50) for c in ("", " class=x")]
+TITLED = [
+    f"<body>{head}<{part}>{first}<p{lead}>{{a}}</p>{mid}</{part}></body>"
+    for part in ("article", "main")
+    for head, first, lead, mid in (
+        ("", "<h1>Title</h1>", "", "<ul class='links'><li>{b}</li></ul>"), ("", "<h1>Title</h1>", " class=comment-lead", "<p>{b}</p>"),
+        ("", "<h1>Title</h1>", " class=promo-lead", "<p>{b}</p>"), ("<header><h1>Site</h1></header>", "<h1>Title</h1>", "", "<p>{b}</p>"),
+        ("", "<header><h1>Title</h1></header>", "", "<p>{b}</p>"), ("", "<h1>Title</h1>", "", "<button>Share</button><p>{b}</p>"),
+        ("", "<h1>Title</h1>", "", "<ul class=links><li><a href=x>More</a></li><li><a href=y>Other</a></li></ul><p>{b}</p>"),
+    )
+]
+
+
+def test_forms_of_pages_under_both_models(spark):
+    from barloom.llm import html_extraction
+
+    a, b = "The first paragraph of the article, which goes on for quite a while.", "Its second paragraph has words, too, and it ends here."
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for model in (html_extraction.train(), html_extraction.train(pages)):
+        assert {html_extraction.extract(p.format(a=a, b=b), model) for p in DEEP} == {f"{a}\n{b}"}
+        assert {html_extraction.extract(p.format(a=a, b=b), model) for p in TITLED} == {f"Title\n{a}\n{b}"}
+
+
+def test_self_labelled_pages_are_counted_in_their_tasks(spark):
+    from barloom.llm import html_extraction as h
+
+    rows = [(r.html,) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()] * 2
+    got = h.train(spark.createDataFrame(rows, "html string"))
+    plain, hand = h.Model(), [h.parse(p)[0] for p in h.layouts()]
+    for nodes in hand:
+        plain.learn(nodes, h.labels_of(nodes, own=False))
+    for k in ("{x}", "{s}", "{short}"):
+        plain.learn(h.parse(h._PIECES[k])[0], [h.CONTENT])
+    own = [(n, y) for p in {p for (p,) in rows if p and ("<article" in p or "<main" in p)} for n in [h.parse(p)[0]] for y in [h.labels_of(n, own=True)] if y]
+    weight = min(1.0, sum(map(len, hand)) / sum(len(n) for n, _ in own))
+    for nodes, y in own:
+        one = h.Model()
+        one.learn(nodes, y)
+        for (t, k), n in one.seen.items():
+            plain.seen[t, k] += weight * n
+    assert own and got.seen.keys() == plain.seen.keys() and all(abs(got.seen[k] - plain.seen[k]) < 1e-6 for k in got.seen)
