@@ -15,10 +15,9 @@ from .stored import materialize
 KEYS = ("market",)
 
 
-def impurity(model, features: list[str], spark: SparkSession, clusters: DataFrame | None = None) -> DataFrame:
-    """(feature, mean, std): importances over the trees, 0 as missing, deviation over sqrt(n), scaled to sum to 1; by cluster if (feature, cluster_id) is given."""
-    trees = [(t, f, float(v) or None) for t, tree in enumerate(model.trees) for f, v in zip(features, tree.featureImportances.toArray(), strict=True)]
-    rows = spark.createDataFrame(trees, "tree int, feature string, v double")
+def by_trees(rows: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(feature, mean, std) of importances (tree, feature, v): 0 counts as missing, deviation over sqrt(n), scaled to sum to 1; by cluster if (feature, cluster_id) is given."""
+    rows = rows.select("tree", "feature", F.when(F.col("v") != 0, F.col("v")).alias("v"))
     if clusters is not None:
         rows = rows.join(clusters, "feature").groupBy("tree", F.col("cluster_id").cast("string").alias("feature")).agg(F.sum("v").alias("v"))
     out = rows.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("std"))
@@ -26,6 +25,12 @@ def impurity(model, features: list[str], spark: SparkSession, clusters: DataFram
     return out.select("feature", (F.col("mean") / total).alias("mean"), (F.col("std") / total).alias("std"))
 
 
+def impurity(model, features: list[str], spark: SparkSession, clusters: DataFrame | None = None) -> DataFrame:
+    """(feature, mean, std): a fitted forest's importances over its trees."""
+    trees = [(t, f, float(v)) for t, tree in enumerate(model.trees) for f, v in zip(features, tree.featureImportances.toArray(), strict=True)]
+    return by_trees(spark.createDataFrame(trees, "tree int, feature string, v double"), clusters)
+
+
 def permuted(rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
     """``rows`` with each of the columns dealt anew, by itself: rows numbered twice, by their place and by a seeded hash, and joined.
 

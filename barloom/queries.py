@@ -642,6 +642,44 @@ def d5_unit_root_p_values(spark, sf):
     return rounded(stationarity.adf(_long(spark, sf)))
 
 
+# The p-value of a unit-root statistic: a polynomial, then the normal distribution by the series of the error function; beyond 6 it is 0 or 1 to six places.
+ERF = "list_sum(list_transform(range(0, 90), lambda n: pow(-1, n) * pow(z / sqrt(2), 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1))))"
+P_VALUE = f"""zed AS (SELECT *, CASE WHEN tau > 2.74 THEN 9.0 WHEN tau < -18.83 THEN -9.0 WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau
+  ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END AS z FROM stat),
+pv AS (SELECT *, CASE WHEN z < -6 THEN 0.0 WHEN z > 6 THEN 1.0 ELSE 0.5 + {ERF} / sqrt(pi()) END AS p FROM zed)"""
+STAT = "e AS (SELECT *, aa * bb - ab * ab AS det FROM m), f AS (SELECT *, (bb * ac - ab * bc) / det AS beta, (aa * bc - ab * ac) / det AS phi FROM e), stat AS (SELECT *, beta / sqrt((cc - beta * ac - phi * bc) / (n - 3) * bb / det) AS tau FROM f)"
+
+
+@register(
+    f"WITH {BARS}, {LOGS}, lng AS (SELECT market, ts_us, 'logclose' AS feature, logclose AS x FROM x UNION ALL SELECT market, ts_us, 'hl', loghigh - loglow FROM x UNION ALL SELECT market, ts_us, 'logvolume', logvolume FROM x), m AS ({ADF_ONE}), {STAT}, {P_VALUE} "
+    f"SELECT market, feature, {r('p', 'p_value', 5)} FROM pv"
+)
+def d5_unit_root_p_values_at_one_lag(spark, sf):
+    return rounded(stationarity.adf(_long(spark, sf), lags="one").select("market", "feature", "p_value"), 5)
+
+
+SMALL_GRID = (0.3, 0.6, 1.0)
+GRID_SERIES = " UNION ALL ".join(
+    f"SELECT market, ts_us, '{c}' || ':' || '{d}' AS feature, y AS x FROM (SELECT market, ts_us, {lags_sql(d, 0.01, c)} AS y FROM x) WHERE y IS NOT NULL" for d in SMALL_GRID for c in ("logclose", "logvolume")
+)
+
+
+@register(f"WITH {BARS}, {LOGS}, lng AS ({GRID_SERIES}), m AS ({ADF_ONE}), {STAT}, {P_VALUE} SELECT market, split_part(feature, ':', 1) AS feature, split_part(feature, ':', 2) AS d, {r('p', 'p_value', 5)} FROM pv")
+def d6_d_values_of_a_small_grid(spark, sf):
+    """Every feature takes part, whatever its own p-value, and widths are short, so that SQL can follow."""
+    return rounded(stationarity.d_values(_long(spark, sf, ("logclose", "logvolume")), SMALL_GRID, 0.01, -1.0), 5).withColumn("d", F.col("d").cast("string"))
+
+
+@register(
+    f"WITH {BARS}, {LOGS}, lng AS ({GRID_SERIES}), m AS ({ADF_ONE}), {STAT}, {P_VALUE}, pick AS (SELECT market, split_part(feature, ':', 1) AS feature, coalesce(min(CASE WHEN p <= 0.0001 THEN CAST(split_part(feature, ':', 2) AS DOUBLE) END), 1.0) AS d FROM pv GROUP BY 1, 2) "
+    f"SELECT l.market, p.feature, l.ts_us, {r('l.x', 'x', 5)} FROM lng l JOIN pick p ON l.market = p.market AND l.feature = p.feature || ':' || p.d"
+)
+def d7_make_stationary_on_a_small_grid(spark, sf):
+    rows = _long(spark, sf, ("logclose", "logvolume"))
+    made = stationarity.make_stationary(rows, materialize(stationarity.d_values(rows, SMALL_GRID, 0.01, -1.0)), 0.01)
+    return rounded(made.where("x is not null").select("market", "feature", "ts_us", "x"), 5)
+
+
 @register()
 def d6_d_values(spark, sf):
     return rounded(stationarity.d_values(_derived(spark, sf)))
@@ -728,6 +766,48 @@ def v5_impurity_importance(spark, sf):
     return rounded(importance.impurity(_model(rows), FEATURES, spark))
 
 
+GIVEN = """tr AS (SELECT market AS tree, 'hl' AS feature, avg(loghigh - loglow) AS v FROM x GROUP BY 1 UNION ALL SELECT market, 'oc', avg(abs(logopen - logclose)) FROM x GROUP BY 1
+  UNION ALL SELECT market, 'size', CASE WHEN length(market) % 2 = 0 THEN avg(logvolume) ELSE 0 END FROM x GROUP BY 1)"""
+
+
+def _given_trees(spark, sf):
+    """A table of importances: each market is a tree, and features are means over its bars, some of them 0."""
+    x = features.log_columns(hours(spark, sf))
+    values = {"hl": F.avg(F.col("loghigh") - F.col("loglow")), "oc": F.avg(F.abs(F.col("logopen") - F.col("logclose"))), "size": F.when(F.length("market") % 2 == 0, F.avg("logvolume")).otherwise(0.0)}
+    made = x.groupBy("market").agg(*[v.alias(k) for k, v in values.items()])
+    return made.unpivot(["market"], list(values), "feature", "v").withColumnRenamed("market", "tree")
+
+
+def importance_sql(rows: str) -> str:
+    return f"im AS (SELECT feature, avg(v) AS mean, stddev_samp(v) / sqrt(count(*)) AS std FROM ({rows}) GROUP BY feature) SELECT feature, {r('mean / sum(mean) OVER ()', 'mean')}, {r('std / sum(mean) OVER ()', 'std')} FROM im"
+
+
+@register(f"WITH {BARS}, {LOGS}, {GIVEN}, {importance_sql('SELECT feature, nullif(v, 0) AS v FROM tr')}")
+def v5_importance_of_given_trees(spark, sf):
+    return rounded(importance.by_trees(_given_trees(spark, sf)))
+
+
+@register(f"WITH {BARS}, {LOGS}, {GIVEN}, {importance_sql(chr(39).join(('SELECT CASE WHEN feature = ', 'size', ' THEN ', 'volume', ' ELSE ', 'price', ' END AS feature, sum(nullif(v, 0)) AS v FROM tr GROUP BY tree, 1')))}")
+def v8_clustered_importance_of_given_trees(spark, sf):
+    table = spark.createDataFrame([("hl", "price"), ("oc", "price"), ("size", "volume")], "feature string, cluster_id string")
+    return rounded(importance.by_trees(_given_trees(spark, sf), table))
+
+
+@register(
+    f"WITH {BARS}, g AS (SELECT l.market, ntile(3) OVER (PARTITION BY l.market ORDER BY l.ts_us) AS fold, rn % 2 AS label, (rn % 11 + 1) / CAST(13 AS DOUBLE) AS p, CAST(rn % 4 + 1 AS DOUBLE) AS w FROM lab l) "
+    f"SELECT fold, {r('sum(w * ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)) / sum(w)', 'neg_log_loss')}, {r('sum(CASE WHEN label = CAST(p > 0.5 AS INTEGER) THEN w ELSE 0 END) / sum(w)', 'accuracy')} FROM g GROUP BY fold"
+)
+def v4_scores_of_given_predictions(spark, sf):
+    """Scores of test rows of purged folds under stated probabilities, which stand in for a classifier's."""
+    from pyspark.ml.functions import array_to_vector
+
+    lab = spans(hours(spark, sf))
+    rows = lab.join(folds.purged_folds(lab.drop("rn"), 3).where("role = 'test'"), ["market", "ts_us"]).withColumn("p", (F.col("rn") % 11 + 1) / 13)
+    given = rows.select("fold", (F.col("rn") % 2).cast("double").alias("label"), (F.col("p") > 0.5).cast("double").alias("prediction"), array_to_vector(F.array(1 - F.col("p"), F.col("p"))).alias("probability"), (F.col("rn") % 4 + 1).cast("double").alias("weight"))
+    out = folds.scores(given, "neg_log_loss", ["fold"]).withColumnRenamed("score", "neg_log_loss").join(folds.scores(given, "accuracy", ["fold"]).withColumnRenamed("score", "accuracy"), "fold")
+    return rounded(out.withColumn("fold", F.col("fold").cast("long")))
+
+
 @register()
 def v6_permutation_importance(spark, sf):
     rows, roles = _learning(spark, sf)
