@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bars import DAY
-from .ordered import asof, by_span, decaying_sums, relay
+from .ordered import asof, by_span, decaying_sums, previous, relay
 
 KEYS = ("market",)
 
@@ -145,14 +145,13 @@ def _cusum(rows: DataFrame, keys: tuple[str, ...], chunk: int | None = None) ->
 
 def cusum_events(series: DataFrame, column: str, h: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ts_us) where the symmetric cumulative sum of the column's differences passes ``h``."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    rows = series.withColumn("diff", F.col(column) - F.lag(column).over(w)).withColumn("rn", F.row_number().over(w)).where("rn > 1")
-    return _cusum(rows.withColumn("h", F.lit(float(h))), keys)
+    rows = previous(series.select(*keys, "ts_us", F.col(column).alias("x")), list(keys), ["x"]).where(F.col("before").isNotNull())
+    return _cusum(rows.select(*keys, "ts_us", (F.col("x") - F.col("before.x")).alias("diff"), F.lit(float(h)).alias("h")), keys)
 
 
 def cusum_events_by(series: DataFrame, column: str, limits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The same with a threshold ``h`` at each time of ``limits`` (all but its first); differences are those of the full series."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    diffs = series.select(*keys, "ts_us", (F.col(column) - F.lag(column).over(w)).alias("diff"))
-    rows = limits.withColumn("rn", F.row_number().over(w)).where("rn > 1").select(*keys, "ts_us", "h").join(diffs, [*keys, "ts_us"])
-    return _cusum(rows, keys)
+    diffs = previous(series.select(*keys, "ts_us", F.col(column).alias("x")), list(keys), ["x"])
+    diffs = diffs.select(*keys, "ts_us", (F.col("x") - F.col("before.x")).alias("diff"))
+    rows = previous(limits.select(*keys, "ts_us", "h"), list(keys), ["ts_us"]).where(F.col("before").isNotNull())
+    return _cusum(rows.select(*keys, "ts_us", "h").join(diffs, [*keys, "ts_us"]), keys)

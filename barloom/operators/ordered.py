@@ -97,6 +97,16 @@ def relay(df: DataFrame, keys: list[str], order: list[str], bucket: F.Column, su
     return rows.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(lambda pdf: final[0](pdf.sort_values("rn", ignore_index=True)), final[1])
 
 
+def previous(df: DataFrame, keys: list[str], columns: list[str], name: str = "before", span: int = SPAN) -> DataFrame:
+    """``df`` with the ``columns`` of the row before by ``ts_us`` as a struct, null for a key's first row: the row before in its bucket of time, or the last of the bucket before."""
+    both = F.struct(*[F.col(f"`{c}`") for c in columns])
+    rows = df.withColumn("_bucket", F.floor(F.col("ts_us") / span))
+    left = rows.groupBy(*keys, "_bucket").agg(F.max_by(both, "ts_us").alias("_last"))
+    left = left.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
+    own = F.lag(both).over(Window.partitionBy(*keys, "_bucket").orderBy("ts_us"))
+    return rows.withColumn("_own", own).join(left, [*keys, "_bucket"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_bucket", "_own", "_carried")
+
+
 def asof(values: DataFrame, asks: DataFrame, keys: list[str], columns: list[str], forward: bool = False, span: int = SPAN) -> DataFrame:
     """``asks`` (keys, at, ...) with ``found`` and the columns of the last row of ``values`` (keys, ts_us, ...) at or before ``at``, or ``forward`` the first at or after it.
 

@@ -264,3 +264,13 @@ def test_purge_and_folds_over_buckets(spark):
     assert got == [r for r in rows if not any(r[0] <= z and a <= r[1] for a, z in tests)]
     assert sorted(map(tuple, folds.purged_folds(lab, 4, 0.02, span=200).collect())) == sorted(map(tuple, folds.purged_folds(lab, 4, 0.02).collect()))
     assert sorted(map(tuple, folds.embargo(lab, 0.1, span=200).collect())) == [("a", t, rows[min(69, i + 7)][0]) for i, (t, _) in enumerate(rows)]
+
+
+def test_rows_before_over_buckets(spark):
+    from barloom.operators.ordered import previous
+
+    times = sorted(random.Random(4).sample(range(3000), 50))
+    rows = spark.createDataFrame([("a", t, None if t % 3 == 0 else float(t)) for t in times], "market string, ts_us long, x double")
+    got = {r.ts_us: r.before for r in previous(rows, ["market"], ["x", "ts_us"], span=200).collect()}
+    assert got[times[0]] is None
+    assert {t: (got[t].x, got[t].ts_us) for t in times[1:]} == {t: (None if u % 3 == 0 else float(u), u) for u, t in zip(times, times[1:])}
