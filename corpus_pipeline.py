@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontamination, near_dedup, quality_classifier, secret_scan, source_mix
-from barloom.llm.shared import shared_dir, table
+from barloom.llm.shared import discard, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each writes Parquet to the shared folder, which the next reads."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each writes Parquet to the shared folder, which the next reads and which goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+        docs = before = after
     return docs
