@@ -192,14 +192,15 @@ class Blocks:
                     yield from found
 
     def search(self, batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[tuple[list, dict[int, dict[int, int]]]]]]:
-        """Each batch with what each block finds in its texts: blocks outside, the held batches inside."""
+        """Each batch with what each block finds in its texts: blocks outside, the held batches inside. A single file is at hand for every batch, so none is held."""
+        held = held if held is not None else HELD if len(self.files) > 1 else 0
         waiting, size = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             waiting.append(b)
             size += b.nbytes
-            if size >= (HELD if held is None else held):
+            if size >= held:
                 yield from self._all(waiting)
                 waiting, size = [], 0
         if waiting:
