@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import materialize, table
+from .shared import lean, materialize, table
 
 RATE, WALKS, TABLES, SYMBOLS, BLOCK, HELD = 0.2, 24, 4, 4, 20_000, 128 << 20
 _U = np.uint64
@@ -242,7 +242,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = BLO
                     least[row] = min([*of_row.values(), *([] if least[row] is None else [least[row]])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(sorted, ids), pa.list_(pa.int64())), pa.array(least, pa.int64())], ["doc_id", "item_ids", "least_edits"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, item_ids array<long>, least_edits long")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(of), "doc_id long, item_ids array<long>, least_edits long")
     return out.select("doc_id", F.col("least_edits").isNotNull().alias("contaminated"), "item_ids", "least_edits")
 
 
@@ -257,7 +257,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int
                 keep[list(hits)] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lean(of), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

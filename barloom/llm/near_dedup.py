@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components, merged
-from .shared import counted, discard, materialize, small, table
+from .shared import counted, discard, lean, materialize, small, table
 
 WORDS, SIMILARITY, BANDS, ROWS, SMALL, HOT, SLOTS, POINTS = 5, 0.8, 24, 6, 32, 1000, 1 << 20, 1 << 18
 _U = np.uint64
@@ -147,7 +147,7 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()), mask=pa.array(~has))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.if_else(pa.array(has), b.column("node"), pa.scalar(None, pa.binary())), lists], ["doc_id", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _node().alias("node")).mapInArrow(of, "doc_id long, node binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", _node().alias("node")).mapInArrow(lean(of), "doc_id long, node binary, keys array<long>")
 
 
 def overlaps(one: pa.Array, other: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(of, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(of), "a binary, b binary")
 
 
 def _tokens(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -212,7 +212,7 @@ def _sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     schema = "slot long, counts array<long>"
     out = np.zeros(SLOTS, np.int64)
-    for r in texts.mapInArrow(of, schema).groupBy("slot").applyInPandas(add, schema).collect():
+    for r in texts.mapInArrow(lean(of), schema).groupBy("slot").applyInPandas(add, schema).collect():
         out[r.slot : r.slot + part] = r.counts
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
@@ -235,7 +235,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 at = pa.array(base + doc[keep])
                 yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("component").take(at), pa.array(token[keep].view(np.int64)), pa.array(size[doc[keep]]), pa.array(rank[keep])], ["node", "component", "token", "size", "rank"])
 
-    return rows.mapInArrow(of, "node binary, component binary, token long, size long, rank long")
+    return rows.mapInArrow(lean(of), "node binary, component binary, token long, size long, rank long")
 
 
 def _leaders(buckets: DataFrame, bands: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import materialize, table
+from .shared import lean, materialize, table
 
 NAMES = (
     "words", "word_length", "line_words", "symbols", "bars", "exclamations", "upper", "digits", "punctuation",
@@ -136,7 +136,7 @@ def features(docs: DataFrame, with_id: bool = True) -> DataFrame:
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), f], ["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, f array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(of), "doc_id long, f array<double>")
 
 
 def training_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def score(feats: DataFrame, model: Discriminant) -> DataFrame:
             s = model.score(b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, N))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    scored = feats.select("doc_id", "f").mapInArrow(of, "doc_id long, score double")
+    scored = feats.select("doc_id", "f").mapInArrow(lean(of), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -173,7 +173,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= 0.5))
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(lean(of), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .shared import discard, materialize, table
+from .shared import discard, lean, materialize, table
 
 EXAMPLES, LONGEST, ALPHAS, FOLDS, CHOOSE, REMEMBER = 1000, 1024, (0.05, 0.001), 4, 12_000, 100_000
 PRIOR, NEVER, TYPICAL = 0.5, -20.0, 3.0
@@ -328,7 +328,7 @@ def _gather(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(some), pa.string()), pa.array([str(x) for x in some], pa.string()), pa.array(pairs[some])], ["kind", "value", "n"])
 
-    return docs.select("text").mapInArrow(of, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(of), "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def infer(docs: DataFrame, examples: int = EXAMPLES) -> Formats:
@@ -388,7 +388,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(of), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, score double")
 
 
 def redacted(text: str, spans: list, mark: str) -> str:
@@ -418,7 +418,7 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[SECRET]") -> DataFra
                 columns["n_chars"] = pa.array(length, b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(lean(of), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
