@@ -157,3 +157,23 @@ def test_held_out_accuracy_of_the_query(spark):
     right = sum(r.predicted == r.toxic for r in known) / len(known)
     assert len(known) > 100 and right > 0.95
     assert out.count() == spark.read.parquet(f"{path}/documents.parquet").count()
+
+
+def test_each_byte_is_hashed_about_once(tables, model, monkeypatch):
+    texts = pa.array([t for t in tables[3].values()][:300])
+    hashed, powers = [], toxicity.ta._powers
+    monkeypatch.setattr(toxicity.ta, "_powers", lambda n: hashed.append(n) or powers(n))
+    model.evidence(texts)
+    assert 0 < sum(hashed) < 2 * sum(len(t.as_py().encode()) for t in texts)
+
+
+def test_stretches_do_not_depend_on_the_texts_beside_them():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "a1$ .", "aab!  \n", "éa0 *", "  .,-_", "aaa bbb "][rng.randrange(6)]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+
+    def found(texts):
+        return [[(a - at[np.searchsorted(at, a, "right") - 1], data[a:b].tobytes()) for a, b in zip(*toxicity.stretches(data, at), strict=True)] for _, data, at in toxicity.ta.chunks(pa.array(texts))]
+
+    alone = [x for t in texts for x in found([t])]
+    assert found(texts) == [[x for f in alone for x in f]]
+    assert sum(map(len, alone)) > 100
