@@ -1,5 +1,6 @@
 """The text operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import glob
 import hashlib
 import random
 import re
@@ -12,6 +13,7 @@ import pytest
 from barloom.llm import (
     components, decontamination, hasharrays, html_extraction, language_id, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, source_mix, token_counts,
 )
+from barloom.llm.shared import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, node string"
 WORDS = "the of and to river stone bright window seven garden letter quiet market winter paper silver morning thunder copper".split()
@@ -281,6 +283,24 @@ def test_mix_meets_targets_through_its_schedule(spark):
     assert taken[0] != taken[1]
 
 
+def test_mix_writes_as_few_files_as_its_rows_need(spark):
+    rng = random.Random(8)
+    rows = docs(spark, [prose(rng, rng.randrange(1, 60)) for _ in range(400)], sources=[rng.choice(["a", "b", "c", None]) for _ in range(400)])
+    want, folder = sorted(source_mix.mix(rows).collect()), shared_dir(spark).removeprefix("file://")
+    files = lambda: {f for f in glob.glob(f"{folder}/mix-*/part-*") if not f.endswith(".crc")}
+    old, conf = files(), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        mixed = source_mix.mix(rows.repartition(30))
+        assert sorted(mixed.collect()) == want
+        assert mixed.rdd.getNumPartitions() == 1 and len(files() - old) == 2  # one file of rows and one of targets, the others are gone
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # tokens
 def test_token_counts_are_the_librarys(spark):
     import public_tokenizers
